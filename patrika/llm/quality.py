@@ -84,10 +84,10 @@ def rules() -> dict[str, Column]:
     repeats, dups = F.col("n_repeat_words") / words, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     variety, upper = F.col("n_distinct_words") / words, F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))
     return {
-        "length": _rule(F.col("n_words") < 30, F.col("n_words") >= 60),
+        "length": _rule(F.col("n_words") < 20, F.col("n_words") >= 60),
         "symbols": _rule(symbols > 0.3, symbols < 0.1),
         "word_length": _rule((mean < 3.2) | (mean > 10), mean.between(3.8, 8.5)),
-        "repeats": _rule(repeats > 0.2, repeats < 0.05),
+        "repeats": _rule(repeats > 0.3, repeats < 0.05),
         "dup_lines": _rule(dups > 0.3, (dups < 0.1) & (F.col("n_lines") >= 3)),
         "variety": _rule(variety < 0.2 * F.least(F.lit(1.0), F.lit(400) / words), (variety > 0.35) & (words >= 30)),
         "capitals": _rule(upper > 0.4, upper < 0.15),
@@ -95,22 +95,29 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Posterior probability of good for each vote pattern (rows of -1, 0, 1), by EM on a two-class naive Bayes model.
+def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.9, rounds: int = 200) -> np.ndarray:
+    """Posterior probability of good for each vote pattern (rows of -1, 0, 1), by EM.
 
-    Each rule has for each class its own probabilities of the three votes, smoothed; abstaining is evidence too. The
-    start is a majority of the votes in which a single bad vote weighs more than a good one, as rules fire rarely.
+    What EM estimates is each rule's accuracy for each kind of vote: the share of its bad votes that fall on bad
+    documents, of its good votes on good ones. Where one rule alone sees a kind of junk the votes leave its accuracy
+    open, so the belief `prior` that a bad vote is right weighs as much as the votes themselves. A vote moves the log
+    odds by what its accuracy says beyond the share of its class; no vote counts against its own side, and abstaining
+    says nothing.
     """
-    if not len(patterns):
-        return np.zeros(0)
-    post = 1 / (1 + np.exp(-((patterns == 1).sum(1) * 0.5 - (patterns == -1).sum(1) * 3.0)))
+    if not len(patterns) or not counts.sum():
+        return np.full(len(patterns), 0.5)
+    bad_votes, good_votes = (patterns == -1).astype(float), (patterns == 1).astype(float)
+    post = np.where(bad_votes.any(1), 1 - prior, 0.95)
+    n_bad, n_good = counts @ bad_votes, counts @ good_votes
+    logit = lambda p: np.log(p) - np.log1p(-p)
     for _ in range(rounds):
-        good, bad = counts * post, counts * (1 - post)
-        log = np.full(len(patterns), np.log((good.sum() + 1) / (bad.sum() + 1)))
-        for j in range(patterns.shape[1]):
-            for vote in (-1, 0, 1):
-                at = patterns[:, j] == vote
-                log[at] += np.log((good[at].sum() + 1) / (good.sum() + 3)) - np.log((bad[at].sum() + 1) / (bad.sum() + 3))
+        share = ((counts @ post) + 1) / (counts.sum() + 2)
+        right_bad = ((counts * (1 - post)) @ bad_votes + (n_bad + 1) * prior) / (2 * n_bad + 1)
+        right_good = ((counts * post) @ good_votes + 1) / (n_good + 2)
+        for_bad = np.maximum(logit(np.clip(right_bad, 1e-6, 1 - 1e-6)), 0)
+        for_good = np.maximum(logit(np.clip(right_good, 1e-6, 1 - 1e-6)) - logit(share), 0)
+        any_bad = bad_votes.any(1)
+        log = np.where(any_bad, 0.0, logit(share)) - bad_votes @ for_bad + good_votes @ for_good
         new = 1 / (1 + np.exp(-np.clip(log, -60, 60)))
         if np.abs(new - post).max() < 1e-9:
             break
@@ -123,20 +130,21 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     base_failed: fewer than 20 words, or over 30% of the words in repeated 8-word windows. kept: false if base_failed,
     else whether the posterior is `threshold` or more. Null and empty texts fail; repeated rows are judged alike; an
-    empty table gives an empty result. EM sees the counts of all documents' vote patterns.
+    empty table gives an empty result. EM sees the counts of vote
+    patterns of all documents that base_failed leaves open.
     """
-    stats = stored(statistics(docs), "quality-stats")
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    stats = stored(statistics(docs).withColumn("base_failed", base), "quality-stats")
     names = list(rules())
     voted = stats.withColumns({f"_v{i}": r for i, r in enumerate(rules().values())})
     code = sum(((F.col(f"_v{i}") + 1) * 3**i for i in range(len(names))), F.lit(0))
     voted = voted.withColumn("_code", code)
-    seen = voted.groupBy("_code").count().collect()  # at most 3 ** 8 rows
+    seen = voted.groupBy("_code").agg(F.count_if(~F.col("base_failed")).alias("count")).collect()  # at most 3 ** 8 rows
     codes = np.array([r["_code"] for r in seen], np.int64)
     patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(names))], 1) if len(codes) else np.zeros((0, len(names)), np.int64)
     post = fit(patterns, np.array([r["count"] for r in seen], float))
     table = docs.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], "_code int, quality double")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = voted.join(F.broadcast(table), "_code", "left").withColumn("base_failed", base)
+    out = voted.join(F.broadcast(table), "_code", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
 
 
