@@ -25,7 +25,7 @@ from .common import defined_id, fresh_path, real_id, stored, with_group
 from .graph import components
 from .textarrays import Powers, blocks, mixed
 
-SLOTS, RUNS, LEAF, BLOCK, SALTS = 64, 4, 256, 256, 32
+SLOTS, RUNS, LEAF, BLOCK, SALTS = 64, 4, 1024, 256, 32
 #: Share of equal tokens that makes a candidate: more than four standard deviations under 0.8.
 LIKELY = 0.58
 #: Sets that share so much with a bucket's pivot are split no further. Whatever is a candidate with one of them shares
@@ -203,8 +203,8 @@ def candidates(reps: DataFrame) -> DataFrame:
         big = met.filter(F.col("_n") > LEAF)
         if big.isEmpty():
             return spark.read.schema("a long, b long").parquet(path)
-        first = F.min(F.struct(F.xxhash64("node", F.lit(level)).alias("_h"), "node"))
-        pivots = big.groupBy("path").agg(first.alias("_p"), F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {SALTS}) as int))")).alias("_held")).select("path", "_p.node", "_held")
+        # the smallest node, so that buckets of one group mostly have the same pivot and edges repeat instead of adding up
+        pivots = big.groupBy("path").agg(F.min("node").alias("node"), F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {SALTS}) as int))")).alias("_held"))
         pivots = pivots.join(reps.select("node", "sig"), "node").select("path", F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("_held"), i) == 1)).alias("_salt"))
         salted = tokens.filter(F.col("_n") > LEAF).withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
         compared = salted.join(pivots, ["path", "_salt"]).select("node", "sig", "path", "pivot", "pivot_sig").mapInArrow(_with_pivot, "node long, sig binary, path long, pivot long, same double")
