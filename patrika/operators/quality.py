@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ANY, SPACE, WORD
@@ -20,11 +20,21 @@ def artifact_count(c: Column | str) -> Column:
     return odd + runs + signs + F.regexp_count(t, F.lit("[A-Za-z]{20,}"))
 
 
-def quality(normal: Column | str) -> Column:
-    """struct of score, sample, languages and notes for a text in normal form (see functions.rewrite.normalize)."""
-    t = text_of(normal)
-    n, words = F.length(strip(t)), F.regexp_count(t, F.lit(f"{ANY}+"))
-    script, ratio = is_script(t), artifact_count(t).cast("double") / F.greatest(n, F.lit(1))
+def _measures(t: Column) -> dict[str, Column]:
+    return {"_length": F.length(strip(t)), "_words": F.regexp_count(t, F.lit(f"{ANY}+")), "_script": is_script(t), "_artifacts": artifact_count(t), "_blank": is_blank(t)}
+
+
+def with_quality(docs: DataFrame, normal: Column | str, out: str = "quality") -> DataFrame:
+    """docs with a struct of score, sample, languages and notes for a text in normal form (see functions.rewrite.normalize).
+
+    What the score counts are columns of their own first, so that each is worked out once."""
+    measured = docs.withColumn("_normal", text_of(normal)).withColumns(_measures(F.col("_normal")))
+    return measured.withColumn(out, _quality(F.col("_normal"))).drop("_normal", *_measures(F.col("_normal")))
+
+
+def _quality(t: Column) -> Column:
+    n, words, script, blank = F.col("_length"), F.col("_words"), F.col("_script"), F.col("_blank")
+    ratio = F.col("_artifacts").cast("double") / F.greatest(n, F.lit(1))
     part = lambda test, v: F.when(test, F.lit(v)).otherwise(0.0)
     score = F.least(part(script, 0.4) + part(n > 100, 0.2) + part(ratio < 0.1, 0.3) + part(words > 10, 0.1), F.lit(1.0))
     notes = F.array_compact(
@@ -35,7 +45,6 @@ def quality(normal: Column | str) -> Column:
             F.when(words > 10, F.format_string("Found %d Kannada words", words)),
         )
     )
-    blank = is_blank(t)
     none = F.array().cast("array<string>")
     return F.struct(
         F.when(blank, 0.0).otherwise(score).alias("score"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rewrite import normalize
 from ..functions.script import is_blank
-from ..operators.quality import document_type, quality
+from ..operators.quality import document_type, with_quality
 
 
 def analyze(docs: DataFrame, text: str = "text", total_pages: Column | None = None, pages_with_text: Column | None = None, notes: Column | None = None, forced: Column | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def analyze(docs: DataFrame, text: str = "text", total_pages: Column | None = No
     total = F.coalesce(total_pages, F.lit(1)) if total_pages is not None else F.lit(1)
     layer = ~is_blank(text)
     found = pages_with_text if pages_with_text is not None else layer.cast("int")
-    rows = docs.withColumn("_q", quality(normalize(text))).withColumn("_layer", layer)
+    rows = with_quality(docs, normalize(text), "_q").withColumn("_layer", layer)
     kind = document_type(F.col("_layer"), F.col("_q.score"), F.size("_q.languages") > 0, found, total)
     rows = rows.withColumn("_k", kind)
     none = F.array().cast("array<string>")

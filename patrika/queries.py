@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +13,20 @@ from .functions.constants import ANY, CONSONANT, CORRUPTION, DAMAGE, DELETED, DI
 from .operators import pages as pg
 from .operators import quality as ql
 from .plans.analyze import analyze
+from .sources.files import spread
 
 _JOIN = "␞"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text twice: as it is, and with misread characters replaced, which fills it with script."""
-    d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.lit(0).alias("variant"), "text").unionByName(d.select("doc_id", F.lit(1).alias("variant"), rewrite.substitute("text", MISREAD).alias("text")))
+    d = _docs(spark, sf_dir).withColumn("other", rewrite.fix_misread("text"))
+    rows = F.array(F.struct(F.lit(0).alias("variant"), "text"), F.struct(F.lit(1).alias("variant"), F.col("other").alias("text")))
+    return d.select("doc_id", F.inline(rows))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +122,11 @@ def _collapse(x: str) -> str:
 
 
 def _runs(x: str) -> str:
-    """Maximal runs of five or more equal word characters."""
-    return (
-        f"(SELECT count(*) FILTER (WHERE w AND c = c1 AND c = c2 AND c = c3 AND c = c4 AND c IS DISTINCT FROM b) FROM (SELECT c, lag(c) OVER o AS b, lead(c) OVER o AS c1, "
-        f"lead(c, 2) OVER o AS c2, lead(c, 3) OVER o AS c3, lead(c, 4) OVER o AS c4, regexp_matches(c, {q('[' + WORD + ']')}) AS w "
-        f"FROM (SELECT unnest(string_split({x}, '')) AS c, generate_subscripts(string_split({x}, ''), 1) AS i) WINDOW o AS (ORDER BY i)))"
-    )
+    """Runs of five or more equal word characters. RE2 has no back references, so this names the characters one by one:
+    all that the tables and the script hold."""
+    points = [*range(0x30, 0x250), *range(0x0C80, 0x0D00)]
+    words = [chr(p) for p in points if unicodedata.category(chr(p))[0] in "LN" or p in (0x5F, 0x0CDD)]
+    return _matches(x, "|".join(f"{c}{{5,}}" for c in words))
 
 
 _BOTH = f"(SELECT doc_id, 0 AS variant, coalesce(text, '') AS text FROM documents UNION ALL SELECT doc_id, 1, {_replaced(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', MISREAD)} FROM documents)"
@@ -155,7 +157,7 @@ def _query(sql: str):
 
 @_query(f"WITH {_QUALITY} SELECT doc_id, variant, score, CASE WHEN blank OR NOT script THEN '' ELSE 'kannada' END AS languages, notes, CASE WHEN blank THEN '' ELSE substr(t, 1, 500) END AS sample FROM quality")
 def q1_quality(spark, d):
-    x = _both(spark, d).withColumn("q", ql.quality(rewrite.normalize("text")))
+    x = ql.with_quality(_both(spark, d), rewrite.normalize("text"), "q")
     return x.select("doc_id", "variant", "q.score", F.array_join("q.languages", ",").alias("languages"), F.array_join("q.notes", _JOIN).alias("notes"), "q.sample")
 
 

@@ -23,6 +23,13 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf", most_byte
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).filter(F.col("length") <= most_bytes)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores. Tables of more partitions than that stay as they are, so
+    this shuffles nothing but a table of a few unsplittable files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_texts(docs: DataFrame, path: str, text: str = "text") -> None:
     """A text for each row, in files of many rows."""
     docs.select(F.coalesce(F.col(text), F.lit("")).alias("value")).write.text(path, lineSep="\u001e")
