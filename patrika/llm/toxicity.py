@@ -80,7 +80,7 @@ class Matcher:
         for at, end in excepted:
             for k in [k for k in best if at <= k < end]:
                 del best[k]
-        return sum(best.values()), len(best), folded.count(" ") - 1
+        return sum(best.values()), len(best), folded.count(" ") - 1 if best or folded.strip() else 0
 
 
 def _measures(total: float, hits: int, words: int) -> list[float]:
