@@ -168,7 +168,7 @@ def apply_rules(c: Column | str) -> Column:
     out = text_of(c)
     for pattern, stays in RULES:
         java = pattern.replace("<", f"(?<![{WORD}])").replace(">", f"(?![{WORD}])")
-        out = F.regexp_replace(out, java, re.sub(r"([12])", r"\$\1", stays))
+        out = F.regexp_replace(out, java, re.sub(r"([12])", r"$\1", stays))
     return out
 
 
