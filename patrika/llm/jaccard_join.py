@@ -319,7 +319,7 @@ def join(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str =
 def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each class the document with the smallest id stays, with its own columns."""
     kept = join(docs, width, similarity, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(defined_id(id_col).alias("_kept")).distinct()
-    return docs.withColumn("_kept", defined_id(id_col)).join(kept, "_kept", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(kept, defined_id(docs[id_col]) == kept["_kept"], "left_semi")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -31,19 +31,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = F.array_distinct(F.transform(F.filter(_line_keys(text), lambda x: F.length(x) >= min_chars), _hashed))
-    lines = docs.select(defined_id(id_col).alias("_id"), F.explode(keys).alias("_h")).select("_id", "_h.*")
-    shared = with_group(lines, ["h1", "h2"], [F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last")], ["_id"], having=F.col("_n") >= min_docs)
-    drops = shared.filter(F.col("_id") != F.col("_last")).groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
+    lines = docs.select(defined_id(id_col).alias("_line_dedup_id"), F.explode(keys).alias("_h")).select("_line_dedup_id", "_h.*")
+    shared = with_group(lines, ["h1", "h2"], [F.count_distinct("_line_dedup_id").alias("_n"), F.max("_line_dedup_id").alias("_last")], ["_line_dedup_id"], having=F.col("_n") >= min_docs)
+    drops = shared.filter(F.col("_line_dedup_id") != F.col("_last")).groupBy("_line_dedup_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_line_dedup_drops"))
     lines_of = F.split(text, "\n", -1)
-    joined = docs.withColumn("_id", defined_id(id_col)).join(drops, "_id", "left")
+    joined = docs.withColumn("_line_dedup_id", defined_id(id_col)).join(drops, "_line_dedup_id", "left")
     key_at = F.transform(_line_keys(text), lambda x: F.when(F.length(x) >= min_chars, _hashed(x)))
-    kept = F.filter(F.arrays_zip(lines_of.alias("line"), key_at.alias("key")), lambda p: ~F.coalesce(F.array_contains(F.col("_drops"), p["key"]), F.lit(False)))
-    out = joined.withColumn("_lines", F.when(F.col("_drops").isNull(), lines_of).otherwise(F.transform(kept, lambda p: p["line"])))
+    kept = F.filter(F.arrays_zip(lines_of.alias("line"), key_at.alias("key")), lambda p: ~F.coalesce(F.array_contains(F.col("_line_dedup_drops"), p["key"]), F.lit(False)))
+    out = joined.withColumn("_line_dedup_lines", F.when(F.col("_line_dedup_drops").isNull(), lines_of).otherwise(F.transform(kept, lambda p: p["line"])))
     n_lines = F.size(lines_of).cast("long")
     return out.select(
-        *[F.array_join("_lines", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        *[F.array_join("_line_dedup_lines", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
         n_lines.alias("n_lines"),
-        (n_lines - F.size("_lines")).alias("n_dropped"),
+        (n_lines - F.size("_line_dedup_lines")).alias("n_dropped"),
     )
 
 

@@ -110,7 +110,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]] | None = None,
     the tasks with the function.
     """
     pieces = vocabulary() if pieces is None else pieces
-    rest = [c for c in docs.columns if c != out_col]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
     schema = docs.select(*rest).schema.add(out_col, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,8 +156,8 @@ def fit_curve(rows: DataFrame, lexicon: dict[str, float]) -> tuple[list[float],
         data.unpersist()
 
 
-def score(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size: int = 2000) -> DataFrame:
-    """docs with the column `toxicity` (0 to 1). Learns from at most `bound` labelled rows whose id's remainder is not
+def score(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size: int = 2000, out_col: str = "toxicity") -> DataFrame:
+    """docs with the column `out_col` (0 to 1), which replaces one of that name. Learns from at most `bound` labelled rows whose id's remainder is not
     0: the lexicon from remainders 1 to 3, the curve from 4. Scores every whole text, and from it alone; a null text
     scores like an empty one. Without labels of both kinds the lexicon is empty and scores are near 0."""
     rows = training_rows(docs, labels, bound)
@@ -168,16 +168,16 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size:
         matcher = Matcher(lexicon)
         for batch in batches:
             z = [start + sum(a * b for a, b in zip(slope, _measures(*matcher.weigh(t.as_py())), strict=True)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([1 / (1 + math.exp(-max(-500, min(500, v)))) for v in z], pa.float64())], [*batch.schema.names[1:], "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([1 / (1 + math.exp(-max(-500, min(500, v)))) for v in z], pa.float64())], [*batch.schema.names[1:], out_col])
 
-    rest = [c for c in docs.columns if c != "toxicity"]
-    schema = docs.select(*rest).schema.add("toxicity", "double")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
+    schema = docs.select(*rest).schema.add(out_col, "double")
     return docs.select(F.col("text").alias("_scored"), *rest).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose toxicity is under the threshold, with their own columns."""
-    return score(docs, labels).filter(F.col("toxicity") < threshold).select(*docs.columns)
+    return score(docs, labels, out_col="_toxicity_score").filter(F.col("_toxicity_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
