@@ -17,8 +17,12 @@ def _line_keys(text: Column) -> Column:
     return F.transform(F.split(F.translate(text, UPPER, LOWER), "\n", -1), lambda x: F.trim(x, F.lit(SPACE)))
 
 
-def _hashed(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
+def _without(text: Column, drops: Column) -> Column:
+    """The lines of the text without those at the positions `drops`. The lambda's argument holds the lines, which are
+    split once; the positions are subtracted by hashing, so long texts take linear time."""
+    lines = F.split(text, "\n", -1)
+    held = F.array(F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drops).alias("at")))
+    return F.array_join(F.element_at(F.transform(held, lambda h: F.transform(h["at"], lambda i: F.get(h["lines"], i))), 1), "\n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -30,20 +34,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document with the smallest id. Other columns pass through; an input column named like an added one is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = F.array_distinct(F.transform(F.filter(_line_keys(text), lambda x: F.length(x) >= min_chars), _hashed))
-    lines = docs.select(defined_id(id_col).alias("_line_dedup_id"), F.explode(keys).alias("_h")).select("_line_dedup_id", "_h.*")
+    # rows of one id with different texts have lines of their own
+    place = [defined_id(id_col).alias("_line_dedup_id"), F.xxhash64(text).alias("_line_dedup_row")]
+    # placed before lines are exploded, or each line would hash its whole text again
+    lines = docs.select(*place, text.alias("_text")).select("_line_dedup_id", "_line_dedup_row", F.posexplode(_line_keys(F.col("_text"))).alias("_pos", "_key"))
+    lines = lines.filter(F.length("_key") >= min_chars).select("_line_dedup_id", "_line_dedup_row", "_pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), "_key").alias("h2"))
     shared = with_group(lines, ["h1", "h2"], [F.count_distinct("_line_dedup_id").alias("_n"), F.max("_line_dedup_id").alias("_last")], ["_line_dedup_id"], having=F.col("_n") >= min_docs)
-    drops = shared.filter(F.col("_line_dedup_id") != F.col("_last")).groupBy("_line_dedup_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_line_dedup_drops"))
-    lines_of = F.split(text, "\n", -1)
-    joined = docs.withColumn("_line_dedup_id", defined_id(id_col)).join(drops, "_line_dedup_id", "left")
-    key_at = F.transform(_line_keys(text), lambda x: F.when(F.length(x) >= min_chars, _hashed(x)))
-    kept = F.filter(F.arrays_zip(lines_of.alias("line"), key_at.alias("key")), lambda p: ~F.coalesce(F.array_contains(F.col("_line_dedup_drops"), p["key"]), F.lit(False)))
-    out = joined.withColumn("_line_dedup_lines", F.when(F.col("_line_dedup_drops").isNull(), lines_of).otherwise(F.transform(kept, lambda p: p["line"])))
-    n_lines = F.size(lines_of).cast("long")
-    return out.select(
-        *[F.array_join("_line_dedup_lines", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
+    drops = shared.filter(F.col("_line_dedup_id") != F.col("_last")).groupBy("_line_dedup_id", "_line_dedup_row").agg(F.collect_set("_pos").alias("_line_dedup_drops"))
+    joined = docs.select("*", *place).join(drops, ["_line_dedup_id", "_line_dedup_row"], "left")
+    n_lines = F.size(F.split(text, "\n", -1)).cast("long")
+    kept = F.when(F.col("_line_dedup_drops").isNull(), text).otherwise(_without(text, F.col("_line_dedup_drops")))
+    return joined.select(
+        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
         n_lines.alias("n_lines"),
-        (n_lines - F.size("_line_dedup_lines")).alias("n_dropped"),
+        F.coalesce(F.size("_line_dedup_drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
