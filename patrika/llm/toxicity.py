@@ -78,8 +78,8 @@ class Matcher:
             elif weight > best.get(at, 0):
                 best[at] = weight
         for at, end in excepted:
-            for k in [k for k in best if at <= k < end]:
-                del best[k]
+            for k in range(at, end):
+                best.pop(k, None)
         return sum(best.values()), len(best), folded.count(" ") - 1 if best or folded.strip() else 0
 
 
