@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,32 @@ def real_id(col: str | Column) -> Column:
     return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_measured(docs: DataFrame, source: Column, out_col: str, kind: str, measure: Callable[[Iterator[pa.Array]], Iterator[pa.Array]]) -> DataFrame:
+    """docs with `out_col` of type `kind`, which `measure` makes of `source`, array by array; it replaces a column of
+    that name. The other columns go along under their positions, so their names don't matter."""
+    rest = [c for c in docs.columns if c != out_col]
+    plain = docs.select(source.alias("_source"), *[named(c).alias(f"_{i}") for i, c in enumerate(rest)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def sources() -> Iterator[pa.Array]:
+            for batch in batches:
+                held.append(batch)
+                yield batch.column(0)
+
+        for made in measure(sources()):
+            batch = held.pop()
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*batch.schema.names[1:], "_made"])
+
+    return plain.mapInArrow(run, plain.drop("_source").schema.add("_made", kind)).toDF(*rest, out_col)
+
+
 def with_group(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], spread: Sequence[str | Column], having: Column | None = None, how: str = "inner", salts: int = 32) -> DataFrame:
     """df with the aggregates of each row's group, without a hot group meeting in one task.
 

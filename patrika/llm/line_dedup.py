@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, defined_id, with_group
+from .common import LOWER, SPACE, UPPER, defined_id, named, with_group
 
 
 def _line_keys(text: Column) -> Column:
@@ -45,7 +45,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.size(F.split(text, "\n", -1)).cast("long")
     kept = F.when(F.col("_line_dedup_drops").isNull(), text).otherwise(_without(text, F.col("_line_dedup_drops")))
     return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        *[kept.alias(c) if c == text_col else named(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         n_lines.alias("n_lines"),
         F.coalesce(F.size("_line_dedup_drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )

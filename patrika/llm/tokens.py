@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_measured
+
 #: Where the public vocabularies are; a parameter of the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
@@ -110,16 +112,13 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]] | None = None,
     the tasks with the function.
     """
     pieces = vocabulary() if pieces is None else pieces
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
-    schema = docs.select(*rest).schema.add(out_col, "long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter(pieces)
-        for batch in batches:
-            counts = [counter.count(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], [*batch.schema.names[1:], out_col])
+        for column in texts:
+            yield pa.array([counter.count(t.as_py()) for t in column], pa.int64())
 
-    return docs.select(F.col(text_col).cast("string").alias("_counted"), *rest).mapInArrow(run, schema)
+    return with_measured(docs, F.col(text_col).cast("string"), out_col, "long", measure)
 
 
 def digest(docs: DataFrame) -> DataFrame:

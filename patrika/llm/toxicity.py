@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, with_measured
+
 # Look-alikes of Latin letters, by letter.
 LOOK_ALIKES = {
     "a": "аα4@", "b": "Ьв", "c": "сϲ", "d": "ԁ", "e": "еε3", "g": "ɡ", "h": "һ", "i": "іι1ı", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м",
@@ -164,20 +166,18 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size:
     lexicon = learn_lexicon(rows.filter("rest < 4"), lexicon_size)
     slope, start = fit_curve(rows.filter("rest = 4"), lexicon) if lexicon else ([0.0, 1.0, 0.0], -5.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(lexicon)
-        for batch in batches:
-            z = [start + sum(a * b for a, b in zip(slope, _measures(*matcher.weigh(t.as_py())), strict=True)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([1 / (1 + math.exp(-max(-500, min(500, v)))) for v in z], pa.float64())], [*batch.schema.names[1:], out_col])
+        for column in texts:
+            z = [start + sum(a * b for a, b in zip(slope, _measures(*matcher.weigh(t.as_py())), strict=True)) for t in column]
+            yield pa.array([1 / (1 + math.exp(-max(-500, min(500, v)))) for v in z], pa.float64())
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
-    schema = docs.select(*rest).schema.add(out_col, "double")
-    return docs.select(F.col("text").alias("_scored"), *rest).mapInArrow(run, schema)
+    return with_measured(docs, F.col("text"), out_col, "double", measure)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose toxicity is under the threshold, with their own columns."""
-    return score(docs, labels, out_col="_toxicity_score").filter(F.col("_toxicity_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, labels, out_col="_toxicity_score").filter(F.col("_toxicity_score") < threshold).select(*map(named, docs.columns))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -342,7 +342,7 @@ def test_pipeline_stages(spark):
 
 def test_extra_columns_with_clashing_names(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    names = ("id", "node", "comp", "size", "count", "target", "n_lines", "n_dropped", "toxicity", "_kept", "_bad", "_id", "_text", "doc", "item", "sig")
+    names = ("id", "node", "comp", "size", "count", "target", "n_lines", "n_dropped", "toxicity", "_kept", "_bad", "_id", "_text", "doc", "item", "sig", "a.b", "_0", "_made", "_source", "tick`")
     wide = docs.withColumns({n: F.lit(f"own {n}") for n in names})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out, plain = stage(spark, wide, DATA), stage(spark, docs, DATA)
@@ -350,3 +350,4 @@ def test_extra_columns_with_clashing_names(spark):
         assert all(r[n] == f"own {n}" for r in out.collect() for n in names), name
         assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in plain.collect()), name
     assert corpus_pipeline.mix_sources(spark, wide, DATA).count() == docs.count()
+    assert tokens.count_tokens(wide).columns == [*wide.columns, "n_tokens"]
