@@ -6,7 +6,8 @@ same one. Four steps, all dealt by Spark:
 1. Each window of `width` bytes is owned by the smallest hash among its `KGRAM`-byte grams (its anchor), so equal
    windows have equal anchors. Consecutive windows with one anchor form a span. Only (anchor, span hash, place) is
    sent, about one record for 35 bytes of text; equal spans of one batch collapse before they are sent.
-2. By anchor: all but the first of equal spans go. Anchors with several different spans need their bytes.
+2. By anchor: all but the first of equal spans go. Anchors with several different spans need their bytes, and so do
+   first spans in which a window occurs again.
 3. Those spans' bytes are cut out of the texts and sorted by anchor: the suffixes that start a window in suffix order,
    their common prefixes, and the previous and next smaller positions give each suffix's longest previous factor.
    Where it has `width` bytes or more, the window goes.
@@ -39,7 +40,7 @@ BUCKET_BYTES = 16 << 20
 #: One document in so many is looked at for anchors that very many share, and how often those are seen there.
 SAMPLE, OFTEN, MOST_HOT = 64, 24, 1 << 16
 _U = np.uint64
-_KEYS = (("anchor", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("at", "<i8"), ("n", "<u2"), ("gone", "u1"))
+_KEYS = (("anchor", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("at", "<i8"), ("n", "<u2"), ("again", "u1"), ("gone", "u1"))
 
 
 def pack(cols: dict[str, np.ndarray]) -> bytes:
@@ -85,13 +86,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans_of(block, width: int) -> dict[str, np.ndarray]:
-    """The block's spans: anchor, span (hash of the span's bytes), row (the text's index), at (in the text), n (windows)."""
-    none = {k: np.zeros(0, t) for k, t in (("anchor", _U), ("span", _U), ("row", np.int64), ("at", np.int64), ("n", np.int64))}
+    """The block's spans: anchor, span (hash of the span's bytes), row (the text's index), at (in the text), n (windows),
+    again (whether a window occurs in it more than once)."""
+    none = {k: np.zeros(0, t) for k, t in (("anchor", _U), ("span", _U), ("row", np.int64), ("at", np.int64), ("n", np.int64), ("again", bool))}
     if len(block.data) < width:
         return none
     k = min(KGRAM, width)
     sums, (_, down) = block.sums(), block.powers.to(len(block.data) + 1)
-    low = _sliding_min(mixed((sums[k:] - sums[:-k]) * down[: len(sums) - k]), width - k + 1)
+    grams = mixed((sums[k:] - sums[:-k]) * down[: len(sums) - k])
+    low = _sliding_min(grams, width - k + 1)
     lengths = np.diff(block.offsets)
     row = np.repeat(np.arange(block.n), lengths)[: len(low)]
     inside = np.arange(len(low)) + width <= block.offsets[1:][row]
@@ -108,7 +111,31 @@ def spans_of(block, width: int) -> dict[str, np.ndarray]:
         first, n = np.repeat(first, pieces) + nth * LONGEST, np.minimum(np.repeat(n, pieces) - nth * LONGEST, LONGEST)
     begin = starts[first]
     span = mixed((sums[begin + n + width - 1] - sums[begin]) * down[begin] + n.astype(_U))
-    return {"anchor": v[first], "span": span, "row": r[first] + block.first, "at": begin - block.offsets[r[first]], "n": n}
+    again = _repeating(grams, sums, down, width, v[first], begin, n)
+    return {"anchor": v[first], "span": span, "row": r[first] + block.first, "at": begin - block.offsets[r[first]], "n": n, "again": again}
+
+
+def _repeating(grams: np.ndarray, sums: np.ndarray, down: np.ndarray, width: int, anchor: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which spans hold a window more than once. Equal windows have their anchors in equal places, so only spans whose
+    first and last anchors are two are looked into."""
+    view = np.lib.stride_tricks.sliding_window_view(grams, width - min(KGRAM, width) + 1)
+    two = np.zeros(len(n), bool)
+    for lo in range(0, len(n), 1 << 12):
+        i = slice(lo, lo + (1 << 12))
+        end = begin[i] + n[i] - 1
+        leading = (view[begin[i]] == anchor[i, None]).argmax(1) + begin[i]
+        last = end + view.shape[1] - 1 - (view[end] == anchor[i, None])[:, ::-1].argmax(1)
+        two[i] = leading < last
+    again, some = np.zeros(len(n), bool), np.flatnonzero(two & (n > 1))
+    for lo in range(0, len(some), 1 << 12):
+        s = some[lo : lo + (1 << 12)]
+        span = np.repeat(s, n[s])
+        at = begin[span] + np.arange(len(span)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
+        poly = (sums[at + width] - sums[at]) * down[at]
+        order = np.lexsort((poly, span))
+        same = (poly[order][1:] == poly[order][:-1]) & (span[order][1:] == span[order][:-1])
+        again[span[order][1:][same]] = True
+    return again
 
 
 def _windows_of(block, width: int, spans: dict[str, np.ndarray], hot: np.ndarray) -> dict[str, np.ndarray]:
@@ -122,7 +149,7 @@ def _windows_of(block, width: int, spans: dict[str, np.ndarray], hot: np.ndarray
     begin = at + block.offsets[row - block.first]
     sums, (_, down) = block.sums(), block.powers.to(len(block.data) + 1)
     poly = (sums[begin + width] - sums[begin]) * down[begin]
-    alone = {"anchor": mixed(poly ^ _U(0xA5A5A5A5A5A5A5A5)), "span": mixed(poly + _U(1)), "row": row, "at": at, "n": np.ones(len(at), np.int64)}
+    alone = {"anchor": mixed(poly ^ _U(0xA5A5A5A5A5A5A5A5)), "span": mixed(poly + _U(1)), "row": row, "at": at, "n": np.ones(len(at), np.int64), "again": np.zeros(len(at), bool)}
     rest = _taken(spans, np.flatnonzero(~split))
     return {k: np.concatenate([rest[k], alone[k]]) for k in spans}
 
@@ -153,7 +180,7 @@ def _find_spans(width: int, buckets: int, hot: np.ndarray) -> Callable:
                 continue
             s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
             row = s.pop("row")
-            c, _ = _marked({"anchor": s["anchor"], "span": s["span"], "doc": doc[row], "tie": tie[row], "at": s["at"], "n": s["n"].astype(np.uint16), "gone": np.zeros(len(row), np.uint8)})
+            c, _ = _marked({"anchor": s["anchor"], "span": s["span"], "doc": doc[row], "tie": tie[row], "at": s["at"], "n": s["n"].astype(np.uint16), "again": s["again"].astype(np.uint8), "gone": np.zeros(len(row), np.uint8)})
             c = _taken(c, np.lexsort((c["at"], c["doc"])))  # near equal values stand together, for the compressor
             dealt = list(_dealt(c, (c["anchor"] % _U(buckets)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int64()), pa.array([pack(x) for _, x in dealt], pa.binary())], ["bucket", "data"])
@@ -184,6 +211,7 @@ def _compare(buckets: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         c, start = _marked(_joined(table.column("data").to_pylist()))
         ask = np.zeros(len(c["at"]), bool)
+        ask[start] = c["again"][start] > 0
         if len(start):
             anchor = c["anchor"][start]
             new = np.concatenate([[True], anchor[1:] != anchor[:-1]])

@@ -178,6 +178,18 @@ def test_suffix_dedup(spark, monkeypatch, sample, often):
     assert got == _removed(list(zip(ids, texts, strict=True)), 100)
 
 
+def test_suffix_dedup_within_one_span(spark):
+    rng = random.Random(5)
+    sentence = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    texts = ["q" * 150, "same line here\n" * 10, sentence * 3, "Eran. " * 23, "-" * 227, "ab" * 242, "ijklmnop" * 60 + "qrs"]
+    for text in texts:
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(frame(spark, [text])).collect()}
+        assert got == _removed([(0, text)], 100)
+        assert got[0][1] > 0
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(frame(spark, texts + texts[:2])).collect()}
+    assert got == _removed(list(enumerate(texts + texts[:2])), 100)
+
+
 def test_previous_factors():
     rng = random.Random(1)
     for _ in range(50):
