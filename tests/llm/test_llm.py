@@ -225,6 +225,22 @@ def test_decontamination_finds_paraphrases(spark):
     assert decontaminate.without_leaks(frame(spark, texts), bench).count() == len(texts) - len(want)
 
 
+@pytest.mark.parametrize("kept", [1.0, 0.7])
+def test_decontamination_finds_an_item_that_a_third_of_short_texts_hold(spark, kept):
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    items = [[*rng.sample(words, 20)] for _ in range(12)]
+    texts, want = [], set()
+    for d in range(360):
+        text = rng.sample(words, 60)
+        if d % 3 == 0:
+            text[20:40] = [w if (i + d // 3) % 10 < 10 * kept else rng.choice(words) for i, w in enumerate(items[0])]
+            want.add((d, 0))
+        texts.append(" ".join(text))
+    bench = spark.createDataFrame([(i, " ".join(w), " ".join(w)) for i, w in enumerate(items)], "item_id long, text string, whole string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, texts), bench, answer_col="whole").collect()} == want
+
+
 def test_common_words():
     rng = np.random.default_rng(1)
     for _ in range(100):
