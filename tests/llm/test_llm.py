@@ -241,6 +241,21 @@ def test_decontamination_finds_an_item_that_a_third_of_short_texts_hold(spark, k
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, texts), bench, answer_col="whole").collect()} == want
 
 
+def test_decontamination_is_alike_at_every_size():
+    rng = np.random.default_rng(4)
+    words = np.sort(rng.integers(1, 2**63, 400).astype(np.uint64))
+    items = decontaminate.Items(list(range(12)), [rng.choice(words, 20, replace=False) for _ in range(12)], [None] * 12, words)
+    share = 10.0 ** rng.uniform(-4, -1, len(words))
+    lowest = []
+    for total in (250_000, 2_500_000, 300_000_000):
+        idf, foreign = decontaminate._frequency_weights(items, share * total, total)
+        for w in items.words:  # a passage of 32 words with the twelve lightest of an item's twenty
+            x = np.sort(idf[np.searchsorted(words, w)])
+            lowest.append((x[:12] ** 2).sum() / np.sqrt((x**2).sum() * ((x[:12] ** 2).sum() + 20 * foreign**2)))
+    lowest = np.array(lowest).reshape(3, -1)
+    assert np.abs(lowest - lowest[0]).max() < 0.01
+
+
 def test_common_words():
     rng = np.random.default_rng(1)
     for _ in range(100):
