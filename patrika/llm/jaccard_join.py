@@ -6,15 +6,18 @@ two tokens sampled by its path, so a set goes on along two paths; buckets of up
 force. In a larger bucket a pivot is first compared with all its sets: those very similar to it need no further
 splitting, as whatever resembles them resembles the pivot.
 
-At similarity 0.8 two sets meet along one path of a run with probability q = 1 - (1 - 0.8 q)**2 or more, 0.9375; four
-independent runs miss 1 in 65,000 of such pairs, and fewer of more similar ones. What meets is linked if the tokens
-agree often enough; sets linked directly or through others form a candidate group, and all pairs of a group are
-compared exactly, large groups in blocks. So similarities are exact, and only pairs that share no path can be missed.
+Two sets whose tokens agree in a share m meet in a run of depth d with probability q(d) = 1 - (1 - m q(d - 1))**2 or
+more. The share of agreeing tokens that makes a candidate, and the number of runs, follow from the wanted similarity,
+the wanted recall and the depth that the runs reach, over the distribution of m; runs are added until the recall is
+reached. What meets is linked if the tokens agree often enough; sets linked directly or through others form a candidate
+group, and all pairs of a group are compared exactly, large groups in blocks. So similarities are exact, and what can be
+missed is a share 1 - RECALL of the pairs at just the wanted similarity, and less of more similar ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +28,39 @@ from .common import defined_id, fresh_path, real_id, stored, with_group
 from .graph import components
 from .textarrays import Powers, blocks, mixed
 
-SLOTS, RUNS, LEAF, BLOCK, SALTS = 64, 4, 1024, 256, 32
-#: Share of equal tokens that makes a candidate: more than four standard deviations under 0.8.
-LIKELY = 0.58
-#: Sets that share so much with a bucket's pivot are split no further. Whatever is a candidate with one of them shares
-#: at least SURE + LIKELY - 1 with the pivot, as the share of unequal tokens is a metric; all that do are tied to it.
-SURE = 0.70
+SLOTS, LEAF, BLOCK, SALTS = 64, 1024, 256, 32
+#: Share of the pairs at just the wanted similarity that are found: all but 1 in 65,000.
+RECALL = 1 - 1 / 65_000
+#: Whatever is a candidate with a set that is split no further shares so much with the bucket's pivot, or more.
+TIED = 0.28
 _U = np.uint64
 _MULTIPLIERS = mixed(np.arange(1, SLOTS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def _agreeing(similarity: float) -> np.ndarray:
+    """Probability of each number of agreeing tokens."""
+    return np.array([math.comb(SLOTS, k) * similarity**k * (1 - similarity) ** (SLOTS - k) for k in range(SLOTS + 1)])
+
+
+def likely_share(similarity: float, recall: float) -> float:
+    """Share of equal tokens that makes a candidate; half of what may be missed lies under it."""
+    below = np.cumsum(_agreeing(similarity))
+    return int(np.searchsorted(below, (1 - recall) / 2, "right")) / SLOTS
+
+
+def runs_needed(similarity: float, recall: float, depth: int) -> int:
+    """Runs of so many levels until at most half of what may be missed is a candidate that never meets."""
+    least = round(likely_share(similarity, recall) * SLOTS)
+    share, chance = np.arange(least, SLOTS + 1) / SLOTS, _agreeing(similarity)[least:]
+    meet = np.ones(len(share))
+    for _ in range(depth):
+        meet = 1 - (1 - share * meet) ** 2
+    runs = 1
+    while (chance * (1 - meet) ** runs).sum() > (1 - recall) / 2:
+        runs += 1
+    return runs
+
+
 def _sets(block, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of the block's texts, sorted within each, and the number of each text's shingles."""
     block.words()
@@ -95,15 +121,15 @@ def _children(path: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
     return [mixed(mixed(path + s.astype(_U) * _U(0x9E3779B97F4A7C15)) ^ mixed(sig[rows, s].astype(_U) + _U(7))) for s in (one, two)]
 
 
-def _split(roots: int) -> Callable:
-    """Rows (node, sig) from the roots of so many runs, or (node, sig, path) one level on."""
+def _split(roots: Sequence[int]) -> Callable:
+    """Rows (node, sig) from the roots of these runs, or (node, sig, path) one level on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = _signatures(batch.column(1))
-            starts = [np.full(len(sig), mixed(np.array([r + 11], _U))[0]) for r in range(roots)] or [batch.column(2).to_numpy().view(_U)]
+            starts = [np.full(len(sig), mixed(np.array([r + 11], _U))[0]) for r in roots] or [batch.column(2).to_numpy().view(_U)]
             for start in starts:
                 for child in _children(start, sig):
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0)], ["path", "node"])
@@ -154,7 +180,7 @@ def _merged(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _brute_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _brute_force(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (path, node, sig) sorted by path: a star of edges for each candidate group in each bucket."""
     for table in groups_of(batches, 1):
         group, node = _group_ids(table, 1), table.column("node").to_numpy()
@@ -166,7 +192,7 @@ def _brute_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in _pieces(after, 1 << 17):
             i = np.repeat(np.arange(lo, hi), after[lo:hi])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
-            like = (sig[i] == sig[j]).sum(1) >= LIKELY * SLOTS
+            like = (sig[i] == sig[j]).sum(1) >= least * SLOTS - 1e-9
             a.append(i[like])
             b.append(j[like])
         label = _merged(len(node), np.concatenate(a) if a else np.zeros(0, int), np.concatenate(b) if b else np.zeros(0, int))
@@ -190,27 +216,39 @@ def _with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same)], ["node", "sig", "path", "pivot", "same"])
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) that tie each candidate group together, from rows (node, sig) with a row for each set."""
     spark, path = reps.sparkSession, fresh_path(reps.sparkSession, "jaccard-edges")
-    rows = reps.select("node", "sig").mapInArrow(_split(RUNS), "path long, node long")
+    done, depth = 0, 1
+    while done < (wanted := runs_needed(similarity, recall, depth)):
+        depth = max(depth, _run(reps, range(done, wanted), likely_share(similarity, recall), path))
+        done = wanted
+    return spark.read.schema("a long, b long").parquet(path)
+
+
+def _run(reps: DataFrame, runs: Sequence[int], least: float, path: str) -> int:
+    """Adds the edges that these runs find to the table at `path`; gives the levels they took."""
+    # Sets that share so much with a bucket's pivot are split no further. Whatever is a candidate with one of them
+    # shares at least sure + least - 1 with the pivot, as the share of unequal tokens is a metric; all that do are tied.
+    sure = min(1.0, 1 + TIED - least)
+    rows = reps.select("node", "sig").mapInArrow(_split(runs), "path long, node long")
     level = 0
     while True:
         met = stored(with_group(rows.select("path", "node").distinct() if level else rows, ["path"], [F.count("*").alias("_n")], ["node"], having=F.col("_n") > 1), "jaccard-buckets")
         tokens = met.join(reps.select("node", "sig"), "node")
         leaf = tokens.filter(F.col("_n") <= LEAF).select("path", "node", "sig").repartition("path").sortWithinPartitions("path", "node")
-        leaf.mapInArrow(_brute_force, "a long, b long").write.mode("append").parquet(path)
+        leaf.mapInArrow(lambda batches: _brute_force(batches, least), "a long, b long").write.mode("append").parquet(path)
         big = met.filter(F.col("_n") > LEAF)
         if big.isEmpty():
-            return spark.read.schema("a long, b long").parquet(path)
+            return level + 1
         # the smallest node, so that buckets of one group mostly have the same pivot and edges repeat instead of adding up
         pivots = big.groupBy("path").agg(F.min("node").alias("node"), F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {SALTS}) as int))")).alias("_held"))
         pivots = pivots.join(reps.select("node", "sig"), "node").select("path", F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("_held"), i) == 1)).alias("_salt"))
         salted = tokens.filter(F.col("_n") > LEAF).withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
         compared = salted.join(pivots, ["path", "_salt"]).select("node", "sig", "path", "pivot", "pivot_sig").mapInArrow(_with_pivot, "node long, sig binary, path long, pivot long, same double")
         compared = stored(compared, "jaccard-pivots")
-        compared.filter((F.col("same") >= SURE + LIKELY - 1 - 1e-9) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).write.mode("append").parquet(path)
-        rows = compared.filter(F.col("same") < SURE).select("node", "sig", "path").mapInArrow(_split(0), "path long, node long")
+        compared.filter((F.col("same") >= sure + least - 1 - 1e-9) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).write.mode("append").parquet(path)
+        rows = compared.filter(F.col("same") < sure).select("node", "sig", "path").mapInArrow(_split(()), "path long, node long")
         level += 1
 
 
@@ -280,13 +318,13 @@ def _exact(similarity: float) -> Callable:
     return run
 
 
-def join(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """A row per document: the id, class_id, n_links.
 
     n_links: the number of other documents whose word shingles have a Jaccard similarity of `similarity` or more with
     this one's. class_id: the smallest id among the documents that links connect with this one, itself included. A text
     of fewer than `width` words has one shingle, all its words; null and empty texts, and those of white space, have
-    none and link to nothing. Rows with equal ids have one class, and each counts as a link. A null id is the smallest.
+    none and link to nothing. Rows with equal ids have one class, and each counts as a link. A null id is the smallest. Links are found with probability `recall` or more.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = docs.select(defined_id(id_col).alias("id"), text.alias("text"))
@@ -294,7 +332,7 @@ def join(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str =
     salted = sets.filter("size > 0").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     reps = salted.groupBy("k1", "k2").agg(F.min(F.struct("id", "sig")).alias("_first"), F.count("*").alias("weight"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_held"))
     reps = stored(reps.select("k1", "k2", F.col("_first.id").alias("node"), F.col("_first.sig").alias("sig"), "weight", "_held"), "jaccard-reps")
-    groups = components(candidates(reps))
+    groups = components(candidates(reps, similarity, recall))
     counted = with_group(groups, ["comp"], [F.count("*").alias("_m")], ["node"])
     members = counted.join(reps.select("node", "weight", "k1", "k2"), "node").select("comp", "node", "weight", "k1", "k2", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
     # the text of a set's first document; of rows with that id, those with other sets drop out by their keys
@@ -316,9 +354,9 @@ def join(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str =
     return out.select(real_id("id").alias(id_col), real_id("class_id").alias("class_id"), "n_links")
 
 
-def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """docs without near duplicates: of each class the document with the smallest id stays, with its own columns."""
-    kept = join(docs, width, similarity, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(defined_id(id_col).alias("_kept")).distinct()
+    kept = join(docs, width, similarity, id_col, text_col, recall).filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(defined_id(id_col).alias("_kept")).distinct()
     return docs.join(kept, defined_id(docs[id_col]) == kept["_kept"], "left_semi")
 
 

@@ -303,6 +303,20 @@ def test_jaccard_join(spark, monkeypatch, leaf, block):
     assert kept == {i for i in range(len(texts)) if label[i] == i}
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.65])
+def test_jaccard_join_at_lower_similarities(spark, similarity):
+    rng = random.Random(8)
+    texts = []
+    for g in range(150):  # pairs of 100 words each that share just enough
+        shared = next(n for n in range(101) if n >= similarity * (200 - n))
+        both = [f"g{g}w{i}" for i in range(shared)]
+        for side in "ab":
+            words = both + [f"g{g}{side}{i}" for i in range(100 - shared)]
+            texts.append(" ".join(rng.sample(words, len(words))))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(frame(spark, texts), 1, similarity).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(len(texts))}
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------
 
 
