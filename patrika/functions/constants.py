@@ -3,33 +3,49 @@
 from __future__ import annotations
 
 
-def _pairs(text: str) -> list[tuple[str, str]]:
-    """`key=value` tokens, longest keys first; equally long ones keep their order."""
-    return sorted((tuple(t.split("=")) for t in text.split(" ") if t), key=lambda p: -len(p[0]))
+def _longest_first(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The order in which a dictionary is applied: longest keys first; equally long ones keep their order."""
+    return sorted(pairs, key=lambda p: -len(p[0]))
 
 
 # Fixed values from here on. Dictionary of font-encoded text; later entries with an equal key have replaced earlier ones.
-LEGACY = _pairs("""
-AiÀÄ=ಆ ªÀ=ಅ EgÀ=ಇ EgÀÄ=ಈ GvÀÛ=ಉ GvÀÛÄ=ಊ F=ಎ ¥À=ಏ AiÉÆ=ಐ AiÀiÁ=ಒ AiÀiÁÄ=ಓ AiÀiï=ಔ £À=ನ PÀ=ಡ gÀ=ಗ
-µÀ=ಮ zÀ=ಜ dÄ=ತ ¸À=ಸ ¨sÀ=ಹ ®=ಪ C=ಚ r=ರ ¯À=ಪ §=ಲ ªÀiÁ=ಯ ªÀÄ=ವ ²=ಯ ¢=ಖ ¤=ಘ ¥=ಙ ¦=ಛ ¨=ಝ ©=ಞ ª=ಟ «=ಠ
-¬=ಢ \u00ad=ಣ ¯=ಫ °=ಭ ±=ಮ ³=ರ ´=ಲ µ=ವ ¶=ಶ ·=ಷ ¸=ಸ ¹=ಹ º=ಳ »=ೞ À=ಾ Á=ಿ Â=ೀ Ã=ು Ä=ೂ Å=ೃ Æ=ೄ Ç=ೆ È=ೇ
-É=ೈ Ê=ೊ Ë=ೋ Ì=ೌ Í=್ MAಜ=ಮಜ ಜA=ಜ ºಾ=ಸಾ ವಆ=ವ ಸÛಡU=ಸಂಡ ಾ¼ಾ=ಾದಾ ಲU=ಲ ೀR=ೀರ åವA=ಾವ æಆ=ೆ ಚx=ಚ ಾð=ಾತ
-DVಗ=ದ್ವಿಗ ಬæೂ=ಬೊ ಜÝಗ=ಜ್ಞಗ Áವಆ=ಅವ åನ=ಾನ ವä=ವ ಗಲ=ಗಲ ೆೆ=ೆ ಮï=ಮ nè=ನೆ ದÕಗ=ದಾಗ ಸೀ=ಸೀ ಗಅಸ=ಗಸ sÁಮ=ಸಮ
-ತಜè=ತಜೆ Áಜ=ಅಜ ಗಏರ=ಗರ Dಾಆ=ದಾ DನA=ದನ ವಾಗ=ವಾಗ ಬಡëತ=ಬಡತ EÁಸ=ಇಸ ೆಆೀ=ೆೀ ವಾÛೆ=ವಾೆ ೂವ=ೂವ ಾಗUಾ=ಾಗಾ
-ವಆಅಗ=ವಅಗ ೆVನ=ೆನ åÏೀ=ಾೀ UÁV=ದಿ ಗಅ¹=ಗ ಖÁAಡ=ಖಡ Dzೆ=ದಿ ೂಾº=ೂಸ ೆುಗ=ೆಗ ರ¹ವ=ರವ ಾೀ=ಾ ಿಎ=ಇ ಮಆª=ಮ Áಗ=ಅಗ
-ಯನಜA=ಯನಜ qಾ=ಗಾ ಡೊ=ಡೊ ÁV= ೀß=ೀ ಾ¼=ಾದ ೆ½=ೆ zೆ=ಜೆ ಜÝ=ಜ್ಞ ಕè=ಕೆ zತ=ಜತ ÁZ=ಅ ೆU=ೆ åÏ=ಾ ರ¹=ರ ªÁ= Ýೂ=ೂ
-ªೆ=ೆ ಅð=ಅತ üÁ= æÆ=ೆ Åz= ೆA=ೆ åQ=ಾ Û= ಸé=ಸೆ Aೆ=ೆ æೂ=ೊ ುೂ=ೂ AೆÜ=ೆ ಸA=ಸ Wಾ=ವಾ Pೆ=ಪೆ ೊಡ=ೊಡ ¼ಾ=ದಾ
-ೀ¹=ೀ ಏೊ=ಏ ೆV=ೆ ಾಗU=ಾಗ ೂ¹=ೂ ಾÛ=ಾ ೀÛ=ೀ ಾ½=ಾ ಲUೆ=ಲೆ ೌ=ೌ ಏæಡ=ಏಡ ುAqಾ=ುಗಾ Áಅðದಡ=ಅತದಡ ಚüÁæಆUಾ¼ಾ=ಚೆದಾ
-ನೀß=ನೀ Uಾ=ದಾ ವ¹=ವ ಯ=ಯ ನå=ನಾ ವ=ವ ೀRåವAವæಆಅಗ=ೀರಾವವೆಅಗ ു=ು ಚxಾðಸಅಅಗ=ಚಾತಸಅಅಗ
-""".replace("\n", " "))
+LEGACY = _longest_first([
+    ("AiÀÄ", "ಆ"), ("ªÀ", "ಅ"), ("EgÀ", "ಇ"), ("EgÀÄ", "ಈ"), ("GvÀÛ", "ಉ"), ("GvÀÛÄ", "ಊ"), ("F", "ಎ"), ("¥À", "ಏ"),
+    ("AiÉÆ", "ಐ"), ("AiÀiÁ", "ಒ"), ("AiÀiÁÄ", "ಓ"), ("AiÀiï", "ಔ"), ("£À", "ನ"), ("PÀ", "ಡ"), ("gÀ", "ಗ"),
+    ("µÀ", "ಮ"), ("zÀ", "ಜ"), ("dÄ", "ತ"), ("¸À", "ಸ"), ("¨sÀ", "ಹ"), ("®", "ಪ"), ("C", "ಚ"), ("r", "ರ"), ("¯À", "ಪ"),
+    ("§", "ಲ"), ("ªÀiÁ", "ಯ"), ("ªÀÄ", "ವ"), ("²", "ಯ"), ("¢", "ಖ"), ("¤", "ಘ"), ("¥", "ಙ"), ("¦", "ಛ"), ("¨", "ಝ"),
+    ("©", "ಞ"), ("ª", "ಟ"), ("«", "ಠ"), ("¬", "ಢ"), ("\u00ad", "ಣ"), ("¯", "ಫ"), ("°", "ಭ"), ("±", "ಮ"), ("³", "ರ"),
+    ("´", "ಲ"), ("µ", "ವ"), ("¶", "ಶ"), ("·", "ಷ"), ("¸", "ಸ"), ("¹", "ಹ"), ("º", "ಳ"), ("»", "ೞ"), ("À", "ಾ"),
+    ("Á", "ಿ"), ("Â", "ೀ"), ("Ã", "ು"), ("Ä", "ೂ"), ("Å", "ೃ"), ("Æ", "ೄ"), ("Ç", "ೆ"), ("È", "ೇ"), ("É", "ೈ"),
+    ("Ê", "ೊ"), ("Ë", "ೋ"), ("Ì", "ೌ"), ("Í", "್"), ("MAಜ", "ಮಜ"), ("ಜA", "ಜ"), ("ºಾ", "ಸಾ"), ("ವಆ", "ವ"),
+    ("ಸÛಡU", "ಸಂಡ"), ("ಾ¼ಾ", "ಾದಾ"), ("ಲU", "ಲ"), ("ೀR", "ೀರ"), ("åವA", "ಾವ"), ("æಆ", "ೆ"), ("ಚx", "ಚ"), ("ಾð", "ಾತ"),
+    ("DVಗ", "ದ್ವಿಗ"), ("ಬæೂ", "ಬೊ"), ("ಜÝಗ", "ಜ್ಞಗ"), ("Áವಆ", "ಅವ"), ("åನ", "ಾನ"), ("ವä", "ವ"), ("ಗಲ", "ಗಲ"),
+    ("ೆೆ", "ೆ"), ("ಮï", "ಮ"), ("nè", "ನೆ"), ("ದÕಗ", "ದಾಗ"), ("ಸೀ", "ಸೀ"), ("ಗಅಸ", "ಗಸ"), ("sÁಮ", "ಸಮ"),
+    ("ತಜè", "ತಜೆ"), ("Áಜ", "ಅಜ"), ("ಗಏರ", "ಗರ"), ("Dಾಆ", "ದಾ"), ("DನA", "ದನ"), ("ವಾಗ", "ವಾಗ"), ("ಬಡëತ", "ಬಡತ"),
+    ("EÁಸ", "ಇಸ"), ("ೆಆೀ", "ೆೀ"), ("ವಾÛೆ", "ವಾೆ"), ("ೂವ", "ೂವ"), ("ಾಗUಾ", "ಾಗಾ"), ("ವಆಅಗ", "ವಅಗ"), ("ೆVನ", "ೆನ"),
+    ("åÏೀ", "ಾೀ"), ("UÁV", "ದಿ"), ("ಗಅ¹", "ಗ"), ("ಖÁAಡ", "ಖಡ"), ("Dzೆ", "ದಿ"), ("ೂಾº", "ೂಸ"), ("ೆುಗ", "ೆಗ"),
+    ("ರ¹ವ", "ರವ"), ("ಾೀ", "ಾ"), ("ಿಎ", "ಇ"), ("ಮಆª", "ಮ"), ("Áಗ", "ಅಗ"), ("ಯನಜA", "ಯನಜ"), ("qಾ", "ಗಾ"), ("ಡೊ", "ಡೊ"),
+    ("ÁV", ""), ("ೀß", "ೀ"), ("ಾ¼", "ಾದ"), ("ೆ½", "ೆ"), ("zೆ", "ಜೆ"), ("ಜÝ", "ಜ್ಞ"), ("ಕè", "ಕೆ"), ("zತ", "ಜತ"),
+    ("ÁZ", "ಅ"), ("ೆU", "ೆ"), ("åÏ", "ಾ"), ("ರ¹", "ರ"), ("ªÁ", ""), ("Ýೂ", "ೂ"), ("ªೆ", "ೆ"), ("ಅð", "ಅತ"),
+    ("üÁ", ""), ("æÆ", "ೆ"), ("Åz", ""), ("ೆA", "ೆ"), ("åQ", "ಾ"), ("Û", ""), ("ಸé", "ಸೆ"), ("Aೆ", "ೆ"), ("æೂ", "ೊ"),
+    ("ುೂ", "ೂ"), ("AೆÜ", "ೆ"), ("ಸA", "ಸ"), ("Wಾ", "ವಾ"), ("Pೆ", "ಪೆ"), ("ೊಡ", "ೊಡ"), ("¼ಾ", "ದಾ"), ("ೀ¹", "ೀ"),
+    ("ಏೊ", "ಏ"), ("ೆV", "ೆ"), ("ಾಗU", "ಾಗ"), ("ೂ¹", "ೂ"), ("ಾÛ", "ಾ"), ("ೀÛ", "ೀ"), ("ಾ½", "ಾ"), ("ಲUೆ", "ಲೆ"),
+    ("ೌ", "ೌ"), ("ಏæಡ", "ಏಡ"), ("ುAqಾ", "ುಗಾ"), ("Áಅðದಡ", "ಅತದಡ"), ("ಚüÁæಆUಾ¼ಾ", "ಚೆದಾ"), ("ನೀß", "ನೀ"), ("Uಾ", "ದಾ"),
+    ("ವ¹", "ವ"), ("ಯ", "ಯ"), ("ನå", "ನಾ"), ("ವ", "ವ"), ("ೀRåವAವæಆಅಗ", "ೀರಾವವೆಅಗ"), ("ു", "ು"),
+    ("ಚxಾðಸಅಅಗ", "ಚಾತಸಅಅಗ"),
+])
 
 # Dictionary of misread characters.
-MISREAD = _pairs("""
-0=೦ 1=೧ 2=೨ 3=೩ 4=೪ 5=೫ 6=೬ 7=೭ 8=೮ 9=೯ o=ೊ O=ಒ e=ೆ u=ು i=ಿ a=ಅ |=ಲ್ l=ಲ I=ಇ S=ಸ m=ಮ n=ನ r=ರ t=ತ
-d=ದ p=ಪ b=ಬ k=ಕ g=ಗ j=ಜ c=ಚ h=ಹ y=ಯ v=ವ w=ವ MAಜ=ಮಜ DVಗ=ದ್ವಿಗ ಬæೂ=ಬೊ ಜÝಗ=ಜ್ಞಗ ದÕಗ=ದಾಗ ಸÛಡ=ಸಂಡ
-zsಾ=ಸಾ ಚzs=ಚಸ DನA=ದನ ಬಡëತ=ಬಡತ EÁಸ=ಇಸ ಗಏರ=ಗರ ಖÁA=ಖ Dzೆ=ದಿ ೂಾº=ೂಸ ರ¹ವ=ರವ Á= ß= ¼=ದ ½= ¹= Û= Ý= æ=
-ü= ð=ತ è=ೆ å=ಾ ë= Q= Z= X= V= A= U=
-""".replace("\n", " "))
+MISREAD = _longest_first([
+    ("0", "೦"), ("1", "೧"), ("2", "೨"), ("3", "೩"), ("4", "೪"), ("5", "೫"), ("6", "೬"), ("7", "೭"), ("8", "೮"),
+    ("9", "೯"), ("o", "ೊ"), ("O", "ಒ"), ("e", "ೆ"), ("u", "ು"), ("i", "ಿ"), ("a", "ಅ"), ("|", "ಲ್"), ("l", "ಲ"),
+    ("I", "ಇ"), ("S", "ಸ"), ("m", "ಮ"), ("n", "ನ"), ("r", "ರ"), ("t", "ತ"), ("d", "ದ"), ("p", "ಪ"), ("b", "ಬ"),
+    ("k", "ಕ"), ("g", "ಗ"), ("j", "ಜ"), ("c", "ಚ"), ("h", "ಹ"), ("y", "ಯ"), ("v", "ವ"), ("w", "ವ"), ("MAಜ", "ಮಜ"),
+    ("DVಗ", "ದ್ವಿಗ"), ("ಬæೂ", "ಬೊ"), ("ಜÝಗ", "ಜ್ಞಗ"), ("ದÕಗ", "ದಾಗ"), ("ಸÛಡ", "ಸಂಡ"), ("zsಾ", "ಸಾ"), ("ಚzs", "ಚಸ"),
+    ("DನA", "ದನ"), ("ಬಡëತ", "ಬಡತ"), ("EÁಸ", "ಇಸ"), ("ಗಏರ", "ಗರ"), ("ಖÁA", "ಖ"), ("Dzೆ", "ದಿ"), ("ೂಾº", "ೂಸ"),
+    ("ರ¹ವ", "ರವ"), ("Á", ""), ("ß", ""), ("¼", "ದ"), ("½", ""), ("¹", ""), ("Û", ""), ("Ý", ""), ("æ", ""), ("ü", ""),
+    ("ð", "ತ"), ("è", "ೆ"), ("å", "ಾ"), ("ë", ""), ("Q", ""), ("Z", ""), ("X", ""), ("V", ""), ("A", ""), ("U", ""),
+])
 
 # What Python takes for white space, what it takes for a word character (nearly), and blocks of the script.
 SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,3 +77,25 @@ ISSUES = {
 }
 NO_FILE, NOT_PDF, VALID = "No file selected", "File must be a PDF", "Valid"
 DIGITAL_PLACEHOLDER = "ಈ PDF ಯಿಂದ ಯಾವುದೇ ಪಠ್ಯವನ್ನು ಹೊರತೆಗೆಯಲಾಗಲಿಲ್ಲ. ಇದು ಸ್ಕ್ಯಾನ್ ಮಾಡಿದ PDF ಆಗಿರಬಹುದು. 'Scanned PDF' ಮೋಡ್ ಅನ್ನು ಪ್ರಯತ್ನಿಸಿ."
+#: Instead of a digital file's text that the repair leaves nothing of; before a failed file's error; a recognised file without text.
+EMPTIED = 'ಪಠ್ಯ ಸಂಸ್ಕರಣೆಯಲ್ಲಿ ದೋಷ ಸಂಭವಿಸಿದೆ. PDF ಯಲ್ಲಿ ಪುರಾತನ ಫಾಂಟ್\u200cಗಳಿರಬಹುದು.'
+FAILED = 'PDF ಸಂಸ್ಕರಣೆಯಲ್ಲಿ ದೋಷ: '
+RECOGNISED_PLACEHOLDER = 'ಈ ದಾಖಲೆಯಿಂದ ಯಾವುದೇ ಪಠ್ಯವನ್ನು ಹೊರತೆಗೆಯಲಾಗಲಿಲ್ಲ.'
+#: Lines of a recognised document: page heading, line of a page without text, of a failed page, and the summary.
+PAGE_HEADING, PAGE_OF = "ಪುಟ %d", "ಪುಟ %d / %d"
+NO_TEXT = '(ಈ ಪುಟದಲ್ಲಿ ಯಾವುದೇ ಪಠ್ಯ ಪತ್ತೆಯಾಗಿಲ್ಲ)'
+PAGE_FAILED = "ಪುಟ %d ಸಂಸ್ಕರಣೆಯಲ್ಲಿ ದೋಷ: %s"
+SUMMARY = "\nಸಾರಾಂಶ: %d/%d ಪುಟಗಳಿಂದ ಪಠ್ಯ ಹೊರತೆಗೆಯಲಾಗಿದೆ"
+#: What is told of errors, by the error's kind.
+NOT_VALID, NO_COMPONENTS = "Uploaded file is not a valid PDF.", "Required system components not found. Please check Tesseract installation."
+NO_PERMISSION, UNEXPECTED = "Permission denied. Please check file permissions.", "An unexpected error occurred: %s"
+#: Notes of the analysis, of text quality and of extraction.
+FORCED_NOTE, FAILURE_NOTES = "Force OCR mode enabled by user", ("Analysis failed: %s", "Defaulting to OCR for safety")
+QUALITY_NOTES = {
+    "none": "No text extracted", "script": "Kannada text detected", "no_script": "No Kannada text detected", "length": "Substantial text length: %d chars",
+    "few": "Low artifact ratio", "many": "High artifact ratio: %.2f", "words": "Found %d Kannada words",
+}
+EXTRACTED = ("PyMuPDF extracted %d chars from %d pages", "pdfplumber extracted %d chars", "PyPDF2 extracted %d chars")
+ENCRYPTED, SCANNED_BY = "PDF is encrypted", "Scanner software detected: "
+#: Settings under which one image is recognised for comparison.
+CONFIGURATIONS = ["--oem 3 --psm 6", "--oem 3 --psm 6 -c tessedit_char_whitelist=ಅ-ೞ೦-೯", "--oem 3 --psm 3", "--oem 1 --psm 6"]

@@ -56,6 +56,8 @@ def cleaned(text: str) -> str:
 
 
 def normal(text: str) -> str:
+    if text.isascii():
+        return text
     return _MARKS.sub("", unicodedata.normalize("NFC", text))
 
 
@@ -78,6 +80,11 @@ def font_encoded(text: str) -> bool:
     return total > 20 and sum(c > "\x7f" for c in text) / total > 0.7 and len(re.findall(ANY, text)) / total < 0.2
 
 
+def odd_characters(text: str) -> int:
+    """Characters that are neither script, white space, word characters nor common punctuation."""
+    return len(_SPACING[0][0].findall(text))
+
+
 def _finished(text: str) -> str:
     return collapsed(normal(cleaned(text)))
 
@@ -105,10 +112,17 @@ def repaired_digital(text: str, fonts: bool = False) -> str:
     return repaired(from_font(text), True) if not in_script(text) and len(text) > 20 else text
 
 
+def recognised(text: str) -> str:
+    """Recognised text: the page as it came says whether it is font-encoded, before misread characters are replaced."""
+    return repaired(text, font_encoded(text)) if text.strip() else ""
+
+
 # -- columns ----------------------------------------------------------------------------------------------------------
 
 
-def _arrow(step: Callable[[str], object], kind: DataType = StringType()) -> Callable:
+def arrow_function(step: Callable[[str], object], kind: DataType = StringType()) -> Callable:
+    """A Column function of a step on a str, whole Arrow batches at a time."""
+
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(step)
@@ -116,9 +130,9 @@ def _arrow(step: Callable[[str], object], kind: DataType = StringType()) -> Call
     return run
 
 
-_normal, _is_nfc = _arrow(normal), _arrow(lambda t: unicodedata.is_normalized("NFC", t), BooleanType())
-_from_font, _misread = _arrow(from_font), _arrow(lambda t: replaced(t, MISREAD))
-_repaired, _repaired_forced = _arrow(repaired), _arrow(lambda t: repaired(t, True))
+_normal, _is_nfc = arrow_function(normal), arrow_function(lambda t: unicodedata.is_normalized("NFC", t), BooleanType())
+_from_font, _misread = arrow_function(from_font), arrow_function(lambda t: replaced(t, MISREAD))
+_repaired, _repaired_forced, _recognised = arrow_function(repaired), arrow_function(lambda t: repaired(t, True)), arrow_function(recognised)
 
 
 @F.pandas_udf(StringType())
@@ -152,9 +166,10 @@ def repair_digital(c: Column | str, fonts: Column | None = None) -> Column:
 
 
 def repair_recognised(c: Column | str, debug: bool = False) -> Column:
-    """Recognised text: normal form only when debugging, else the full repair; blank texts are empty."""
+    """Recognised text: normal form only when debugging, else the full repair, forced where the text as it came is
+    font-encoded; blank texts are empty."""
     t = text_of(c)
-    return F.when(t.rlike(f"[^{SPACE}]"), normalize(t) if debug else repair(t)).otherwise("")
+    return F.when(t.rlike(f"[^{SPACE}]"), normalize(t)).otherwise("") if debug else _recognised(t)
 
 
 def substitute(c: Column | str, table: Sequence[tuple[str, str]]) -> Column:

@@ -19,8 +19,8 @@ def deleted(c: Column, chars: str) -> Column:
 
 
 def count_of(c: Column, chars: str) -> Column:
-    """How many characters of a class, as a difference of lengths."""
-    return F.length(c) - F.length(deleted(c, chars))
+    """How many characters of a class."""
+    return F.regexp_count(c, F.lit(f"[{chars}]"))
 
 
 def strip(c: Column | str) -> Column:
@@ -82,10 +82,12 @@ def issues(c: Column | str, normal: Column) -> Column:
 
 
 def profile(c: Column | str) -> Column:
-    """struct: total, script and ASCII characters with percentages to one decimal, and a sample of 100."""
+    """struct: total, script and ASCII characters with percentages to one decimal, ties to even, and a sample of 100."""
     t = text_of(c)
-    n, k, a = F.length(t), count_of(t, "ಀ-೿"), count_of(t, r"\x00-\x7F")
-    share = lambda x: F.when(n > 0, F.round(100.0 * x / n, 1)).otherwise(0.0)
+    n, k = F.length(t), count_of(t, "ಀ-೿")
+    a = n - count_of(t, r"^\x00-\x7F")
+    # format_number rounds the exact value half to even; a percentage has no thousands to group
+    share = lambda x: F.when(n > 0, F.format_number(x / n * 100, 1).cast("double")).otherwise(0.0)
     return F.struct(n.alias("total"), k.alias("script"), share(k).alias("script_pct"), a.alias("ascii"), share(a).alias("ascii_pct"), F.when(n > 0, F.substring(t, 1, 100)).otherwise("No text").alias("sample"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import ANY, SPACE, WORD
+from ..functions.constants import ANY, QUALITY_NOTES, SPACE, WORD
 from ..functions.script import count_of, is_blank, is_script, strip, text_of
 
 MIN_QUALITY, SAMPLE_PAGES = 0.3, 5
@@ -39,10 +39,10 @@ def _quality(t: Column) -> Column:
     score = F.least(part(script, 0.4) + part(n > 100, 0.2) + part(ratio < 0.1, 0.3) + part(words > 10, 0.1), F.lit(1.0))
     notes = F.array_compact(
         F.array(
-            F.when(script, "Kannada text detected").otherwise("No Kannada text detected"),
-            F.when(n > 100, F.format_string("Substantial text length: %d chars", n)),
-            F.when(ratio < 0.1, "Low artifact ratio").otherwise(F.format_string("High artifact ratio: %.2f", ratio)),
-            F.when(words > 10, F.format_string("Found %d Kannada words", words)),
+            F.when(script, QUALITY_NOTES["script"]).otherwise(QUALITY_NOTES["no_script"]),
+            F.when(n > 100, F.format_string(QUALITY_NOTES["length"], n)),
+            F.when(ratio < 0.1, QUALITY_NOTES["few"]).otherwise(F.format_string(QUALITY_NOTES["many"], ratio)),
+            F.when(words > 10, F.format_string(QUALITY_NOTES["words"], words)),
         )
     )
     none = F.array().cast("array<string>")
@@ -50,7 +50,7 @@ def _quality(t: Column) -> Column:
         F.when(blank, 0.0).otherwise(score).alias("score"),
         F.when(blank, "").otherwise(F.substring(t, 1, 500)).alias("sample"),
         F.when(~blank & script, F.array(F.lit("kannada"))).otherwise(none).alias("languages"),
-        F.when(blank, F.array(F.lit("No text extracted"))).otherwise(notes).alias("notes"),
+        F.when(blank, F.array(F.lit(QUALITY_NOTES["none"]))).otherwise(notes).alias("notes"),
     )
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import FAILURE_NOTES, FORCED_NOTE
 from ..functions.rewrite import normalize
 from ..functions.script import is_blank
 from ..operators.quality import document_type, with_quality
 
 
-def analyze(docs: DataFrame, text: str = "text", total_pages: Column | None = None, pages_with_text: Column | None = None, notes: Column | None = None, forced: Column | None = None) -> DataFrame:
-    """docs with an `analysis` struct. `forced` rows get the record of forced recognition instead."""
+def analyze(docs: DataFrame, text: str = "text", total_pages: Column | None = None, pages_with_text: Column | None = None, notes: Column | None = None, forced: Column | None = None, error: Column | None = None) -> DataFrame:
+    """docs with an `analysis` struct. `forced` rows get the record of forced recognition instead, others whose `error` is
+    not null that of a failed analysis."""
     total = F.coalesce(total_pages, F.lit(1)) if total_pages is not None else F.lit(1)
     layer = ~is_blank(text)
     found = pages_with_text if pages_with_text is not None else layer.cast("int")
@@ -20,17 +22,19 @@ def analyze(docs: DataFrame, text: str = "text", total_pages: Column | None = No
     rows = rows.withColumn("_k", kind)
     none = F.array().cast("array<string>")
     force = F.coalesce(forced, F.lit(False)) if forced is not None else F.lit(False)
-    pick = lambda fixed, own: F.when(force, fixed).otherwise(own)
+    failed = error if error is not None else F.lit(None).cast("string")
+    failure = F.array(F.format_string(FAILURE_NOTES[0], failed), F.lit(FAILURE_NOTES[1]))
+    pick = lambda fixed, own, broken=None: F.when(force, fixed).when(failed.isNotNull(), fixed if broken is None else broken).otherwise(own)
     analysis = F.struct(
-        pick(F.lit("forced_ocr"), F.col("_k.type")).alias("pdf_type"),
+        pick(F.lit("forced_ocr"), F.col("_k.type"), F.lit("unknown")).alias("pdf_type"),
         pick(F.lit(False), F.col("_layer")).alias("has_text_layer"),
         pick(F.lit(0.0), F.col("_q.score")).alias("text_quality_score"),
-        total.cast("int").alias("total_pages"),
+        pick(total, total, F.lit(1)).cast("int").alias("total_pages"),
         pick(F.lit(0), found.cast("int")).alias("pages_with_text"),
         pick(F.lit(""), F.substring("_q.sample", 1, 200)).alias("sample_text"),
         pick(none, F.col("_q.languages")).alias("detected_languages"),
         pick(F.lit(True), F.col("_k.needs_ocr")).alias("needs_ocr"),
-        pick(F.lit(1.0), F.col("_k.confidence")).alias("confidence"),
-        pick(F.array(F.lit("Force OCR mode enabled by user")), F.concat(notes if notes is not None else none, F.col("_q.notes"))).alias("analysis_notes"),
+        pick(F.lit(1.0), F.col("_k.confidence"), F.lit(0.5)).alias("confidence"),
+        pick(F.array(F.lit(FORCED_NOTE)), F.concat(notes if notes is not None else none, F.col("_q.notes")), failure).alias("analysis_notes"),
     )
     return rows.withColumn("analysis", analysis).drop("_q", "_k", "_layer")

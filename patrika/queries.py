@@ -5,13 +5,14 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, rewrite, script
-from .functions.constants import ANY, CONSONANT, CORRUPTION, DAMAGE, DELETED, DIGIT, FONTS, ISSUES, LEGACY, LETTER, MARKERS, MARKS, MISREAD, NO_FILE, NOT_PDF, RULES, SCANNERS, SCRIPT, SPACE, VALID, VOWEL_SIGN, WORD, DIGITAL_PLACEHOLDER
+from .functions.constants import ANY, CORRUPTION, DAMAGE, DELETED, DIGIT, FONTS, ISSUES, LEGACY, LETTER, MARKERS, MARKS, MISREAD, NO_FILE, NOT_PDF, RULES, SCANNERS, SCRIPT, SPACE, VALID, VOWEL_SIGN, WORD, DIGITAL_PLACEHOLDER, EMPTIED, EXTRACTED, FAILED, FAILURE_NOTES, NO_COMPONENTS, NO_PERMISSION, NO_TEXT, NOT_VALID, PAGE_FAILED, PAGE_HEADING, PAGE_OF, RECOGNISED_PLACEHOLDER, SUMMARY, UNEXPECTED
 from .operators import pages as pg
 from .operators import quality as ql
+from .plans import flows
 from .plans.analyze import analyze
 from .sources.files import spread
 
@@ -26,7 +27,7 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text twice: as it is, and with misread characters replaced, which fills it with script."""
     d = _docs(spark, sf_dir).withColumn("other", rewrite.fix_misread("text"))
     rows = F.array(F.struct(F.lit(0).alias("variant"), "text"), F.struct(F.lit(1).alias("variant"), F.col("other").alias("text")))
-    return d.select("doc_id", F.inline(rows))
+    return d.select("doc_id", "lang", F.inline(rows))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +176,7 @@ def q4_analysis(spark, d):
 
 @_query(f"WITH {_QUALITY}, k AS (SELECT variant, lang, {_KIND} AS pdf_type, score FROM quality JOIN documents USING (doc_id)) SELECT lang, variant, pdf_type, count(*) AS n, sum((score * 10)::INT)::BIGINT AS tenths FROM k GROUP BY ALL")
 def q4_summary(spark, d):
-    a = analyze(_both(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id"))
+    a = analyze(_both(spark, d))
     return a.groupBy("lang", "variant", F.col("analysis.pdf_type").alias("pdf_type")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("analysis.text_quality_score") * 10).cast("int")).alias("tenths"))
 
 
@@ -233,7 +234,7 @@ def p3_validation(spark, d):
     return _both(spark, d).select("doc_id", "variant", F.array_join(script.issues("text", rewrite.is_nfc("text")), _JOIN).alias("issues"))
 
 
-_PC = lambda x: f"CASE WHEN length(text) > 0 THEN round(100.0::DOUBLE * {x} / length(text), 1) ELSE 0.0::DOUBLE END"
+_PC = lambda x: f"CASE WHEN length(text) > 0 THEN printf('%.1f', {x}::DOUBLE / length(text) * 100)::DOUBLE ELSE 0.0::DOUBLE END"
 _ASC = _count("text", r"\x00-\x7F")
 
 
@@ -272,12 +273,12 @@ def t5_clean(spark, d):
     return _both(spark, d).select("doc_id", "variant", rewrite.clean("text").alias("text"))
 
 
-def _steps(source: str, forced: bool) -> str:
-    """The repair as staged tables over (doc_id, t)."""
-    hit = "true" if forced else _encoded("t")
+def _steps(source: str, forced: bool | None) -> str:
+    """The repair as staged tables over (doc_id, t); forced None: where the column `forced` or the detection says so."""
+    hit = "true" if forced else _encoded("t") if forced is False else f"(forced OR {_encoded('t')})"
     done = lambda x: _collapse(_normal(_clean(x)))
     return (
-        f"r1 AS MATERIALIZED (SELECT doc_id, {_replaced('t', MISREAD)} AS t FROM {source}), r2 AS MATERIALIZED (SELECT doc_id, CASE WHEN {hit} THEN {_rules(_rules(_replaced('t', LEGACY)))} ELSE t END AS t FROM r1), "
+        f"r1 AS MATERIALIZED (SELECT * REPLACE ({_replaced('t', MISREAD)} AS t) FROM {source}), r2 AS MATERIALIZED (SELECT doc_id, CASE WHEN {hit} THEN {_rules(_rules(_replaced('t', LEGACY)))} ELSE t END AS t FROM r1), "
         f"r3 AS MATERIALIZED (SELECT doc_id, {done('t')} AS t FROM r2), r4 AS MATERIALIZED (SELECT doc_id, t, NOT {_script('t')} AND length(t) > 10 AS again, {_rules(_rules(_replaced('t', LEGACY)))} AS u FROM r3), "
         f"repaired AS MATERIALIZED (SELECT doc_id, CASE WHEN again THEN {done('u')} ELSE t END AS t FROM r4)"
     )
@@ -307,7 +308,7 @@ def s1_upload(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", names.upload_status(name).alias("status"), names.safe_name(name).alias("safe"))
 
 
-_S9 = "(SELECT doc_id, substr(text, 1, (doc_id % 160)::INT) AS t1, substr(text, 1, (doc_id % 60)::INT) AS t2, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS t3, doc_id % 5 AS p1, doc_id % 7 AS p2, doc_id % 4 AS p3 FROM documents)"
+_S9 = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN source WHEN 2 THEN lang ELSE ' ' END AS t1, CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN text ELSE '' END AS t2, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS t3, doc_id % 5 AS p1, doc_id % 7 AS p2, doc_id % 4 AS p3 FROM documents)"
 
 
 @_query(
@@ -318,19 +319,21 @@ _S9 = "(SELECT doc_id, substr(text, 1, (doc_id % 160)::INT) AS t1, substr(text,
 )
 def s9_cascade(spark, d):
     i = F.col("doc_id")
-    x = _docs(spark, d).select("doc_id", F.expr("substr(text, 1, cast(doc_id % 160 as int))").alias("t1"), F.expr("substr(text, 1, cast(doc_id % 60 as int))").alias("t2"), F.when(i % 3 == 0, " ").otherwise(F.col("text")).alias("t3"))
+    first = F.when(i % 4 == 0, F.col("text")).when(i % 4 == 1, F.col("source")).when(i % 4 == 2, F.col("lang")).otherwise(" ")
+    second = F.when(i % 5 == 0, F.col("lang")).when(i % 5 == 1, F.col("text")).otherwise("")
+    x = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source", "text")).select("doc_id", first.alias("t1"), second.alias("t2"), F.when(i % 3 == 0, " ").otherwise(F.col("text")).alias("t3"))
     x = x.withColumn("c", pg.cascade(F.col("t1"), F.col("t2"), F.col("t3"), (i % 5, i % 7, i % 4)))
     return x.select("doc_id", "c.text", "c.has_text_layer", "c.pages_with_text", F.array_join("c.notes", _JOIN).alias("notes"))
 
 
 @_query(
-    f"SELECT doc_id, {_any('lower(substr(text, 1, 400))', [f.lower() for f in FONTS])} OR doc_id % 9 = 0 AS legacy_fonts, array_to_string(list_filter([CASE WHEN doc_id % 4 = 0 THEN 'PDF is encrypted' END, "
+    f"SELECT doc_id, {_any('lower(text)', [f.lower() for f in FONTS])} OR doc_id % 9 = 0 AS legacy_fonts, array_to_string(list_filter([CASE WHEN doc_id % 4 = 0 THEN 'PDF is encrypted' END, "
     f"CASE WHEN {_any('c', SCANNERS)} OR {_any('p', SCANNERS)} THEN 'Scanner software detected: ' || CASE WHEN c <> '' THEN c ELSE p END END], lambda x: x IS NOT NULL), '{_JOIN}') AS notes "
     "FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'camscanner 5' WHEN 1 THEN '' ELSE 'writer' END AS c, CASE doc_id % 5 WHEN 0 THEN 'acrobat x' ELSE 'lib' END AS p FROM documents)"
 )
 def s10_file_notes(spark, d):
     i = F.col("doc_id")
-    fonts = F.array(F.substring("text", 1, 400), F.when(i % 9 == 0, "ABC+BRH-Kannada").otherwise("Arial"))
+    fonts = F.array(F.col("text"), F.when(i % 9 == 0, "ABC+BRH-Kannada").otherwise("Arial"))
     creator, producer = F.when(i % 3 == 0, "CamScanner 5").when(i % 3 == 1, None).otherwise("Writer"), F.when(i % 5 == 0, "Acrobat X").otherwise("Lib")
     return _docs(spark, d).select("doc_id", pg.has_legacy_font(fonts).alias("legacy_fonts"), F.array_join(pg.file_notes(i % 4 == 0, creator, producer), _JOIN).alias("notes"))
 
@@ -370,6 +373,127 @@ def k4_paragraphs(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(pg.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))), _JOIN).alias("paragraphs"))
 
 
+# recognised pages: each text of _marked, blank for every seventh document; markers in the raw text force the font dictionary
+_RAW = f"(SELECT doc_id, variant, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS t FROM (SELECT doc_id, variant, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text || {q(' '.join(MARKERS[-2:]))} WHEN 2 THEN text || {q(' '.join(DAMAGE[:3]))} WHEN 3 THEN repeat('ÿ', 30) ELSE text || {q(MARKERS[4])} END AS text FROM {_BOTH}))"
+_KEYED = f"(SELECT 2 * doc_id + variant AS doc_id, t, {_encoded('t')} AS forced FROM {_RAW})"
+
+
+def _raw(spark, d):
+    i, t = F.col("doc_id") % 5, F.col("text")
+    x = F.when(i == 0, t).when(i == 1, F.concat(t, F.lit(" ".join(MARKERS[-2:])))).when(i == 2, F.concat(t, F.lit(" ".join(DAMAGE[:3])))).when(i == 3, F.lit("ÿ" * 30)).otherwise(F.concat(t, F.lit(MARKERS[4])))
+    return _both(spark, d).select((2 * F.col("doc_id") + F.col("variant")).alias("doc_id"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(x).alias("t"))
+
+
+@_query(f"WITH src AS MATERIALIZED (SELECT * FROM {_KEYED}), {_steps('src', None)} SELECT s.doc_id, CASE WHEN {_blank('s.t')} THEN '' ELSE r.t END AS text FROM src s JOIN repaired r USING (doc_id)")
+def t8_recognised(spark, d):
+    return _raw(spark, d).select("doc_id", rewrite.repair_recognised("t").alias("text"))
+
+
+@_query(f"SELECT doc_id, CASE WHEN {_blank('t')} THEN '' ELSE {_normal('t')} END AS text FROM (SELECT 2 * doc_id + variant AS doc_id, t FROM {_RAW})")
+def t8_debug(spark, d):
+    return _raw(spark, d).select("doc_id", rewrite.repair_recognised("t", debug=True).alias("text"))
+
+
+# a file's pages: two rows of _raw
+_FILED = "SELECT doc_id // 4 AS doc_id, (doc_id % 4 + 1)::INT AS page_num"
+_ASSEMBLED = f"coalesce(string_agg(page_text || chr(10) || chr(10), '' ORDER BY page_num) FILTER (WHERE NOT ({_blank('page_text')})), '')"
+
+
+def _filed(spark, d):
+    i = F.col("doc_id")
+    return _raw(spark, d).select(F.expr("doc_id div 4").alias("doc_id"), (i % 4 + 1).cast("int").alias("page_num"), F.col("t").alias("page_text"))
+
+
+@_query(
+    f"WITH src AS MATERIALIZED (SELECT * FROM {_KEYED}), {_steps('src', None)}, p AS ({_FILED}, CASE WHEN {_blank('s.t')} THEN '' ELSE r.t END AS page_text FROM src s JOIN repaired r USING (doc_id)), "
+    f"a AS (SELECT doc_id, {_ASSEMBLED} AS t, count(*) AS total_pages, count(*) FILTER (WHERE NOT ({_blank('page_text')})) AS pages_with_text FROM p GROUP BY doc_id), b AS (SELECT *, {_normal('t')} AS n FROM a), c AS (SELECT *, CASE WHEN {_blank('n')} THEN {q(RECOGNISED_PLACEHOLDER)} ELSE n END AS text FROM b) "
+    f"SELECT doc_id, text, total_pages, pages_with_text, pages_with_text || '/' || total_pages AS summary, CASE WHEN {_blank('text')} THEN 'blank' WHEN NOT {_script('text')} THEN 'no_script' ELSE 'success' END AS status FROM c"
+)
+def r6_scanned(spark, d):
+    return flows.scanned(_filed(spark, d))
+
+
+@_query(
+    f"WITH p AS ({_FILED}, t AS page_text FROM (SELECT 2 * doc_id + variant AS doc_id, t FROM {_RAW})), a AS (SELECT doc_id, {_ASSEMBLED} AS text, count(*) AS total_pages, count(*) FILTER (WHERE NOT ({_blank('page_text')})) AS pages_with_text, bool_or(page_num = 1 AND doc_id % 3 = 0) AS fonts, max(CASE WHEN page_num = 2 AND doc_id % 11 = 5 THEN 'bad page' END) AS error FROM p GROUP BY doc_id), "
+    f"d AS MATERIALIZED (SELECT *, {_blank('text')} AS blank, {_script('text')} AS script, {_encoded('text')} AS enc FROM a), light AS MATERIALIZED (SELECT doc_id, {_collapse(_normal('text'))} AS t FROM d), "
+    f"heavy AS MATERIALIZED (SELECT d.doc_id, {_rules(_replaced('text', LEGACY))} AS t FROM d WHERE NOT blank AND NOT (script AND NOT fonts) AND (fonts OR enc)), "
+    f"again AS MATERIALIZED (SELECT doc_id, {_rules(_replaced('light.t', LEGACY))} AS t FROM d JOIN light USING (doc_id) WHERE NOT blank AND NOT script AND NOT fonts AND NOT enc AND NOT {_script('light.t')} AND length(light.t) > 20), "
+    f"src AS (SELECT * FROM heavy UNION ALL SELECT * FROM again), {_steps('src', True)}, "
+    f"o AS (SELECT d.doc_id, total_pages, pages_with_text, CASE WHEN error IS NOT NULL THEN {q(FAILED)} || error WHEN d.blank THEN {q(DIGITAL_PLACEHOLDER)} WHEN {_blank('coalesce(r.t, light.t)')} THEN {q(EMPTIED)} ELSE coalesce(r.t, light.t) END AS text FROM d JOIN light USING (doc_id) LEFT JOIN repaired r USING (doc_id)) "
+    f"SELECT doc_id, text, total_pages, pages_with_text, {_status('text')} AS status FROM o"
+)
+def r6_digital(spark, d):
+    i, n = F.col("doc_id"), F.col("page_num")
+    return flows.digital(_filed(spark, d), (n == 1) & (i % 3 == 0), F.when((n == 2) & (i % 11 == 5), "bad page"))
+
+
+@_query("SELECT doc_id, page_num, CASE WHEN " + _blank("a") + " THEN b ELSE a END AS page_text FROM (SELECT conv_id AS doc_id, turn + 1 AS page_num, CASE WHEN turn % 3 = 1 THEN ' ' ELSE text END AS a, CASE WHEN turn % 2 = 1 THEN role ELSE '' END AS b FROM conversations)")
+def s5_layout_retry(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    p = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_num"), F.when(F.col("turn") % 3 == 1, " ").otherwise(F.col("text")).alias("a"), F.when(F.col("turn") % 2 == 1, F.col("role")).alias("b"))
+    return flows.coalesced_pages(p, "a", "b").select("doc_id", "page_num", "page_text")
+
+
+@_query(
+    f"SELECT doc_id, 'unknown' AS pdf_type, false AS has_text_layer, 0.0::DOUBLE AS score, 1 AS total_pages, 0 AS pages_with_text, '' AS sample_text, '' AS languages, true AS needs_ocr, 0.5::DOUBLE AS confidence, {q(FAILURE_NOTES[0].replace('%s', ''))} || lang || {q(_JOIN + FAILURE_NOTES[1])} AS notes FROM documents WHERE doc_id % 2 = 0 "
+    f"UNION ALL SELECT doc_id, 'forced_ocr', false, 0.0, 9, 0, '', '', true, 1.0, 'Force OCR mode enabled by user' FROM documents WHERE doc_id % 2 = 1"
+)
+def q4_unknown(spark, d):
+    i = F.col("doc_id") % 2
+    a = analyze(_docs(spark, d), total_pages=F.lit(9), forced=i == 1, error=F.col("lang"))
+    return a.select("doc_id", "analysis.pdf_type", "analysis.has_text_layer", F.col("analysis.text_quality_score").alias("score"), "analysis.total_pages", "analysis.pages_with_text", "analysis.sample_text", F.array_join("analysis.detected_languages", ",").alias("languages"), "analysis.needs_ocr", "analysis.confidence", F.array_join("analysis.analysis_notes", _JOIN).alias("notes"))
+
+
+def _shown(b):
+    return F.array_join(F.transform("blocks", lambda x: F.concat(x["kind"], F.lit("|"), F.coalesce(x["text"], F.lit("")))), _JOIN).alias(b)
+
+
+def _sql_format(pattern: str, *values: str) -> str:
+    parts = pattern.replace("%s", "%d").split("%d")
+    return " || ".join([q(parts[0]), *(f"{v} || {q(p)}" for v, p in zip(values, parts[1:], strict=True))])
+
+
+_LINES = (
+    f"CASE WHEN error IS NOT NULL THEN 'italic|' || {_sql_format(PAGE_FAILED, 'page_num', 'error')} ELSE 'heading|' || {_sql_format(PAGE_HEADING, 'page_num')} || '{_JOIN}' || CASE WHEN {_blank('page_text')} THEN {q('italic|' + NO_TEXT)} ELSE 'text|' || page_text END END"
+    f" || CASE WHEN page_num < max(page_num) OVER (PARTITION BY doc_id) THEN '{_JOIN}break|' ELSE '' END"
+)
+
+
+@_query(
+    f"WITH p AS (SELECT *, CASE WHEN page_num = 3 THEN 'x' END AS error FROM {_P}), l AS (SELECT doc_id, page_num, page_text, error, {_LINES} AS line FROM p) "
+    f"SELECT doc_id, string_agg(line, '{_JOIN}' ORDER BY page_num) || '{_JOIN}bold|' || {_sql_format(SUMMARY, f'count(*) FILTER (WHERE error IS NULL AND NOT ({_blank(chr(112) + "age_text")}))', 'count(*)')} AS blocks FROM l GROUP BY doc_id"
+)
+def k3_recognised_document(spark, d):
+    p = _pages(spark, d).withColumn("error", F.when(F.col("page_num") == 3, "x"))
+    return pg.recognised_blocks(p, error="error").select("doc_id", _shown("blocks"))
+
+
+@_query(
+    f"WITH p AS (SELECT doc_id, page_num, page_text, unnest(list_filter(list_transform(string_split(page_text, '. '), lambda x: {_strip('x')}), lambda x: x <> '')) AS para FROM {_P}), "
+    f"w AS (SELECT doc_id, page_num, (CASE WHEN page_num > 1 THEN 'break|{_JOIN}' ELSE '' END) || string_agg('text|' || para, '{_JOIN}') AS line FROM (SELECT *, row_number() OVER () AS r FROM p) GROUP BY doc_id, page_num), a AS (SELECT DISTINCT doc_id FROM {_P}) "
+    f"SELECT a.doc_id, coalesce((SELECT string_agg(line, '{_JOIN}' ORDER BY page_num) FROM w WHERE w.doc_id = a.doc_id), '') AS blocks FROM a"
+)
+def k4_simple_document(spark, d):
+    p = _pages(spark, d).withColumn("page_text", F.replace("page_text", F.lit(". "), F.lit("\n\n")))
+    return pg.simple_blocks(p).select("doc_id", _shown("blocks"))
+
+
+@_query(f"SELECT conv_id AS doc_id, turn, {_sql_format(PAGE_OF, 'turn + 1', 'max(turn + 1) OVER (PARTITION BY conv_id)')} AS header FROM conversations")
+def k7_page_header(spark, d):
+    c = pg.numbered(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "turn"), pos="turn")
+    return c.select("doc_id", "turn", pg.page_header(F.col("turn") + 1, F.max(F.col("turn") + 1).over(Window.partitionBy("doc_id"))).alias("header"))
+
+
+@_query(
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN " + q(NOT_VALID) + " WHEN 1 THEN source || ': ' || lang WHEN 2 THEN " + q(NO_COMPONENTS) + " WHEN 3 THEN " + q(NO_PERMISSION) + " WHEN 4 THEN " + q(UNEXPECTED.replace("%s", "")) + " || source || ': ' || lang END AS message FROM documents"
+)
+def k12_messages(spark, d):
+    i = F.col("doc_id") % 6
+    kind = F.when(i == 0, "PdfReadError").when(i == 1, "ValueError").when(i == 2, "FileNotFoundError").when(i == 3, "PermissionError").when(i == 4, "KeyError")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", names.error_message(F.concat(kind, F.lit(": "), "source", F.lit(": "), "lang")).alias("message"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _ALL.items()}
 

@@ -10,10 +10,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.constants import CONFIGURATIONS
 
 PAGES = "path string, page_num int, page_text string, image binary, error string"
 Reader = Callable[[bytes], Sequence[tuple[str | None, bytes | None]]]
 Recogniser = Callable[[bytes, float], str]
+IMAGES = "path string, page_number int, width int, height int, source string, image binary, error string"
+#: Of a page: its render, and the images in it, each as width, height and content; one that fails raises.
+ImageReader = Callable[[bytes], Sequence[tuple[tuple[int, int, bytes], Sequence[Callable[[], tuple[int, int, bytes]]]]]]
 
 
 def read_pages(files: DataFrame, make_reader: Callable[[], Reader]) -> DataFrame:
@@ -71,3 +77,107 @@ def recognise_pages(pages: DataFrame, make_engines: Callable[[], Sequence[tuple[
             yield b
 
     return pages.select("path", "page_num", "page_text", "image", "error").mapInPandas(run, PAGES)
+
+
+def _told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def recognise_within_limit(
+    pages: DataFrame, make_costly: Callable[[], Recogniser] | None, make_plain: Callable[[], Recogniser], limit: int | None = 20, seconds: float = 60.0, prepare: Callable[[bytes], bytes] | None = None
+) -> DataFrame:
+    """Pages with the text of their images: by the costly recogniser for the first `limit` pages of a file (None: all),
+    by the plain one for the rest. Where the costly one fails, the plain one has half the time; a blank text is a text.
+    Where the costly one can't be made, the plain one takes all pages. What the plain one raises is the row's error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain, costly = make_plain(), None
+        if make_costly is not None:
+            try:
+                costly = make_costly()
+            except Exception:  # no access to it: the plain one is there
+                costly = None
+
+        def text_of(image: bytes, number: int) -> str:
+            if costly is None or (limit is not None and number > limit):
+                return plain(image, seconds)
+            try:
+                return costly(image, seconds)
+            except Exception:
+                return plain(image, seconds // 2)
+
+        for b in batches:
+            texts, errors = [], []
+            for image, number in zip(b["image"], b["page_num"], strict=True):
+                text, error = "", "no image" if image is None else None
+                if image is not None:
+                    raw = bytes(image)
+                    try:
+                        raw = prepare(raw) if prepare else raw
+                    except Exception:
+                        raw = bytes(image)
+                    try:
+                        text = text_of(raw, int(number)) or ""
+                    except Exception as e:
+                        error = _told(e)
+                texts.append(text)
+                errors.append(error)
+            b["page_text"], b["error"] = texts, errors
+            yield b
+
+    return pages.select("path", "page_num", "page_text", "image", "error").mapInPandas(run, PAGES)
+
+
+def compare_configurations(pages: DataFrame, make_recogniser: Callable[[], Callable[[bytes, str], str]], configurations: Sequence[str] = tuple(CONFIGURATIONS)) -> DataFrame:
+    """A row (path, page_num, config, text) for each page's image under each configuration, named config_0 and so on; an
+    error is the text of its row. files.write_by_configuration writes them."""
+    rows = pages.select("path", "page_num", "image", F.posexplode(F.array(*[F.lit(c) for c in configurations])).alias("_pos", "_options"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recognise = make_recogniser()
+        for b in batches:
+            texts = []
+            for image, options in zip(b["image"], b["_options"], strict=True):
+                try:
+                    texts.append(recognise(bytes(image), options))
+                except Exception as e:
+                    texts.append(f"Error: {e}")
+            yield pd.DataFrame({"path": b["path"], "page_num": b["page_num"], "config": "config_" + b["_pos"].astype(str), "text": texts})
+
+    return rows.mapInPandas(run, "path string, page_num int, config string, text string")
+
+
+def read_images(files: DataFrame, make_reader: Callable[[], ImageReader], pages: Sequence[int] | None = None) -> DataFrame:
+    """Rows of the images of `files` (path, content): for each page (or those of the indices `pages`, from 0, that there
+    are) its render with source 'page_render', then the images in it as 'embedded_0' and so on; one that fails is left
+    out. A file that can't be read is a row with page_number 0 and its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = make_reader()
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                rows = []
+                try:
+                    all_ = reader(bytes(content))
+                    for i in range(len(all_)) if pages is None else [i for i in pages if i < len(all_)]:
+                        render, inside = all_[i]
+                        rows.append((path, i + 1, *render[:2], "page_render", render[2], None))
+                        for k, one in enumerate(inside):
+                            try:
+                                width, height, image = one()
+                            except Exception:
+                                continue
+                            rows.append((path, i + 1, width, height, f"embedded_{k}", image, None))
+                except Exception as e:
+                    rows = [(path, 0, None, None, None, None, _told(e))]
+                yield pd.DataFrame(rows, columns=["path", "page_number", "width", "height", "source", "image", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, IMAGES)
+
+
+def first_done(first: DataFrame, second: DataFrame, id_col: str = "path") -> DataFrame:
+    """Rows (id, content, error) of two ways to convert the same files: the second's where the first has no content, and
+    an error only where neither has. Ids are unique in each and not null."""
+    b = second.select(F.col(id_col).alias("_id"), F.col("content").alias("_content"), F.col("error").alias("_error"))
+    done = F.coalesce("content", "_content")
+    return first.join(b, F.col(id_col) == F.col("_id"), "left").select(id_col, done.alias("content"), F.when(done.isNull(), F.coalesce("_error", "error", F.lit("RuntimeError: PDF conversion failed"))).alias("error"))

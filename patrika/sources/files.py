@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import MOST_BYTES
 
-_TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
-_RELS = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+_TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>'
+_RELS = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/><Relationship Id="r2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>'
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -24,10 +24,10 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf", most_byte
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores. Tables of more partitions than that stay as they are, so
-    this shuffles nothing but a table of a few unsplittable files."""
+    """df dealt to all cores if it comes from fewer files than there are cores, and may not be split as they are. Tables
+    of more files stay as they are, so this shuffles small tables only."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def write_texts(docs: DataFrame, path: str, text: str = "text") -> None:
@@ -35,26 +35,75 @@ def write_texts(docs: DataFrame, path: str, text: str = "text") -> None:
     docs.select(F.coalesce(F.col(text), F.lit("")).alias("value")).write.text(path, lineSep="\u001e")
 
 
-def docx_bytes(paragraphs: list[str | None], font: str = "Noto Sans Kannada", points: int = 12, language: str = "kn-IN") -> bytes:
-    """A word-processor document: a paragraph for each text, a page break for each None."""
-    style = f'<w:rPr><w:rFonts w:ascii="{font}" w:hAnsi="{font}" w:cs="{font}"/><w:sz w:val="{2 * points}"/><w:lang w:val="{language}" w:bidi="{language}"/></w:rPr>'
-    run = lambda t: '<w:p><w:r><w:br w:type="page"/></w:r></w:p>' if t is None else f'<w:p><w:r>{style}<w:t xml:space="preserve">{escape("".join(c for c in t if c >= " " or c in chr(9) + chr(10)))}</w:t></w:r></w:p>'
-    body = "".join(run(t) for t in paragraphs)
-    out = io.BytesIO()
+def write_by_configuration(rows: DataFrame, path: str, config: str = "config", text: str = "text") -> None:
+    """Texts in a folder for each configuration."""
+    rows.select(F.col(config).alias("config"), F.coalesce(F.col(text), F.lit("")).alias("value")).write.partitionBy("config").text(path, lineSep="\u001e")
+
+
+def _clean(text: str | None) -> str:
+    return escape("".join(c for c in text or "" if c >= " " or c in "\t\n"))
+
+
+def _picture(number: int, inches: float) -> str:
+    """An image `inches` wide; its height follows from the image where the program that opens it scales it."""
+    side = int(inches * 914_400)
+    return (
+        f'<w:p><w:r><w:drawing><wp:inline xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><wp:extent cx="{side}" cy="{side * 3 // 2}"/><wp:docPr id="{number}" name="image{number}"/>'
+        '<a:graphic xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture"><pic:pic xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture">'
+        f'<pic:nvPicPr><pic:cNvPr id="{number}" name="image{number}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:embed="image{number}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+        f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="{side}" cy="{side * 3 // 2}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r></w:p>'
+    )
+
+
+def document_bytes(blocks: list[tuple[str, str | None, bytes | None]], title: str | None = None, author: str | None = None, font: str = "Noto Sans Kannada", points: int = 12, language: str = "kn-IN", inches: float = 4.0) -> bytes:
+    """A word-processor document of blocks (kind, text, image): heading, text, italic, bold, image or break."""
+    body, images = [], []
+    for kind, text, image in blocks:
+        if kind == "break":
+            body.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
+        elif kind == "image":
+            if image is not None:
+                images.append(bytes(image))
+                body.append(_picture(len(images), inches))
+        else:
+            place = '<w:pPr><w:pStyle w:val="Heading2"/><w:jc w:val="center"/></w:pPr>' if kind == "heading" else ""
+            weight = {"bold": "<w:b/>", "italic": "<w:i/>"}.get(kind, "")
+            style = f'<w:rPr><w:rFonts w:ascii="{font}" w:hAnsi="{font}" w:cs="{font}" w:eastAsia="{font}"/>{weight}<w:sz w:val="{2 * points}"/><w:lang w:val="{language}" w:bidi="{language}"/></w:rPr>'
+            body.append(f'<w:p>{place}<w:r>{style}<w:t xml:space="preserve">{_clean(text)}</w:t></w:r></w:p>')
+    core = "".join(f"<{tag}>{_clean(v)}</{tag}>" for tag, v in (("dc:title", title), ("dc:creator", author), ("dc:language", language)) if v)
+    out, link = io.BytesIO(), "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", _TYPES)
         z.writestr("_rels/.rels", _RELS)
-        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        z.writestr("docProps/core.xml", f'<?xml version="1.0" encoding="UTF-8"?><cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/">{core}</cp:coreProperties>')
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(body)}</w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="image{i}" Type="{link}" Target="media/image{i}.png"/>' for i in range(1, len(images) + 1)) + "</Relationships>")
+        for i, image in enumerate(images, 1):
+            z.writestr(f"word/media/image{i}.png", image)
     return out.getvalue()
 
 
+def docx_bytes(paragraphs: list[str | None], **options: object) -> bytes:
+    """A word-processor document: a paragraph for each text, a page break for each None."""
+    return document_bytes([("break", None, None) if p is None else ("text", p, None) for p in paragraphs], **options)
+
+
 def as_docx(docs: DataFrame, id_col: str = "doc_id", paragraphs: str = "paragraphs") -> DataFrame:
     """Rows of the id and `content`, a word-processor document of its array of paragraphs; a null one is a page break."""
+    blocks = F.transform(paragraphs, lambda p: F.struct(F.when(p.isNull(), "break").otherwise("text").alias("kind"), p.alias("text"), F.lit(None).cast("binary").alias("image")))
+    return as_documents(docs.select(id_col, blocks.alias("blocks")), id_col)
+
+
+def as_documents(docs: DataFrame, id_col: str = "doc_id", blocks: str = "blocks", title: str | None = None, author: str | None = None, inches: float = 4.0) -> DataFrame:
+    """Rows of the id and `content`, a word-processor document of its array of blocks (see operators.pages). `title` and
+    `author` name columns."""
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, content binary"
+    told = [F.col(c).cast("string").alias(n) if c else F.lit(None).cast("string").alias(n) for c, n in ((title, "_title"), (author, "_author"))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["content"] = [docx_bytes(list(p) if p is not None else []) for p in b.pop("_p")]
+            rows = zip(b.pop("_b"), b.pop("_title"), b.pop("_author"), strict=True)
+            b["content"] = [document_bytes([(x["kind"], x["text"], x["image"]) for x in ([] if blocks_ is None else blocks_)], t, a, inches=inches) for blocks_, t, a in rows]
             yield b
 
-    return docs.select(id_col, F.col(paragraphs).alias("_p")).mapInPandas(run, schema)
+    return docs.select(id_col, F.col(blocks).alias("_b"), *told).mapInPandas(run, schema)

@@ -4,8 +4,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from patrika.functions import names
-from patrika.functions.rewrite import normalize
+from patrika.functions import names, registry
+from patrika.functions.constants import CONFIGURATIONS, DIGITAL_PLACEHOLDER, EMPTIED, FAILED, RECOGNISED_PLACEHOLDER
+from patrika.functions.rewrite import is_nfc, normalize, repaired_digital
+from patrika.functions.script import issues, profile
 from patrika.operators import pages as pg
 from patrika.operators import quality as ql
 from patrika.plans import flows
@@ -105,3 +107,133 @@ def test_stream(spark, tmp_path):
         rows(a, b).write.mode("append").parquet(inbox)
         analyse_inbox(spark, inbox, table, ck).awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(table).select("doc_id").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_recognised_pages_use_their_own_detection(spark):
+    # the markers are gone once misread characters are replaced, so the page as it came has to tell
+    rows = spark.createDataFrame([(1, 1, "µÀ º dÄ"), (1, 2, " "), (2, 1, None)], "doc_id long, page_num int, page_text string")
+    done = {r["doc_id"]: r for r in flows.scanned(rows).collect()}
+    assert done[1]["text"] == "ಮ ಳ ದೂ\n\n" and done[1]["summary"] == "1/2"
+    assert done[2]["text"] == RECOGNISED_PLACEHOLDER and done[2]["summary"] == "0/1"
+    assert flows.convert_scanned is flows.scanned
+
+
+def test_digital_placeholders(spark):
+    rows = spark.createDataFrame([(1, 1, " ", None), (2, 1, "ªÁ Û ªÁ Û", None), (3, 1, "text", "torn"), (None, 1, "some words", None)], "doc_id long, page_num int, page_text string, bad string")
+    got = {r["doc_id"]: r["text"] for r in flows.digital(rows, F.lit(False), F.col("bad")).collect()}
+    assert got[1] == DIGITAL_PLACEHOLDER and got[3] == FAILED + "torn" and got[None] == "some words"
+    assert got[2] == (repaired_digital("ªÁ Û ªÁ Û\n\n") or EMPTIED)
+
+
+def test_unknown_analysis(spark):
+    rows = spark.createDataFrame([(1, "text", "no file"), (2, "text", None)], "doc_id long, text string, bad string")
+    got = {r["doc_id"]: r["analysis"] for r in analyze(rows, total_pages=F.lit(7), error=F.col("bad")).collect()}
+    assert (got[1]["pdf_type"], got[1]["confidence"], got[1]["needs_ocr"], got[1]["total_pages"]) == ("unknown", 0.5, True, 1)
+    assert got[1]["analysis_notes"] == ["Analysis failed: no file", "Defaulting to OCR for safety"] and got[2]["total_pages"] == 7
+
+
+def test_percentages_round_half_to_even(spark):
+    rows = spark.createDataFrame([("ಕ" + "a" * 15,), ("ಕ" * 3 + "a" * 13,)], "x string")
+    assert [r[0]["script_pct"] for r in rows.select(profile("x")).collect()] == [6.2, 18.8]
+
+
+def test_documents(spark):
+    pages = spark.createDataFrame([(1, 2, "two", None, b"png2"), (1, 1, "a < b", None, b"png1"), (1, 3, " ", None, None), (2, 1, None, "torn", None)], "doc_id long, page_num int, page_text string, bad string, image binary")
+    blocks = pg.recognised_blocks(pages, image="image", error="bad")
+    kinds = {r["doc_id"]: [b["kind"] for b in r["blocks"]] for r in blocks.collect()}
+    assert kinds == {1: ["heading", "image", "text", "break", "heading", "image", "text", "break", "heading", "italic", "bold"], 2: ["italic", "bold"]}
+    docs = files.as_documents(blocks.withColumns({"t": F.lit("A & B"), "by": F.lit(None)}), title="t", author="by")
+    for r in docs.collect():
+        z = zipfile.ZipFile(io.BytesIO(bytes(r["content"])))
+        xml, core = z.read("word/document.xml").decode(), z.read("docProps/core.xml").decode()
+        assert "<dc:title>A &amp; B</dc:title>" in core and "creator" not in core and "kn-IN" in core
+        if r["doc_id"] == 1:
+            assert "a &lt; b" in xml and "Heading2" in xml and "<w:b/>" in xml and z.read("word/media/image2.png") == b"png2" and "2/3" in xml
+    simple = {r["doc_id"]: [(b["kind"], b["text"]) for b in r["blocks"]] for r in pg.simple_blocks(pages.withColumn("page_text", F.replace("page_text", F.lit(" < "), F.lit("\n\n")))).collect()}
+    assert simple == {1: [("text", "a"), ("text", "b"), ("break", None), ("text", "two")], 2: []}
+    assert [len(r["blocks"]) for r in pg.image_blocks(pages.filter("image is not null")).collect()] == [3]
+
+
+def test_recognisers_in_turn(spark):
+    pages = spark.createDataFrame([("a", n, None, bytearray(b"%d" % n), None) for n in (1, 2, 3)] + [("b", 1, None, None, None)], adapters.PAGES)
+
+    def costly():
+        def read(image, seconds):
+            if image == b"2":
+                raise TimeoutError("slow")
+            return ""
+
+        return read
+
+    def plain():
+        def read(image, seconds):
+            if image == b"4":
+                raise ValueError("bad")
+            return f"{image.decode()} in {seconds:g}"
+
+        return read
+
+    def none():
+        raise RuntimeError("no client")
+
+    text = lambda df: [r["page_text"] for r in df.filter("path = 'a'").orderBy("page_num").collect()]
+    assert text(adapters.recognise_within_limit(pages, costly, plain, limit=2, seconds=60.0)) == ["", "2 in 30", "3 in 60"]
+    assert text(adapters.recognise_within_limit(pages, none, plain)) == ["1 in 60", "2 in 60", "3 in 60"]
+    assert adapters.recognise_within_limit(pages, costly, plain).filter("path = 'b'").first()["error"] == "no image"
+    more = pages.unionByName(spark.createDataFrame([("c", 1, None, bytearray(b"4"), None)], adapters.PAGES))
+    assert adapters.recognise_within_limit(more, None, plain).filter("path = 'c'").first()["error"] == "ValueError: bad"
+
+
+def test_configurations(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 1, None, bytearray(b"x"), None)], adapters.PAGES)
+
+    def make():
+        def read(image, options):
+            if "psm 3" in options:
+                raise ValueError("no")
+            return options
+
+        return read
+
+    rows = adapters.compare_configurations(pages, make)
+    assert {r["config"]: r["text"] for r in rows.collect()} == {"config_0": CONFIGURATIONS[0], "config_1": CONFIGURATIONS[1], "config_2": "Error: no", "config_3": CONFIGURATIONS[3]}
+    files.write_by_configuration(rows, str(tmp_path / "out"))
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {f"config=config_{i}" for i in range(4)}
+
+
+def test_images_of_files(spark):
+    data = spark.createDataFrame([("a", bytearray(b"xy")), ("b", bytearray(b"bad"))], "path string, content binary")
+
+    def make():
+        def broken():
+            raise ValueError("image")
+
+        def read(raw):
+            if raw == b"bad":
+                raise OSError("torn")
+            return [((2, 3, bytes([c])), [lambda c=c: (1, 1, b"in"), broken]) for c in raw]
+
+        return read
+
+    rows = adapters.read_images(data, make)
+    assert sorted((r["page_number"], r["source"], r["width"]) for r in rows.filter("path = 'a'").collect()) == [(1, "embedded_0", 1), (1, "page_render", 2), (2, "embedded_0", 1), (2, "page_render", 2)]
+    assert [(r["page_number"], r["error"]) for r in rows.filter("path = 'b'").collect()] == [(0, "OSError: torn")]
+    assert adapters.read_images(data, make, [1, 9]).filter("path = 'a'").count() == 2
+
+
+def test_first_done(spark):
+    one = spark.createDataFrame([("a", bytearray(b"1"), None), ("b", None, "X: y"), ("c", None, None)], "path string, content binary, error string")
+    two = spark.createDataFrame([("a", bytearray(b"2"), None), ("b", bytearray(b"2"), None), ("c", None, None)], "path string, content binary, error string")
+    got = {r["path"]: (r["content"] and bytes(r["content"]), r["error"]) for r in adapters.first_done(one, two).collect()}
+    assert got == {"a": (b"1", None), "b": (b"2", None), "c": (None, "RuntimeError: PDF conversion failed")}
+
+
+def test_names_for_sql(spark):
+    registry.register(spark)
+    texts = ["ªÀ£ÀPÀAiÀÄ", "The é text", None, "ಕನ್ನಡ", "%%%%%ಕ", "abc...", "µÀ º dÄ"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").createOrReplaceTempView("sql_names")
+    for name, (step, _) in registry.FUNCTIONS.items():
+        got = [r[0] for r in spark.sql(f"SELECT {name}(t) FROM sql_names ORDER BY i").collect()]
+        assert got == [step(t or "") for t in texts], name
+    native = [r[0] for r in spark.table("sql_names").orderBy("i").select(issues("t", is_nfc("t"))).collect()]
+    assert native == [r[0] for r in spark.sql("SELECT validate_kannada_output(t) FROM sql_names ORDER BY i").collect()]
