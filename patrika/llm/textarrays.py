@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts go through the arrays in blocks of about so many bytes; a longer text is a block of its own.
+#: Texts go through the arrays in blocks of about so many bytes; a longer text is a block of its own, hashed in pieces.
 BLOCK = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -65,9 +65,22 @@ class Block:
         return out
 
     def word_hashes(self) -> np.ndarray:
-        sums = self.sums()
-        _, down = self.powers.to(len(self.data) + 1)
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        """A hash for each word, from the bytes in pieces of BLOCK, so that a long text needs no longer powers or sums."""
+        out = np.zeros(len(self.starts), _U)
+        for lo in range(0, len(self.data), BLOCK):
+            hi = min(lo + BLOCK, len(self.data))
+            up, down = self.powers.to(hi - lo + 1)
+            sums = np.zeros(hi - lo + 1, _U)
+            np.cumsum((self.data[lo:hi].astype(_U) + _U(1)) * up[:-1], out=sums[1:])
+            a, b = np.searchsorted(self.ends, lo, "right"), np.searchsorted(self.starts, hi, "left")
+            if a == b:
+                continue
+            start = np.maximum(self.starts[a:b], lo) - lo
+            part = (sums[np.minimum(self.ends[a:b], hi) - lo] - sums[start]) * down[start]
+            if self.starts[a] < lo:  # begun in an earlier piece
+                part[0] *= _U(pow(_BASE, int(lo - self.starts[a]), 1 << 64))
+            out[a:b] += part
+        return mixed(out)
 
     def windows(self, width: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of `width` words that lie in one text, and the index of each one's first word."""
