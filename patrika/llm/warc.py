@@ -56,8 +56,8 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def _safe(value: str) -> str:
-    """A header value without control characters, which would end the header."""
-    return "".join(urllib.parse.quote(c) if c < " " or c == "\x7f" else c for c in value)
+    """A header value without control characters and other line ends, which would end the header for some readers."""
+    return "".join(urllib.parse.quote(c) if c < " " or "\x7f" <= c < "\xa0" or c in "\u2028\u2029" else c for c in value)
 
 
 def _member(raw: bytes, level: int) -> bytes:
@@ -87,7 +87,7 @@ class WarcWriter(DataSourceArrowWriter):
         if overwrite:
             raise ValueError("the warc format appends only; write to a new path")
         self.path, self.gzip = options["path"], options.get("compression", "gzip") == "gzip"
-        self.level, self.most = int(options.get("level", 4)), int(options.get("max_bytes", 1 << 30))
+        self.level, self.most = int(options.get("level", 4)), int(options.get("max_bytes", 128 << 20))
 
     def _rows(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in iterator:
@@ -238,15 +238,17 @@ class _Source:
 
 
 def _parse(head: bytes) -> dict[str, str]:
-    """Header fields by lower-case name; continued lines are joined, repeated names keep the first."""
+    """Header fields by lower-case name; continued lines are joined, repeated names keep the first. Lines end at line
+    feeds only, with or without a carriage return: other line ends of Unicode belong to the values."""
     out, last = {}, None
-    for line in head.decode("utf-8", "replace").splitlines()[1:]:
-        if line[:1] in " \t" and last:
-            out[last] += " " + line.strip()
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
+        line = line.removesuffix("\r")
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip(" \t")
             continue
         name, _, value = line.partition(":")
-        last = name.strip().lower()
-        out.setdefault(last, value.strip())
+        last = name.strip(" \t").lower()
+        out.setdefault(last, value.strip(" \t"))
     return out
 
 
@@ -254,7 +256,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.filters, self.columns = options["path"], [], schema
         self.payload, self.digest = options.get("payload", "true").lower() == "true", options.get("digest", "false").lower() == "true"
-        self.target = int(options.get("partition_bytes", 64 << 20))
+        self.target = int(options.get("partition_bytes", 0))
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -264,7 +266,8 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Whole files, small ones together up to `partition_bytes`; the writer bounds a file by `max_bytes`."""
+        """Whole files, small ones together up to `partition_bytes`; the writer bounds a file by `max_bytes`. Unless told,
+        partitions are a 200th of all bytes, 4 MB at least and 128 MB at most."""
         from pyarrow import fs as pafs
 
         fs, base = _fs(self.path)
@@ -272,9 +275,10 @@ class WarcReader(DataSourceReader):
         if infos[0].type == pafs.FileType.Directory:
             infos = fs.get_file_info(pafs.FileSelector(base, recursive=True))
         files = sorted((i.path, i.size) for i in infos if i.is_file and i.path.endswith((".warc", ".warc.gz")) and not i.base_name.startswith((".", "_")))
+        target = self.target or min(128 << 20, max(4 << 20, sum(size for _, size in files) // 200))
         parts, held = [], 0
         for path, size in files:
-            if not parts or held + size > self.target:
+            if not parts or held + size > target:
                 parts.append(_Files([]))
                 held = 0
             parts[-1].paths.append(path)
