@@ -48,6 +48,7 @@ class Counter(dict):
         #: With a piece for each byte, an unknown character is as many tokens as it has bytes; else runs are one token.
         self.bytes = all(f"<0x{i:02X}>" in names for i in range(256))
         self.worst = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        self.ring = max((len(p) for p in names), default=0) + 2
 
     def __missing__(self, word: str) -> int:
         n = self.tokens(META + word)
@@ -58,43 +59,49 @@ class Counter(dict):
         return n
 
     def tokens(self, word: str) -> int:
-        """Tokens of the best segmentation. The automaton reports matches by their end, the longest, which starts first, before shorter ones."""
-        size = len(word)
-        best, count, run = [0.0] * (size + 1), [0] * (size + 1), [-1] * (size + 1)  # run: where a run of unknowns that ends here starts
+        """Tokens of the best segmentation. The automaton reports matches by their end, the longest, which starts first, before shorter ones.
+
+        What is known of the last `ring` ends is enough, as no piece is longer; so a long word takes no more room."""
+        size, ring = len(word), self.ring
+        best, count = [0.0] * ring, [0] * ring
+        # of a run of unknowns that ends here: where it starts (-1: none ends here), the tokens before it, its bytes
+        run, before, width = [-1] * ring, [0] * ring, [0] * ring
         done, top, single = 0, None, False  # the end being worked on is done + 1
 
         def unknown(start: int, end: int) -> None:
             """Unknowns that follow each other are one text: its bytes, or one token."""
-            begin = run[start] if run[start] >= 0 else start
-            text = word[begin:end]
-            run[end] = begin
-            count[end] = count[begin] + (len(text.encode("utf-8", "surrogatepass")) if self.bytes and text != self.unknown else 1)
+            i, k = start % ring, end % ring
+            begin, base, wide = (run[i], before[i], width[i]) if run[i] >= 0 else (start, count[i], 0)
+            run[k], before[k], width[k] = begin, base, wide + len(word[start:end].encode("utf-8", "surrogatepass"))
+            whole = end - begin == len(self.unknown) and word[begin:end] == self.unknown
+            count[k] = base + (width[k] if self.bytes and not whole else 1)
 
         def close() -> None:
             nonlocal done, top, single
             end = done + 1
             if not single:
-                value = best[done] + self.worst
+                value = best[done % ring] + self.worst
                 if top is None or value > top:
                     top = value
                     unknown(done, end)
-            best[end], done, top, single = top, end, None, False
+            best[end % ring], done, top, single = top, end, None, False
 
         for last, (length, score, is_unknown) in self.automaton.iter(word) if len(self.automaton) else ():
             while done < last:
                 close()
             start = last + 1 - length
-            value = best[start] + score
+            value = best[start % ring] + score
             single |= length == 1
             if top is None or value > top:
                 top = value
                 if is_unknown:
                     unknown(start, last + 1)
                 else:
-                    count[last + 1], run[last + 1] = count[start] + 1, -1
+                    k = (last + 1) % ring
+                    count[k], run[k] = count[start % ring] + 1, -1
         while done < size:
             close()
-        return count[size]
+        return count[size % ring]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -122,6 +129,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]] | None = None,
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_chars (code points; null text: 0), n_tokens."""
+    """A row per document: doc_id (null stays null), n_chars (code points; null text: 0), n_tokens. Repeated rows are
+    counted one by one."""
     slim = docs.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     return count_tokens(slim.select("doc_id", "n_chars", "text")).select("doc_id", "n_chars", "n_tokens")
