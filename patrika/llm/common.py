@@ -83,10 +83,25 @@ def with_group(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], sprea
 
     Rows carry a salt from `spread`. Groups are aggregated map-side first, and the one row of a group is repeated
     only for the salts that occur in it, so the join deals a group to as many as `salts` tasks. Keys must not be null.
+    Rows that are equal in all of `spread` share a salt; where those are very many, Spark splits the join's partition.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     groups = salted.groupBy(*keys).agg(*aggs, F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_held"))
     if having is not None:
         groups = groups.filter(having)
-    groups = groups.withColumn("_salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.call_function("getbit", F.col("_held"), i) == 1))).drop("_held")
+    groups = groups.withColumn("_salt", salts_of("_held", salts)).drop("_held")
     return salted.join(groups, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_lookup(df: DataFrame, table: DataFrame, key: str, spread: Sequence[str | Column], how: str = "inner", salts: int = 32) -> DataFrame:
+    """df joined with the rows that `table` has for its `key`, without a hot key meeting in one task: df carries a salt
+    from `spread`, and rows of the table are repeated for the salts that occur with their key. Keys must not be null."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    held = salted.groupBy(key).agg(F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_held"))
+    rows = table.join(held, key).withColumn("_salt", salts_of("_held", salts)).drop("_held")
+    return salted.join(rows, [key, "_salt"], how).drop("_salt")
+
+
+def salts_of(held: str, salts: int = 32) -> Column:
+    """A row for each salt whose bit is set."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.call_function("getbit", F.col(held), i) == 1))
