@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,16 +245,98 @@ def test_decontamination_finds_an_item_that_a_third_of_short_texts_hold(spark, k
 def test_decontamination_is_alike_at_every_size():
     rng = np.random.default_rng(4)
     words = np.sort(rng.integers(1, 2**63, 400).astype(np.uint64))
-    items = decontaminate.Items(list(range(12)), [rng.choice(words, 20, replace=False) for _ in range(12)], [None] * 12, words)
-    share = 10.0 ** rng.uniform(-4, -1, len(words))
-    lowest = []
+    items = [rng.choice(400, 20, replace=False) for _ in range(12)]
+    share, latent = 10.0 ** rng.uniform(-4, -1, len(words)), rng.standard_normal((400, 16)) / 4
+    margins = []
     for total in (250_000, 2_500_000, 300_000_000):
-        idf, foreign = decontaminate._frequency_weights(items, share * total, total)
-        for w in items.words:  # a passage of 32 words with the twelve lightest of an item's twenty
-            x = np.sort(idf[np.searchsorted(words, w)])
-            lowest.append((x[:12] ** 2).sum() / np.sqrt((x**2).sum() * ((x[:12] ** 2).sum() + 20 * foreign**2)))
-    lowest = np.array(lowest).reshape(3, -1)
-    assert np.abs(lowest - lowest[0]).max() < 0.01
+        vectors = ((np.log((1 + total) / (1 + share * total)) + 1)[:, None] * latent).astype(np.float32)
+        part = share / share.sum()
+        mean = part @ vectors
+        spread = float(part @ (vectors**2).sum(1) - mean @ mean)
+        level = decontaminate.thresholds([vectors[i] for i in items], mean, spread, 0.5, 0.6)
+        for i, least in zip(items, level, strict=True):  # passages of the item's twelve lightest words among average ones
+            light = i[np.argsort(-share[i])[:12]]
+            others = vectors[rng.choice(400, (200, 20), p=part)].sum(1) + vectors[light].sum(0)
+            q = vectors[i].sum(0)
+            cosine = others @ q / np.linalg.norm(others, axis=1) / np.linalg.norm(q)
+            margins.append((cosine >= least).mean())
+    assert np.reshape(margins, (3, -1)).mean(1).min() > 0.9
+
+
+def _leaks_by_brute_force(docs, items):
+    """Pairs of document and item with a stretch of text that holds enough of the item's words in order."""
+    from patrika.llm.textarrays import blocks
+
+    def words(texts):
+        out = []
+        for b in map(decontaminate._plain, blocks(pa.array(texts, pa.large_string()))):
+            out += np.split(b.word_hashes(), np.cumsum(b.n_words)[:-1])
+        return out
+
+    found = set()
+    pool = words(items.values())
+    for doc, h in zip(docs, words(docs.values()), strict=True):
+        for item, w in zip(items, pool, strict=True):
+            n, inside = len(w), np.concatenate([[0], np.cumsum(np.isin(h, w))])
+            for lo in range(0, len(h), 16):
+                a, e = max(0, lo - n), min(len(h), lo + 32 + n)
+                if inside[e] - inside[a] >= 0.6 * n and np.isin(w, h[a:e]).mean() >= 0.6 and decontaminate.common_words(w, h[a:e]).mean() >= 0.6:
+                    found.add((doc, item))
+                    break
+    return found
+
+
+def test_decontamination_against_a_full_search(spark):
+    d = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = _leaks_by_brute_force({r["doc_id"]: r["text"] for r in docs.collect()}, {r["item_id"]: r["text"] for r in bench.collect()})
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, answer=0.0).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 20
+    assert min(decontaminate.DIMENSIONS, bench.count() // 2) < bench.count()
+
+
+def test_latent_space_finds_what_words_alone_miss(spark):
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(n))
+    common, topics = [word(2) for _ in range(60)], [[(word(4), word(4)) for _ in range(12)] for _ in range(20)]
+    said = lambda topic, n: [rng.choice(rng.choice(topic)) for _ in range(n)]  # noqa: E731  either of two words for a thing
+    texts = [" ".join(rng.sample(common, 16) + said(rng.choice(topics), 16)) for _ in range(3000)]
+    plain = rng.sample(common, 12)
+    item = plain + [a for a, _ in topics[0][:8]]
+    texts.append(" ".join(plain + [b for _, b in topics[0][:8]] + said(topics[0], 12)))  # the item in other words
+    df = frame(spark, texts)
+    sample = df.select(F.col("text").cast("binary")).mapInArrow(decontaminate._some_passages(1.0), "words binary").cache()
+    words = {w: int(h) for t in texts for w, h in zip(t.split(), np.concatenate([decontaminate._plain(b).word_hashes() for b in _blocks(t)]), strict=True)}
+    known = np.array(sorted(set(words.values())), np.uint64)
+    n = Counter(words[w] for t in texts for w in set(t.split()))
+    space = decontaminate._space(sample, known, known, np.array([n[int(k)] for k in known], float), len(texts), 32 * len(texts), 24)
+    hashes = lambda ws: np.array([words[w] for w in ws], np.uint64)
+    q, level = space.of(hashes(item)), None
+    level = decontaminate.thresholds([q], space.mean, space.spread, 0.5, 0.6)[0]
+    idf = {w: np.log((1 + len(texts)) / (1 + n[h])) + 1 for w, h in words.items()}
+
+    def plain_cosine(a, b):
+        a, b = Counter(a), Counter(b)
+        dot = sum(a[w] * b[w] * idf[w] ** 2 for w in a)
+        return dot / np.sqrt(sum((a[w] * idf[w]) ** 2 for w in a) * sum((b[w] * idf[w]) ** 2 for w in b))
+
+    def latent_cosine(t):
+        p = space.of(hashes(t)).sum(0)
+        return float(p @ q.sum(0) / np.linalg.norm(p) / np.linalg.norm(q.sum(0)))
+
+    others = [t.split() for t in texts[:-1]]
+    leak = texts[-1].split()
+    # by words alone, passages that merely share common ones come first; in the latent space few do
+    ahead = sum(plain_cosine(item, t) >= plain_cosine(item, leak) for t in others), sum(latent_cosine(t) >= latent_cosine(leak) for t in others)
+    assert latent_cosine(leak) >= level and ahead[1] < ahead[0]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, spark.createDataFrame([(7, " ".join(item), " ".join(plain))], "item_id long, text string, answer string"), answer_col="answer").collect()}
+    assert (len(texts) - 1, 7) in found
+
+
+def _blocks(text):
+    from patrika.llm.textarrays import blocks
+
+    return list(blocks(pa.array([text], pa.large_string())))
 
 
 def test_common_words():
@@ -317,6 +400,44 @@ def test_jaccard_join_at_lower_similarities(spark, similarity):
     assert got == {i: (i - i % 2, 1) for i in range(len(texts))}
 
 
+def test_jaccard_join_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a.replace("a59", "z")
+    rows = [(5, a, 1), (5, b, 2), (6, near, 3), (None, b, 4), (5, a, 5), (7, " ", 6), (7, " ", 7), (None, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.join(df).collect())
+    # the rows of 5 with text a meet each other and 6; that with b meets the null id, which is the smallest
+    assert got == Counter({(5, 5, 2): 2, (6, 5, 2): 1, (5, None, 1): 1, (None, None, 1): 1, (7, 7, 0): 2, (None, None, 0): 1})
+    kept = [r["n"] for r in jaccard_join.keep_first(df).collect()]
+    assert sorted(kept)[-4:] == [4, 6, 7, 8] and len(kept) == 5 and set(kept) & {1, 5}
+
+
+def test_jaccard_join_of_a_template(spark):
+    shared = [f"t{i}" for i in range(80)]
+    texts = [" ".join(shared[:40] + [f"u{d}x{i}" for i in range(16)] + shared[40:]) for d in range(3000)]
+    texts += [t.replace("x3", "y") for t in texts[:5]]  # five near copies among them
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(frame(spark, texts)).collect()}
+    assert got == {d: (d % 3000 if d >= 3000 or d < 5 else d, int(d >= 3000 or d < 5)) for d in range(3005)}
+    reps = frame(spark, texts).select("doc_id", F.lit(0).cast("long"), F.col("text").cast("binary")).mapInArrow(jaccard_join._sketch(5), "id long, tie long, k1 long, k2 long, size long, sig binary, bins binary")
+    # no loose group is tied together, so nothing but the copies is compared exactly
+    assert jaccard_join.candidates(reps.withColumnRenamed("id", "node").select("node", "size", "sig", "bins")).distinct().count() < 50
+
+
+def test_bins_rule_out_no_link():
+    rng = np.random.default_rng(2)
+    for size in (20, 300, 3000):
+        for similarity in (0.5, 0.8):
+            shared = int(np.ceil(similarity * 2 * size / (1 + similarity)))
+            for _ in range(200):
+                h = np.unique(rng.integers(0, 2**64, 2 * size, dtype=np.uint64))
+                both = [np.sort(np.concatenate([h[::2][: shared], h[1::2][k : k + size - shared]])) for k in (0, size - shared)] if size > shared else [np.sort(h[:size])] * 2
+                both = [x if len(x) == size else np.sort(h[:size]) for x in both]
+                bins = [jaccard_join.bins_of(x, np.array([len(x)])) for x in both]
+                n = len(np.intersect1d(*both))
+                if n >= similarity * (2 * size - n):
+                    assert jaccard_join.may_link(*bins, np.array([size]), np.array([size]), similarity, jaccard_join.RECALL)[0]
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------
 
 
