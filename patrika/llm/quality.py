@@ -3,11 +3,16 @@
 Rules vote good or bad or abstain on each document. Expectation-maximisation over the counts of vote patterns, which
 are bounded by 3 to the number of rules, estimates each rule's accuracy without labels; the posterior probability of
 good quality takes the place of a filter that wants every rule passed.
+
+Votes tell classes apart only where rules agree with each other, so each kind of junk has to be seen by several rules of
+different evidence: signs in excess by signs a word, by characters that are no letters, by words with signs in them and
+by signs in a row; repetition by windows, by lines and by the variety of words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,11 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_digits")
+_SIGN = np.zeros(256, bool)
+_SIGN[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+_ODD = _SIGN.copy()
+_ODD[list(b".,;:!?'\"()-")] = False
+_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_digits", "n_signs", "n_odd_words", "n_in_runs")
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -30,12 +39,28 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _in_runs(b) -> np.ndarray:
+    """Which bytes belong to three or more equal ASCII signs in a row."""
+    on = np.zeros(len(b.data), bool)
+    if len(b.data) > 2:
+        on[2:] = (b.data[2:] == b.data[1:-1]) & (b.data[2:] == b.data[:-2]) & _SIGN[b.data[2:]]
+        edge = b.offsets[:-1]
+        for k in (0, 1):  # the first two bytes of a text end no run
+            on[edge[edge + k < b.offsets[1:]] + k] = False
+    return on | np.append(on[1:], [False] * min(1, len(on))) | np.append(on[2:], [False] * min(2, len(on)))
+
+
 def _block_stats(b) -> dict[str, np.ndarray]:
     b.words()
     hashes, space = b.word_hashes(), _SPACE[b.data]
     out = {"n_words": b.n_words, "word_chars": _per_text(~space & ((b.data & 0xC0) != 0x80), b.offsets), "n_symbols": _per_text(_SYMBOL[b.data], b.offsets)}
     out["n_upper"] = _per_text((b.data >= 65) & (b.data <= 90), b.offsets)
     out["n_digits"] = _per_text((b.data >= 48) & (b.data <= 57), b.offsets)
+    out["n_signs"] = _per_text(_SIGN[b.data], b.offsets)
+    odd = np.zeros(len(b.starts), bool)
+    odd[np.searchsorted(b.starts, np.flatnonzero(_ODD[b.data]), "right") - 1] = True
+    out["n_odd_words"] = np.bincount(b.doc[odd], minlength=b.n)
+    out["n_in_runs"] = _per_text(_in_runs(b), b.offsets)
     # words in windows that occur twice in their text: equal (text, window hash) pairs
     window, at = b.windows(WINDOW, hashes)
     repeated = np.zeros(len(hashes) + 1, np.int64)
@@ -92,43 +117,56 @@ def rules() -> dict[str, Column]:
         "variety": _rule(variety < 0.2 * F.least(F.lit(1.0), F.lit(400) / words), (variety > 0.35) & (words >= 30)),
         "capitals": _rule(upper > 0.4, upper < 0.15),
         "digits": _rule(F.col("n_digits") > 0.3 * F.col("word_chars"), F.col("n_digits") < 0.1 * F.col("word_chars")),
+        "letters": _rule(F.col("n_signs") > 0.25 * F.col("word_chars"), F.col("n_signs") < 0.12 * F.col("word_chars")),
+        "odd_words": _rule(F.col("n_odd_words") > 0.4 * words, F.col("n_odd_words") < 0.1 * words),
+        "sign_runs": _rule(F.col("n_in_runs") > 0.1 * F.col("word_chars"), F.col("n_in_runs") < 0.02 * F.col("word_chars")),
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.9, rounds: int = 200) -> np.ndarray:
-    """Posterior probability of good for each vote pattern (rows of -1, 0, 1), by EM.
+#: Beliefs before any vote, each worth so many votes: shares of bad votes on bad and on good documents, share of good ones.
+WEIGHT, BAD_ON_BAD, BAD_ON_GOOD, GOOD = 20.0, 0.4, 0.05, 0.9
+
+
+@dataclass
+class Fit:
+    """Posterior probability of good for each pattern; each rule's share of bad votes on bad and on good documents; the
+    share of good documents; and the objective, the log likelihood and the log of the beliefs, round by round."""
+
+    posterior: np.ndarray
+    bad_on_bad: np.ndarray
+    bad_on_good: np.ndarray
+    good: float
+    objective: list[float]
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> Fit:
+    """Expectation-maximisation for two classes and rules that vote independently within a class.
 
-    What EM estimates is each rule's accuracy for each kind of vote: the share of its bad votes that fall on bad
-    documents, of its good votes on good ones. Where one rule alone sees a kind of junk the votes leave its accuracy
-    open, so the belief `prior` that a bad vote is right weighs as much as the votes themselves. A vote moves the log
-    odds by what its accuracy says beyond the share of its class; no vote counts against its own side, and abstaining
-    says nothing.
+    patterns: rows of -1 (bad), 0 and 1 (good), counts: documents of each. A rule's vote depends on the class, whether it
+    abstains does not. Beliefs enter as Beta priors of a fixed weight, so votes outweigh them as they grow. The first
+    round takes documents with a bad vote for bad. Without documents every posterior is the prior share.
     """
-    if not len(patterns) or not counts.sum():
-        return np.full(len(patterns), 0.5)
-    bad_votes, good_votes = (patterns == -1).astype(float), (patterns == 1).astype(float)
-    post = np.where(bad_votes.any(1), 1 - prior, 0.95)
-    n_bad, n_good = counts @ bad_votes, counts @ good_votes
-    logit = lambda p: np.log(p) - np.log1p(-p)
+    bad, cast = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    post, objective = np.where(bad.any(1), 1 - GOOD, GOOD), []
     for _ in range(rounds):
-        share = ((counts @ post) + 1) / (counts.sum() + 2)
-        right_bad = ((counts * (1 - post)) @ bad_votes + (n_bad + 1) * prior) / (2 * n_bad + 1)
-        right_good = ((counts * post) @ good_votes + 1) / (n_good + 2)
-        for_bad = np.maximum(logit(np.clip(right_bad, 1e-6, 1 - 1e-6)), 0)
-        for_good = np.maximum(logit(np.clip(right_good, 1e-6, 1 - 1e-6)) - logit(share), 0)
-        any_bad = bad_votes.any(1)
-        log = np.where(any_bad, 0.0, logit(share)) - bad_votes @ for_bad + good_votes @ for_good
-        new = 1 / (1 + np.exp(-np.clip(log, -60, 60)))
-        if np.abs(new - post).max() < 1e-9:
+        good = ((counts @ post) + WEIGHT * GOOD) / (counts.sum() + WEIGHT)
+        on_bad, on_good = (((counts * w) @ bad + WEIGHT * belief) / ((counts * w) @ cast + WEIGHT) for w, belief in ((1 - post, BAD_ON_BAD), (post, BAD_ON_GOOD)))
+        vote = lambda share: bad @ np.log(share) + (cast - bad) @ np.log1p(-share)
+        for_bad, for_good = np.log1p(-good) + vote(on_bad), np.log(good) + vote(on_good)
+        either = np.logaddexp(for_bad, for_good)
+        told = lambda share, belief: WEIGHT * np.sum(belief * np.log(share) + (1 - belief) * np.log1p(-share))
+        objective.append(float(counts @ either + told(good, GOOD) + told(on_bad, BAD_ON_BAD) + told(on_good, BAD_ON_GOOD)))
+        new = np.exp(for_good - either)
+        if len(new) == 0 or np.abs(new - post).max() < 1e-9:
             break
         post = new
-    return post
+    return Fit(new, on_bad, on_good, float(good), objective)
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row per document: doc_id, the statistics, base_failed, quality (posterior of good), kept.
 
-    base_failed: fewer than 20 words, or over 30% of the words in repeated 8-word windows. kept: false if base_failed,
+    Columns other than doc_id and text are not looked at. base_failed: fewer than 20 words, or over 30% of the words in repeated 8-word windows. kept: false if base_failed,
     else whether the posterior is `threshold` or more. Null and empty texts fail; repeated rows are judged alike; an
     empty table gives an empty result. EM sees the counts of vote
     patterns of all documents that base_failed leaves open.
@@ -139,14 +177,15 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     voted = stats.withColumns({f"_v{i}": r for i, r in enumerate(rules().values())})
     code = sum(((F.col(f"_v{i}") + 1) * 3**i for i in range(len(names))), F.lit(0))
     voted = voted.withColumn("_code", code)
-    seen = voted.groupBy("_code").agg(F.count_if(~F.col("base_failed")).alias("count")).collect()  # at most 3 ** 8 rows
-    codes = np.array([r["_code"] for r in seen], np.int64)
-    patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(names))], 1) if len(codes) else np.zeros((0, len(names)), np.int64)
-    post = fit(patterns, np.array([r["count"] for r in seen], float))
+    seen = voted.groupBy("_code").agg(F.count_if(~F.col("base_failed")).alias("count")).orderBy("_code").toArrow()  # at most 3 ** 11 rows
+    codes = seen.column("_code").to_numpy().astype(np.int64)
+    patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(names))], 1)
+    post = fit(patterns, seen.column("count").to_numpy().astype(float)).posterior
     table = docs.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], "_code int, quality double")
     out = voted.join(F.broadcast(table), "_code", "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The contract's row per document, as judge() gives it, and its posterior."""
     return judge(docs)
