@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, defined_id, named, with_group
+from .common import LOWER, SPACE, UPPER, defined_id, named, stored, with_group
 
 
 def _line_keys(text: Column) -> Column:
@@ -39,7 +39,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # placed before lines are exploded, or each line would hash its whole text again
     lines = docs.select(*place, text.alias("_text")).select("_line_dedup_id", "_line_dedup_row", F.posexplode(_line_keys(F.col("_text"))).alias("_pos", "_key"))
     lines = lines.filter(F.length("_key") >= min_chars).select("_line_dedup_id", "_line_dedup_row", "_pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(1), "_key").alias("h2"))
-    shared = with_group(lines, ["h1", "h2"], [F.count_distinct("_line_dedup_id").alias("_n"), F.max("_line_dedup_id").alias("_last")], ["_line_dedup_id"], having=F.col("_n") >= min_docs)
+    lines = stored(lines, "lines")  # read twice, for the groups and for the lines in them
+    shared = with_group(lines, ["h1", "h2"], [F.count_distinct("_line_dedup_id").alias("_n"), F.max("_line_dedup_id").alias("_last")], ["_line_dedup_id", "_line_dedup_row", "_pos"], having=F.col("_n") >= min_docs)
     drops = shared.filter(F.col("_line_dedup_id") != F.col("_last")).groupBy("_line_dedup_id", "_line_dedup_row").agg(F.collect_set("_pos").alias("_line_dedup_drops"))
     joined = docs.select("*", *place).join(drops, ["_line_dedup_id", "_line_dedup_row"], "left")
     n_lines = F.size(F.split(text, "\n", -1)).cast("long")
