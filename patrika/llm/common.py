@@ -19,11 +19,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a local session gets one of its own
+    machine; a cluster has to name one, as its executors couldn't read the driver's."""
     here = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not here:
         here = spark.sparkContext.getCheckpointDir()
     if not here:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         here = tempfile.mkdtemp(prefix="patrika-")
         spark.sparkContext.setCheckpointDir(here)
     return here.rstrip("/")
@@ -34,6 +37,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/patrika/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application has stored. For when its results are written: until then they may be read."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/patrika/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
