@@ -140,6 +140,23 @@ def test_quality_statistics(spark):
         assert r["base_failed"] == (len(words) < 20 or 100 * len(rep) > 30 * len(words)) and not (r["kept"] and r["base_failed"])
 
 
+@pytest.mark.parametrize(("accuracy", "random_rules"), [(0.8, 0), (0.7, 0), (0.8, 1)])
+def test_quality_fit_on_planted_votes(accuracy, random_rules):
+    rng, n = np.random.default_rng(5), 100_000
+    good = rng.random(n) < 0.8
+    right = [0.5 if r < random_rules else accuracy for r in range(8)]
+    votes = np.stack([np.where(rng.random(n) < 0.7, np.where(good == (rng.random(n) < p), 1, -1), 0) for p in right], 1)
+    patterns, row, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    f = quality.fit(patterns, counts.astype(float))
+    assert np.diff(f.objective).min() >= -1e-6 * abs(f.objective[-1])  # it never falls
+    assert np.abs(f.bad_on_bad - right).max() < 0.03 and np.abs(1 - f.bad_on_good - right).max() < 0.03 and abs(f.good - 0.8) < 0.02
+    share = lambda said: (said == good).mean()
+    assert share(f.posterior[row.ravel()] >= 0.5) >= share(votes.sum(1) >= 0)
+    # by brute force: the posterior that Bayes' rule gives with the true shares
+    ratio = np.log(0.8 / 0.2) + (patterns * np.log(np.array(right) / (1 - np.array(right)))).sum(1)
+    assert np.average(np.abs(f.posterior - 1 / (1 + np.exp(-ratio))), weights=counts) < 0.02
+
+
 def test_quality_model_finds_junk(spark):
     d = "/root/testdata/sf0.01"
     r = quality.digest(spark.read.parquet(f"{d}/documents.parquet")).withColumnRenamed("quality", "post").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed").select("kept", "quality").collect()
@@ -460,10 +477,22 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_matching():
-    m = toxicity.Matcher({" trash ": 2.0, " idiot ": 3.0})
+    m = toxicity.Matcher({" trash ": 2.0, " idiot ": 3.0}, ("trash can",))
     assert m.weigh("an 1d1оt!")[:2] == (3.0, 1) and m.weigh("trash can")[:2] == (0, 0) and m.weigh("trash, idiot")[:2] == (5.0, 2) and m.weigh(None) == (0, 0, 0)
 
 
+def test_toxicity_exceptions_are_learned(spark):
+    rng = random.Random(3)
+    plain = lambda: [rng.choice("one two three four five six seven eight".split()) for _ in range(8)]
+    texts = [" ".join(plain() + ["trash", "can"] + plain()) for _ in range(12)] + [" ".join(plain()) for _ in range(200)] + [" ".join(plain() + ["you", "trash"] + plain()) for _ in range(100)]
+    rows = frame(spark, texts).select("text", (F.col("doc_id") >= 212).cast("int").alias("toxic"))
+    lexicon = toxicity.learn_lexicon(rows)
+    found = toxicity.learn_exceptions(rows, lexicon)
+    assert " trash " in lexicon and found[0] == "trash can" and "you trash" not in found
+    m = toxicity.Matcher(lexicon, found)
+    assert m.weigh("a trash can")[1] == 0 and m.weigh("you trash")[1] > 0
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 
 
