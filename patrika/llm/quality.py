@@ -47,7 +47,10 @@ def _in_runs(b) -> np.ndarray:
         edge = b.offsets[:-1]
         for k in (0, 1):  # the first two bytes of a text end no run
             on[edge[edge + k < b.offsets[1:]] + k] = False
-    return on | np.append(on[1:], [False] * min(1, len(on))) | np.append(on[2:], [False] * min(2, len(on)))
+    out = on.copy()
+    for k in (1, 2):
+        out[: max(0, len(on) - k)] |= on[k:]
+    return out
 
 
 def _block_stats(b) -> dict[str, np.ndarray]:
