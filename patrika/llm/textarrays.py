@@ -78,7 +78,7 @@ class Block:
             start = np.maximum(self.starts[a:b], lo) - lo
             part = (sums[np.minimum(self.ends[a:b], hi) - lo] - sums[start]) * down[start]
             if self.starts[a] < lo:  # begun in an earlier piece
-                part[0] *= _U(pow(_BASE, int(lo - self.starts[a]), 1 << 64))
+                part[:1] *= _U(pow(_BASE, int(lo - self.starts[a]), 1 << 64))
             out[a:b] += part
         return mixed(out)
 
