@@ -62,6 +62,24 @@ def test_warc_round_trip(spark, tmp_path, compression):
     assert back.filter("record_type = 'warcinfo'").count() >= 1
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc_headers_keep_other_line_ends(spark, tmp_path, compression):
+    warc.register(spark)
+    urls_ = ["http://a/\u2028Content-Length: 45", "http://b/\u0085WARC-Payload-Digest: sha1:EVIL", "http://c/\u2029X: y", "http://d/\x0b\x1c"]
+    df = spark.createDataFrame([(f"urn:{i}", "response", u, b"x" * 22) for i, u in enumerate(urls_)], "record_id string, record_type string, target_uri string, payload binary")
+    df.coalesce(1).write.format("warc").mode("append").option("compression", compression).save(str(tmp_path))
+    back = spark.read.format("warc").option("digest", "true").load(str(tmp_path)).filter("record_type = 'response'").collect()
+    assert len(back) == 4 and all(bytes(r["payload"]) == b"x" * 22 and r["payload_digest"] == r["payload_sha1"] == warc.base32_sha1(b"x" * 22) for r in back)
+    head = warc._parse("WARC/1.1\r\nWARC-Target-URI: http://a/\u2028B: c\u0085D: e\r\nContent-Length: 3".encode())
+    assert head == {"warc-target-uri": "http://a/\u2028B: c\u0085D: e", "content-length": "3"}
+
+
+def test_warc_ties_and_repeated_rows(spark):
+    rows = [(1, "http://a", "same", "p"), (1, "http://a", "same", "p"), (2, "http://b", "same", "q"), (2, "http://c", "same", "q"), (2, "http://c", "other", "q")]
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.digest(spark.createDataFrame(rows, "page_id long, url string, html string, payload string")).collect())
+    assert got == Counter({(1, 4, "revisit", 2): 2, (2, 4, "response", None): 2, (2, 5, "response", None): 1})
+
+
 def test_warc_digest_edges(spark):
     pages = spark.createDataFrame([(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (None, "http://d", "")], "page_id long, url string, html string")
     got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.digest(pages).collect()), key=str)
@@ -87,6 +105,17 @@ def test_tokens_are_those_of_the_library(with_bytes):
         assert counter.count(text) == len(exact.encode(text).ids), repr(text)
 
 
+def test_token_counts_of_whole_documents(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = tokens.vocabulary()
+    exact = Tokenizer(models.Unigram(pieces, 0, True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = {r["doc_id"]: (len(r["text"]), len(exact.encode(r["text"]).ids)) for r in docs.collect()}
+    assert {r["doc_id"]: (r["n_chars"], r["n_tokens"]) for r in queries()["op2_token_counts"](spark, DATA).collect()} == want
+
+
 def test_tokens_columns(spark):
     df = spark.createDataFrame([(1, "a b", 7), (2, None, 8), (3, "", 9)], "doc_id long, text string, n_tokens int")
     assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df).collect()} == {1: 2, 2: 0, 3: 0}
@@ -528,6 +557,103 @@ def test_urls(spark):
             assert need <= toks[r["page_id"]] and hit.count(r["verdict"]) >= 0.8 * len(hit) > 0
 
 
+def test_urls_mining_against_plain_counting(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        kind = rng.randrange(4)
+        host = rng.choice(["a.b.c.d.e.shop.com", "news.org", "x.deep.org"])
+        path = "/" + "/".join(rng.choice(["one", "two", "spam" if kind == 0 else "ham"]) for _ in range(4))
+        rows.append((i, f"http://{host}{path}/?{rng.choice(['p', 'q'])}=1&{'bad' if kind == 1 else 'ok'}=2", "block" if kind < 2 and rng.random() < 0.97 else "allow"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    u = F.col("url")
+    toks = {r["page_id"]: tuple(r["t"]) for r in pages.select("page_id", urls.url_tokens(u, urls.host_of(u), urls.path_of(u)).alias("t")).collect()}
+    assert {"query=bad", "query=ok"} & set(toks[0]) and any(t.startswith("host6=") for v in toks.values() for t in v)
+    said = {r[0]: r[2] for r in rows}
+    labelled = pages.select("verdict", urls.url_tokens(u, urls.host_of(u), urls.path_of(u)).alias("tokens"), F.lit(0).alias("_salt"))
+    got = {(tuple(r["tokens"]), r["verdict"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in urls.mine(labelled, 0.05, 0.8).collect()}
+    count = Counter()
+    for i, t in toks.items():
+        for k in range(1, 1 << len(t)):
+            combo = tuple(x for j, x in enumerate(t) if k >> j & 1)
+            count[combo, said[i]] += 1
+    rules = {}
+    for (combo, verdict), n in count.items():
+        total = count[combo, "block"] + count[combo, "allow"]
+        if n >= 0.05 * len(rows) and n >= 0.8 * total:
+            rules[combo, verdict] = (round(n / total, 9), round(n / len(rows), 9))
+    want = {(c, v): x for (c, v), x in rules.items() if not any(rules.get((tuple(t for t in c if t != o), v), (-1,))[0] >= x[0] for o in c)}
+    assert max(map(len, toks.values())) <= urls.MOST_TOKENS and got == want and len(want) > 3
+    # the best rule for each page
+    judged = {r["page_id"]: r for r in urls.judge(pages.select("page_id", "url"), pages.select("page_id", "verdict"), (), 0.05, 0.8).collect()}
+    for i, t in toks.items():
+        fits = [(x[0], x[1], len(c), v == "block", list(c), v) for (c, v), x in want.items() if set(c) <= set(t)]
+        assert judged[i]["verdict"] == (max(fits)[-1] if fits else "allow") and judged[i]["rule_tokens"] == (max(fits)[4] if fits else None)
+
+
+# -- all --------------------------------------------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    letters = rng.integers(97, 123, 5 << 20).astype(np.uint8)
+    word = letters.tobytes().decode()
+    letters[rng.random(len(letters)) < 0.15] = 32
+    line = letters.tobytes().decode()
+    n = len(line.split())
+    docs = spark.createDataFrame([(1, word[: 1 << 20], "a"), (2, line, "a"), (3, line, "b"), (4, "short", "b"), (5, None, None)], "doc_id long, text string, source string").repartition(2)
+    assert {r["doc_id"]: r["n_words"] for r in quality.digest(docs).collect()} == {1: 1, 2: n, 3: n, 4: 1, 5: 0}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.digest(docs).collect()}
+    assert got[3] == (len(line), len(line)) and got[2][1] == 0 and got[1] == (1 << 20, 0)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.digest(docs).collect()} == {1: (1, 0), 2: (2, 1), 3: (2, 1), 4: (4, 0), 5: (5, 0)}
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.digest(docs).collect()} == {i: (1, 0) for i in range(1, 6)}
+    item = " ".join(line.split()[400_000:400_030])
+    found = decontaminate.digest(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(2, 7), (3, 7)}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: 1, 2: n, 3: n, 4: 1, 5: 0}
+    counted = {r["doc_id"]: r["n_tokens"] for r in tokens.digest(docs.filter("doc_id in (1, 4, 5)")).collect()}
+    assert counted[5] == 0 and counted[1] > 1 << 18
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int")
+    assert toxicity.digest(docs, labels).count() == 5
+    pages = spark.createDataFrame([(1, "http://a/" + word, word), (2, "http://a/?" + "&".join(f"p{i}" for i in range(2000)), word)], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.digest(pages).collect()} == {1: (5 << 20, 2), 2: (5 << 20, None)}
+    assert urls.digest(pages).count() == 2
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    from patrika.llm import textarrays
+
+    text = pa.array(["some words here", "x" * 50 + " y", "", "é" * 30], pa.large_string())
+    hashes = []
+    for piece in (1 << 20, 7):
+        b = next(iter(textarrays.blocks(text)))
+        b.words()
+        monkeypatch.setattr(textarrays, "BLOCK", piece)
+        hashes.append(b.word_hashes().tolist())
+    assert hashes[0] == hashes[1] and len(set(hashes[0])) == 6
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    text = "a line that is long enough to count\nown words " + " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, "")]
+    names = ("n_words", "kept", "tokens", "host", "path", "verdict", "_salt", "h1", "size", "score", "bucket", "quality")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("own") for n in names}).withColumn("source", F.lit("s"))
+    assert [r["n_words"] for r in quality.digest(docs).orderBy("n_words").collect()] == [0, 0, 40, 40, 40, 40]
+    cut = Counter((r["doc_id"], r["n_removed"] > 0) for r in suffix_dedup.digest(docs).collect())
+    assert cut == Counter({(1, True): 2, (2, True): 1, (None, False): 2, (3, False): 1})
+    lines = Counter((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.digest(docs).collect())
+    assert lines == Counter({(1, 2, 2): 2, (2, 2, 0): 1, (None, 2, 2): 1, (None, 1, 0): 1, (3, 1, 0): 1}) or lines == Counter({(1, 2, 1): 2, (2, 2, 0): 1, (None, 2, 1): 1, (None, 1, 0): 1, (3, 1, 0): 1})
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.digest(docs, labels).count() == 6 and len({r["score"] for r in toxicity.digest(docs, labels).filter("doc_id = 1").collect()}) == 1
+    assert tokens.digest(docs).count() == 6 and mixing.mix(docs).count() == 6
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)), 5), (1, None, 6), (None, "w1 w2", 7)], "item_id long, text string, doc_id int")
+    assert Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()) == Counter({(d, i): 1 for d in (1, 2, None) for i in (1, None)})
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") < 3, F.lit("http://example.net/en/x")).alias("url"), F.col("text").alias("html"), *names)
+    judged = Counter((r["page_id"], r["rule"], r["verdict"]) for r in urls.digest(pages).collect())
+    assert judged == Counter({(1, "example.net/en/", "allow"): 2, (2, "example.net/en/", "allow"): 1, (None, None, "allow"): 2, (3, None, "allow"): 1})
+    assert warc.digest(pages).count() == 6
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
@@ -558,3 +684,47 @@ def test_extra_columns_with_clashing_names(spark):
         assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in plain.collect()), name
     assert corpus_pipeline.mix_sources(spark, wide, DATA).count() == docs.count()
     assert tokens.count_tokens(wide).columns == [*wide.columns, "n_tokens"]
+
+
+def test_pipeline_against_plain_versions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = [r.asDict() for r in docs.collect()]
+        after = [r.asDict() for r in stage(spark, docs, DATA).collect()]
+        ids = {r["doc_id"] for r in after}
+        if name == "toxicity":
+            score = {r["doc_id"]: r["predicted"] for r in toxicity.digest(docs, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
+            assert ids == {r["doc_id"] for r in before if not score[r["doc_id"]]}
+        elif name == "line dedup":
+            holders = defaultdict(set)
+            key = lambda x: re.sub("[A-Z]", lambda c: c[0].lower(), x).strip(" \t\n\x0b\x0c\r")
+            for r in before:
+                for line in r["text"].split("\n"):
+                    holders[key(line)].add(r["doc_id"])
+            goes = lambda x, d: len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and d != max(holders[key(x)])
+            want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if not goes(x, r["doc_id"])) for r in before}
+            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in after} == {d: (t, len(t)) for d, t in want.items()}
+        elif name == "n-gram Jaccard join":
+            sets = {}
+            for r in before:
+                w = WORD.findall(r["text"])
+                sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+            label = {d: d for d in sets}
+            for a in sets:
+                for b in sets:
+                    if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        low, high = sorted((label[a], label[b]))
+                        label = {d: low if x == high else x for d, x in label.items()}
+            assert ids == {d for d in sets if label[d] == d}
+        elif name == "benchmark decontamination":
+            items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+            held = {d for d, _ in _leaks_by_brute_force({r["doc_id"]: r["text"] for r in before}, items)}
+            assert ids == {r["doc_id"] for r in before} - held
+        else:
+            size = {r["doc_id"]: len(WORD.findall(r["text"])) for r in before}
+            of = {r["doc_id"]: r["source"] for r in before}
+            assert {r["doc_id"]: r["size"] for r in after} == size
+            for source in set(of.values()):
+                mine = [r for r in after if of[r["doc_id"]] == source]
+                assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) and all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
+        docs = spark.createDataFrame([tuple(r.values()) for r in after], stage(spark, docs, DATA).schema) if name != corpus_pipeline.STAGES[-1][0] else docs
