@@ -115,3 +115,27 @@ def with_lookup(df: DataFrame, table: DataFrame, key: str, spread: Sequence[str
 def salts_of(held: str, salts: int = 32) -> Column:
     """A row for each salt whose bit is set."""
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.call_function("getbit", F.col(held), i) == 1))
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by their first n_keys columns; a group that goes on waits for the rest."""
+    held: list[pa.RecordBatch] = []
+
+    def key(b: pa.RecordBatch, i: int) -> tuple:
+        return tuple(b.column(k)[i].as_py() for k in range(n_keys))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = key(b, b.num_rows - 1)
+        lo, hi = 0, b.num_rows - 1  # first row of the last key
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if key(b, mid) == last else (mid + 1, hi)
+        if lo or (held and key(held[-1], held[-1].num_rows - 1) != last):
+            done = [*held, b.slice(0, lo)] if lo else held
+            yield pa.Table.from_batches(done)
+            held = []
+        held.append(b.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -2,12 +2,12 @@
 
 Documents are sets of word shingles; equal sets are one. A set is embedded as SLOTS minhash tokens, so that two sets
 share each token with a probability of their Jaccard similarity. From the root of each run, every bucket is split on
-tokens sampled by its path; buckets of up to LEAF sets are compared by brute force, and so are, in blocks, those of up to WIDE
-times as many that stay so large after EARLY splits, as more would hardly part them. The first splits take two tokens, so
-a set goes on along two paths; deeper ones take a second for one bucket in four, so sets that share four fifths of their
-tokens with many others make no more rows from level to level. A large bucket of which most sets are similar to one of
-them, the pivot, is a group of near copies that splitting can't part: there, sets similar to the pivot go no further, and
-whatever could resemble one of those, by the triangle inequality of the Jaccard distance, is tied to the pivot.
+tokens sampled by its path. Buckets of up to LEAF sets are compared by brute force, and so are, in blocks, those of up to
+WIDE times as many. The first splits take two tokens, so a set goes on along two paths; deeper ones take a second for one bucket in DEEP, so sets that share four
+fifths of their tokens with many others make no more rows from level to level. A large bucket of which most sets are
+nearly as similar as wanted to one of them, the pivot, is a group of near copies that splitting can't part: there, sets
+near the pivot go no further, and whatever could resemble one of those, by the triangle inequality of the Jaccard
+distance, is tied to the pivot.
 
 Brute force looks at the tokens first. Where these agree often enough, a second sketch decides, the least shingle in
 each of BINS bins, which for sets of few shingles is nearly all of them: a pair goes on unless the bins rule `similarity`
@@ -32,19 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import defined_id, fresh_path, real_id, salts_of, stored, with_group
+from .common import defined_id, fresh_path, groups_of, real_id, salts_of, stored, with_group
 from .graph import components
 from .textarrays import Powers, blocks, mixed
 
-SLOTS, BINS, LEAF, BLOCK, SALTS = 64, 1024, 1024, 128, 32
+SLOTS, BINS, LEAF, BLOCK, SALTS = 64, 512, 1024, 128, 32
 #: Levels that split on two tokens; deeper ones take the second token of one bucket in DEEP.
 TWO_TOKENS, DEEP = 4, 4
-#: After so many splits, buckets of so many times LEAF are compared in blocks.
-EARLY, WIDE = 2, 8
+#: Buckets of so many times LEAF are compared in blocks of a fourth of it.
+WIDE = 8
 #: Share of the pairs at just the wanted similarity that are found: all but 1 in 65,000.
 RECALL = 1 - 1 / 65_000
-#: By how much an estimate from the bins is off at most, where a pivot is concerned.
-OFF = 0.06
+#: How far below the wanted similarity sets still are near copies of a pivot, and by how much estimates from the bins are
+#: off at most there.
+NEAR, OFF = 0.1, 0.07
 _U = np.uint64
 _MULTIPLIERS = mixed(np.arange(1, SLOTS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -133,13 +134,13 @@ def _sketch(width: int) -> Callable:
                 h, sizes = _sets(b, width)
                 full = np.flatnonzero(sizes)
                 start = (np.cumsum(sizes) - sizes)[full]
-                sig = np.zeros((b.n, SLOTS), np.uint16)
+                sig = np.zeros((b.n, SLOTS), np.uint32)
                 for j in range(SLOTS) if len(full) else ():
                     x = h * _MULTIPLIERS[j]
                     x ^= x >> _U(31)
                     x *= _U(0x94D049BB133111EB)
                     x >>= _U(32)
-                    sig[full, j] = mixed(np.minimum.reduceat(x, start)) >> _U(48)
+                    sig[full, j] = np.minimum.reduceat(x, start)
                 k1, k2 = _keys(h, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(b.first, b.n) for c in batch.columns[:2]), pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([s.tobytes() for s in bins_of(h, sizes)], pa.binary())],
@@ -158,7 +159,7 @@ def _keys(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k1.view(np.int64), k2.view(np.int64)
 
 
-def _signatures(column: pa.Array, kind: type = np.uint16, width: int = SLOTS) -> np.ndarray:
+def _signatures(column: pa.Array, kind: type = np.uint32, width: int = SLOTS) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
@@ -188,30 +189,6 @@ def _split(roots: Sequence[int], level: int = 0) -> Callable:
     return run
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by their first n_keys columns; a group that goes on waits for the rest."""
-    held: list[pa.RecordBatch] = []
-
-    def key(b: pa.RecordBatch, i: int) -> tuple:
-        return tuple(b.column(k)[i].as_py() for k in range(n_keys))
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        last = key(b, b.num_rows - 1)
-        lo, hi = 0, b.num_rows - 1  # first row of the last key
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if key(b, mid) == last else (mid + 1, hi)
-        if lo or (held and key(held[-1], held[-1].num_rows - 1) != last):
-            done = [*held, b.slice(0, lo)] if lo else held
-            yield pa.Table.from_batches(done)
-            held = []
-        held.append(b.slice(lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _group_ids(table: pa.Table, n_keys: int) -> np.ndarray:
     keys = [table.column(k).to_numpy() for k in range(n_keys)]
     return np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
@@ -281,13 +258,13 @@ def candidates(reps: DataFrame, similarity: float = 0.8, recall: float = RECALL)
 
 def _run(reps: DataFrame, runs: Sequence[int], similarity: float, recall: float, path: str) -> int:
     """Adds the edges that these runs find to the table at `path`; gives the levels they took."""
-    tied = max(0.0, 2 * similarity - 1 - 2 * OFF)
+    tied = max(0.0, 2 * similarity - NEAR - 1 - 2 * OFF)
     rows, level = reps.select("node", "sig").mapInArrow(_split(runs), "path long, node long"), 0
     while True:
         met = stored(with_group(rows.select("path", "node").distinct() if level else rows, ["path"], [F.count("*").alias("_n")], ["node"], having=F.col("_n") > 1), "jaccard-buckets")
         tokens = met.join(reps.select("node", "sig", "bins", "size"), "node")
-        most = LEAF if level < EARLY else WIDE * LEAF
-        parts = F.ceil(F.col("_n") / LEAF).cast("int")
+        most = WIDE * LEAF
+        parts = F.when(F.col("_n") <= LEAF, 1).otherwise(F.ceil(F.col("_n") / max(1, LEAF // 4))).cast("int")
         leaf = tokens.filter(F.col("_n") <= most).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
         leaf = leaf.select("path", F.least("mine", "_other").alias("one"), F.greatest("mine", "_other").alias("two"), "node", "sig", "bins", "size", "mine")
         leaf.repartition("path", "one", "two").sortWithinPartitions("path", "one", "two", "node").mapInArrow(lambda batches: _brute_force(batches, similarity, recall), "a long, b long").write.mode("append").parquet(path)
@@ -300,7 +277,7 @@ def _run(reps: DataFrame, runs: Sequence[int], similarity: float, recall: float,
         salted = tokens.filter(F.col("_n") > most).withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
         compared = salted.join(pivots, ["path", "_salt"]).select("node", "sig", "path", "pivot", "bins", "pivot_bins")
         compared = stored(compared.mapInArrow(_with_pivot, "node long, sig binary, path long, pivot long, near double"), "jaccard-pivots")
-        close = F.col("near") >= similarity
+        close = F.col("near") >= similarity - NEAR
         judged = stored(with_group(compared, ["path"], [(F.avg(close.cast("double")) >= 0.5).alias("_copies")], ["node"]), "jaccard-judged")
         judged.filter(F.col("_copies") & (F.col("near") >= tied) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")).write.mode("append").parquet(path)
         level += 1
