@@ -366,7 +366,7 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("_sha1"), F.length("payload").alias("_len"), F.coalesce("page_id", F.lit(-(2**63))).alias("_id"))
-    grouped = with_group(rows, ["_sha1", "_len"], [F.max("_id").alias("_kept")], ["_id"])
+    grouped = with_group(rows, ["_sha1", "_len"], [F.max("_id").alias("_kept")], ["_id", "url"])
     revisit = (F.col("_len") >= min_revisit_bytes) & (F.col("_id") < F.col("_kept"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return grouped.select(
