@@ -5,9 +5,11 @@ same one. Four steps, all dealt by Spark:
 
 1. Each window of `width` bytes is owned by the smallest hash among its `KGRAM`-byte grams (its anchor), so equal
    windows have equal anchors. Consecutive windows with one anchor form a span. Only (anchor, span hash, place) is
-   sent, about one record for 35 bytes of text; equal spans of one batch collapse before they are sent.
-2. By anchor: all but the first of equal spans go. Anchors with several different spans need their bytes, and so do
-   first spans in which a window occurs again.
+   sent, a plain row for some 35 bytes of text, however many partitions there are. Of equal spans in a batch the first
+   is sent; the others go at once, so a passage that a third of the documents hold is a row for each batch.
+2. By anchor: all but the first of equal spans go. That much is a join by hash: equal spans are one suffix, and the
+   first place is the longest previous factor of all others. Anchors with several different spans need their bytes, and
+   so do first spans in which a window occurs again.
 3. Those spans' bytes are cut out of the texts and sorted by anchor: the suffixes that start a window in suffix order,
    their common prefixes, and the previous and next smaller positions give each suffix's longest previous factor.
    Where it has `width` bytes or more, the window goes.
@@ -25,24 +27,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import defined_id, real_id, stored
-from .textarrays import Powers, binary_parts, blocks, mixed
+from .common import defined_id, groups_of, real_id, stored
+from .textarrays import Block, Powers, binary_parts, blocks, mixed
 
 KGRAM = 32
 #: Windows in a span at most.
 LONGEST = 128
-#: Bytes of text for a bucket, about.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text for a bucket, about; and of a long text for a piece, whose windows are found by themselves.
+BUCKET_BYTES, PIECE = 16 << 20, 4 << 20
 #: One document in so many is looked at for anchors that very many share, and how often those are seen there.
 SAMPLE, OFTEN, MOST_HOT = 64, 24, 1 << 16
 _U = np.uint64
-_KEYS = (("anchor", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("at", "<i8"), ("n", "<u2"), ("again", "u1"), ("gone", "u1"))
-
-
 def pack(cols: dict[str, np.ndarray]) -> bytes:
     """Columns of equal length as compressed bytes."""
     size = len(next(iter(cols.values())))
@@ -57,7 +57,7 @@ def unpack(raw: bytes, kinds: tuple[tuple[str, str], ...]) -> dict[str, np.ndarr
     return out
 
 
-def _joined(raws: list[bytes], kinds=_KEYS) -> dict[str, np.ndarray]:
+def _joined(raws: list[bytes], kinds: tuple[tuple[str, str], ...]) -> dict[str, np.ndarray]:
     parts = [unpack(r, kinds) for r in raws]
     return {name: np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, kind) for name, kind in kinds}
 
@@ -66,8 +66,8 @@ def _taken(cols: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]
     return {k: v[at] for k, v in cols.items()}
 
 
-def _bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
-    return (mixed(doc.astype(np.int64).view(_U)) % _U(n)).astype(np.int64)
+def _bucket_of(doc: np.ndarray, tie: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(doc.astype(np.int64).view(_U) ^ mixed(tie.astype(np.int64).view(_U))) % _U(n)).astype(np.int64)
 
 
 def _dealt(cols: dict[str, np.ndarray], bucket: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -155,35 +155,69 @@ def _windows_of(block, width: int, spans: dict[str, np.ndarray], hot: np.ndarray
 
 
 def _placed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+def _found_in(block: Block, width: int, hot: np.ndarray) -> dict[str, np.ndarray]:
+    """The block's spans, those of hot anchors taken apart; a long text piece by piece, with the bytes that windows share."""
+    if block.n > 1 or len(block.data) <= PIECE:
+        return _windows_of(block, width, spans_of(block, width), hot)
+    parts = []
+    for lo in range(0, len(block.data), PIECE):
+        data = block.data[lo : lo + PIECE + width - 1]
+        piece = Block(data, np.array([0, len(data)]), block.first, block.powers)
+        found = _windows_of(piece, width, spans_of(piece, width), hot)
+        parts.append(found | {"at": found["at"] + lo})
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
-def _marked(cols: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Sorted by anchor, span and place; `gone` set where an equal span has an earlier place. Also: starts of groups."""
-    c = _taken(cols, np.lexsort((cols["at"], cols["tie"], cols["doc"], cols["span"], cols["anchor"])))
+
+def _leaders(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of columns sorted by anchor, span and place: where groups of equal spans start, and which spans have an equal one at
+    an earlier place."""
     if not len(c["at"]):
-        return c, np.zeros(0, np.int64)
-    same = (c["anchor"][1:] == c["anchor"][:-1]) & (c["span"][1:] == c["span"][:-1])
-    start = np.flatnonzero(np.concatenate([[True], ~same]))
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    start = np.flatnonzero(np.concatenate([[True], (c["anchor"][1:] != c["anchor"][:-1]) | (c["span"][1:] != c["span"][:-1])]))
     lead = np.repeat(start, np.diff(np.concatenate([start, [len(c["at"])]])))
-    later = (c["doc"] != c["doc"][lead]) | (c["tie"] != c["tie"][lead]) | (c["at"] != c["at"][lead])
-    return c | {"gone": (c["gone"].astype(bool) | later).astype(np.uint8)}, start
+    return start, (c["doc"] != c["doc"][lead]) | (c["tie"] != c["tie"][lead]) | (c["at"] != c["at"][lead])
+
+
+def _sent(bucket: np.ndarray, cols: dict[str, np.ndarray], names: tuple[str, ...]) -> tuple[list[int], list[bytes]]:
+    """The columns `names` packed by bucket, in order of place."""
+    cols = _taken(cols | {"_b": bucket}, np.lexsort((cols["at"], cols["doc"])))
+    dealt = list(_dealt({k: cols[k] for k in names}, cols["_b"]))
+    return [b for b, _ in dealt], [pack(x) for _, x in dealt]
+
+
+_SPANS = "anchor long, span long, doc long, tie long, place long, bucket long, data binary"
 
 
 def _find_spans(width: int, buckets: int, hot: np.ndarray) -> Callable:
+    """Rows of _SPANS: a batch's first of equal spans, `place` being where, how many windows, and whether one occurs again;
+    and packed, by the document's bucket, those that go already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             doc, tie = _placed(batch)
-            parts = [_windows_of(b, width, spans_of(b, width), hot) for b in blocks(batch.column(2), powers=powers)]
+            parts = [_found_in(b, width, hot) for b in blocks(batch.column(2), powers=powers)]
             if not parts:
                 continue
             s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            row = s.pop("row")
-            c, _ = _marked({"anchor": s["anchor"], "span": s["span"], "doc": doc[row], "tie": tie[row], "at": s["at"], "n": s["n"].astype(np.uint16), "again": s["again"].astype(np.uint8), "gone": np.zeros(len(row), np.uint8)})
+            c = {"anchor": s["anchor"], "span": s["span"], "doc": doc[s["row"]], "tie": tie[s["row"]], "at": s["at"], "n": s["n"].astype(np.uint16), "again": s["again"].astype(np.int64)}
+            c = _taken(c, np.lexsort((c["at"], c["tie"], c["doc"], c["span"], c["anchor"])))
+            start, later = _leaders(c)
+            gone = _runs(_taken({k: c[k] for k in ("doc", "tie", "at", "n")}, np.flatnonzero(later)))
+            held, data = _sent(_bucket_of(gone["doc"], gone["tie"], buckets), gone, ("doc", "tie", "at", "n"))
+            c = _taken(c, start)
             c = _taken(c, np.lexsort((c["at"], c["doc"])))  # near equal values stand together, for the compressor
-            dealt = list(_dealt(c, (c["anchor"] % _U(buckets)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int64()), pa.array([pack(x) for _, x in dealt], pa.binary())], ["bucket", "data"])
+            place = c["at"] << 9 | c["n"].astype(np.int64) << 1 | c["again"]
+            none = lambda n, kind: pa.nulls(n, kind)
+            longs = [pa.array(x.view(np.int64)) for x in (c["anchor"], c["span"], c["doc"], c["tie"], place)]
+            more = [pa.array(held, pa.int64()), *[pa.array([0] * len(held), pa.int64())] * 4]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.concat_arrays([a, b]) for a, b in zip(longs, more, strict=True)), pa.concat_arrays([none(len(start), pa.int64()), pa.array(held, pa.int64())]), pa.concat_arrays([none(len(start), pa.binary()), pa.array(data, pa.binary())])],
+                ["anchor", "span", "doc", "tie", "place", "bucket", "data"],
+            )
 
     return run
 
@@ -195,43 +229,48 @@ def _hot_anchors(texts: DataFrame, width: int) -> np.ndarray:
         powers = Powers()
         for batch in batches:
             for b in blocks(batch.column(2), powers=powers):
-                s = spans_of(b, width)
+                s = _found_in(b, width, np.zeros(0, _U))
                 seen = np.unique(np.stack([s["anchor"], s["row"].astype(_U)], 1), axis=0)[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64))], ["anchor"])
 
-    some = texts.filter(F.pmod(F.xxhash64("tie", F.lit(5)), F.lit(SAMPLE)) == 0)
+    some = texts.filter(F.pmod(F.xxhash64("doc", "tie", F.lit(5)), F.lit(SAMPLE)) == 0)
     seen = some.mapInArrow(run, "anchor long").groupBy("anchor").count().filter(F.col("count") >= OFTEN)
     top = seen.orderBy(F.desc("count"), "anchor").limit(MOST_HOT).select("anchor").collect()  # MOST_HOT rows at most
     return np.array([r["anchor"] for r in top], np.int64).view(_U)
 
 
 def _compare(buckets: int) -> Callable:
-    """By anchor: what goes already, and which spans need their bytes; both by the document's bucket."""
+    """Rows of _SPANS sorted by anchor, span and place: what goes already, and which spans need their bytes; both packed by
+    the document's bucket."""
 
-    def run(table: pa.Table) -> pa.Table:
-        c, start = _marked(_joined(table.column("data").to_pylist()))
-        ask = np.zeros(len(c["at"]), bool)
-        ask[start] = c["again"][start] > 0
-        if len(start):
-            anchor = c["anchor"][start]
-            new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-            first = np.flatnonzero(new)
-            several = np.repeat(np.diff(np.concatenate([first, [len(anchor)]])) > 1, np.diff(np.concatenate([first, [len(anchor)]])))
-            ask[start[several]] = True
-        gone = c["gone"].astype(bool)
-        out = []
-        for asked, keep in ((False, gone), (True, ask & ~gone)):
-            x = _taken(c, np.flatnonzero(keep))
-            x = _taken(x, np.lexsort((x["at"], x["doc"])))
-            names = ("anchor", "doc", "tie", "at", "n") if asked else ("doc", "tie", "at", "n")
-            out += [(b, asked, pack({k: y[k] for k in names})) for b, y in _dealt(x, _bucket_of(x["doc"], buckets))]
-        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "asked": pa.array([o[1] for o in out], pa.bool_()), "data": pa.array([o[2] for o in out], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, 1):
+            done = table.filter(pc.is_valid(table.column("data")))
+            yield from pa.table([done.column("bucket"), pa.array([False] * done.num_rows), done.column("data")], ["bucket", "asked", "data"]).to_batches()
+            table = table.filter(pc.is_null(table.column("data")))
+            c = {k: table.column(k).to_numpy() for k in ("anchor", "span", "doc", "tie")}
+            place = table.column("place").to_numpy()
+            c |= {"at": place >> 9, "n": (place >> 1 & 255).astype(np.uint16)}
+            start, later = _leaders(c)
+            ask = np.zeros(len(place), bool)
+            ask[start] = place[start] & 1 > 0
+            if len(start):
+                anchor = c["anchor"][start]
+                first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                many = np.diff(np.concatenate([first, [len(anchor)]]))
+                ask[start[np.repeat(many > 1, many)]] = True
+            for asked, keep, names in ((False, later, ("doc", "tie", "at", "n")), (True, ask & ~later, ("anchor", "doc", "tie", "at", "n"))):
+                x = _taken(c, np.flatnonzero(keep))
+                if not asked:
+                    x = _runs({k: x[k] for k in names})
+                held, data = _sent(_bucket_of(x["doc"], x["tie"], buckets), x, names)
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([asked] * len(held), pa.bool_()), pa.array(data, pa.binary())], ["bucket", "asked", "data"])
 
     return run
 
 
-_GONE = (("doc", "<i8"), ("tie", "<u8"), ("at", "<i8"), ("n", "<u2"))
-_ASKED = (("anchor", "<u8"), *_GONE)
+_GONE = (("doc", "<i8"), ("tie", "<i8"), ("at", "<i8"), ("n", "<u2"))
+_ASKED = (("anchor", "<i8"), *_GONE)
 
 
 def _pack_texts(buckets: int) -> Callable:
@@ -243,7 +282,7 @@ def _pack_texts(buckets: int) -> Callable:
             doc, tie = _placed(batch)
             data, offsets = binary_parts(batch.column(2))
             out = []
-            for b, x in _dealt({"doc": doc, "tie": tie, "row": np.arange(len(doc))}, _bucket_of(doc, buckets)):
+            for b, x in _dealt({"doc": doc, "tie": tie, "row": np.arange(len(doc))}, _bucket_of(doc, tie, buckets)):
                 text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in x["row"])
                 out.append((b, pack({"doc": x["doc"], "tie": x["tie"], "size": np.diff(offsets)[x["row"]].astype(np.int64)}), squeeze.compress(text)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "places", "texts"])
@@ -253,7 +292,7 @@ def _pack_texts(buckets: int) -> Callable:
 
 def _unpacked_texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
     for places, texts in zip(table.column("places").to_pylist(), table.column("texts").to_pylist(), strict=True):
-        p = unpack(places, (("doc", "<i8"), ("tie", "<u8"), ("size", "<i8")))
+        p = unpack(places, (("doc", "<i8"), ("tie", "<i8"), ("size", "<i8")))
         data = zstandard.ZstdDecompressor().decompress(texts) if texts else b""
         ends = np.cumsum(p["size"])
         for doc, tie, size, end in zip(p["doc"].tolist(), p["tie"].tolist(), p["size"].tolist(), ends.tolist(), strict=True):
@@ -278,7 +317,7 @@ def _cut(width: int, buckets: int) -> Callable:
             for i in where.pop((doc, tie), ()):
                 pieces[i], done[i] = text[c["at"][i] : c["at"][i] + c["n"][i] + width - 1], True
         squeeze, out = zstandard.ZstdCompressor(level=1), []
-        for b, x in _dealt(c | {"i": np.arange(len(done))}, (c["anchor"] % _U(buckets)).astype(np.int64)):
+        for b, x in _dealt(c | {"i": np.arange(len(done))}, (mixed(c["anchor"].view(_U)) % _U(buckets)).astype(np.int64)):
             rows = x.pop("i")
             out.append((b, pack(x), squeeze.compress(b"".join(pieces[i] for i in rows))))
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "places": pa.array([o[1] for o in out], pa.binary()), "pieces": pa.array([o[2] for o in out], pa.binary())})
@@ -350,7 +389,7 @@ def _suffix_step(width: int, buckets: int) -> Callable:
         edges = np.flatnonzero(np.diff(anchor[by_anchor])) + 1
         bounds, held = [0], 0
         for e in [*edges.tolist(), len(at)]:
-            if e - bounds[-1] >= 1 << 18:
+            if e - bounds[-1] >= 1 << 16:
                 bounds.append(e)
         if bounds[-1] != len(at):
             bounds.append(len(at))
@@ -367,21 +406,21 @@ def _suffix_step(width: int, buckets: int) -> Callable:
         at_gone = np.flatnonzero(gone)
         x = {"doc": c["doc"][span[at_gone]], "tie": c["tie"][span[at_gone]], "at": at[at_gone], "n": np.ones(len(at_gone), np.uint16)}
         x = _runs(x)
-        out = [(b, pack(y)) for b, y in _dealt(x, _bucket_of(x["doc"], buckets))]
+        out = [(b, pack(y)) for b, y in _dealt(x, _bucket_of(x["doc"], x["tie"], buckets))]
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "data": pa.array([o[1] for o in out], pa.binary())})
 
     return run
 
 
 def _runs(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Single windows that follow each other as one record, in order of place."""
+    """Windows that follow each other as one record, in order of place."""
     x = _taken(x, np.lexsort((x["at"], x["tie"], x["doc"])))
     if not len(x["at"]):
         return x
-    go_on = (x["doc"][1:] == x["doc"][:-1]) & (x["tie"][1:] == x["tie"][:-1]) & (x["at"][1:] - x["at"][:-1] <= 1)
+    end = x["at"] + x["n"].astype(np.int64)
+    go_on = (x["doc"][1:] == x["doc"][:-1]) & (x["tie"][1:] == x["tie"][:-1]) & (x["at"][1:] <= end[:-1])
     start = np.flatnonzero(np.concatenate([[True], ~go_on]))
-    last = np.concatenate([start[1:], [len(x["at"])]]) - 1
-    n = x["at"][last] - x["at"][start] + 1
+    n = np.maximum.reduceat(end, start) - x["at"][start]
     x, pieces = _taken(x, start), -(-n // 60_000)
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     x = {k: np.repeat(v, pieces) for k, v in x.items()}
@@ -400,15 +439,14 @@ def _removed(width: int, keep_text: bool) -> Callable:
             depth = np.zeros(len(text) + 1, np.int32)
             np.add.at(depth, c["at"][i], 1)
             np.add.at(depth, c["at"][i] + c["n"][i].astype(np.int64) + width - 1, -1)
-            off = np.cumsum(depth[:-1]) > 0
+            off = np.cumsum(depth[:-1], dtype=np.int32, out=depth[:-1]) > 0
             kept = np.frombuffer(text, np.uint8)[~off].tobytes()
             spans = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
             rows.append((doc, tie, len(text), int(off.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = (pa.int64(), pa.uint64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = ("doc", "tie", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
         out = {n: pa.array(list(v), k) for n, v, k in zip(names, cols, kinds, strict=True)}
-        out["tie"] = pa.array(np.array(cols[1], np.uint64).view(np.int64))
         return pa.table(out if keep_text else {k: v for k, v in out.items() if k != "kept"})
 
     return run
@@ -426,15 +464,17 @@ def dedup_passages(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     size = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
     buckets = max(8, -(-size // BUCKET_BYTES))
     hot = _hot_anchors(texts, width)
-    by_anchor = texts.mapInArrow(_find_spans(width, buckets, hot), "bucket long, data binary")
-    compared = stored(by_anchor.groupBy("bucket").applyInArrow(_compare(buckets), "bucket long, asked boolean, data binary"), "suffix-compared")
+    # as many partitions as buckets, so that a task's share stays the same as the corpus grows
+    dealt = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    by_anchor = texts.mapInArrow(_find_spans(width, buckets, hot), _SPANS).repartition(buckets, "anchor").sortWithinPartitions("anchor", "span", "doc", "tie", "place")
+    compared = stored(by_anchor.mapInArrow(_compare(buckets), "bucket long, asked boolean, data binary"), "suffix-compared")
     packed = texts.mapInArrow(_pack_texts(buckets), "bucket long, places binary, texts binary")
     asked = compared.filter("asked").select("bucket", "data")
-    pieces = asked.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(_cut(width, buckets), "bucket long, places binary, pieces binary")
-    found = pieces.groupBy("bucket").applyInArrow(_suffix_step(width, buckets), "bucket long, data binary")
+    pieces = dealt(asked).cogroup(dealt(packed)).applyInArrow(_cut(width, buckets), "bucket long, places binary, pieces binary")
+    found = dealt(pieces).applyInArrow(_suffix_step(width, buckets), "bucket long, data binary")
     gone = compared.filter("not asked").select("bucket", "data").unionByName(found)
     schema = "doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    out = gone.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(_removed(width, keep_text), schema)
+    out = dealt(gone).cogroup(dealt(packed)).applyInArrow(_removed(width, keep_text), schema)
     return out.select(real_id("doc").alias(id_col), *out.columns[2:])
 
 
