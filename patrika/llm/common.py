@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -67,12 +69,30 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives the memory that it has used back to the machine at its end: Spark keeps Python workers for the next
+    tasks, and what each of them has once used would add up beside the executor's own memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def with_measured(docs: DataFrame, source: Column, out_col: str, kind: str, measure: Callable[[Iterator[pa.Array]], Iterator[pa.Array]]) -> DataFrame:
     """docs with `out_col` of type `kind`, which `measure` makes of `source`, array by array; it replaces a column of
     that name. The other columns go along under their positions, so their names don't matter."""
     rest = [c for c in docs.columns if c != out_col]
     plain = docs.select(source.alias("_source"), *[named(c).alias(f"_{i}") for i, c in enumerate(rest)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import defined_id, fresh_path, groups_of, real_id, salts_of, stored, with_group
+from .common import defined_id, fresh_path, groups_of, real_id, salts_of, stored, tidy, with_group
 from .graph import components
 from .textarrays import Powers, blocks, mixed
 
@@ -127,6 +127,7 @@ def _sets(block, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(width: int) -> Callable:
     """Rows (id, tie, k1, k2, size, sig, bins) for each text: the set's key of two hashes, its size and its sketches."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
@@ -176,6 +177,7 @@ def _children(path: np.ndarray, sig: np.ndarray, level: int) -> Iterator[tuple[n
 def _split(roots: Sequence[int], level: int = 0) -> Callable:
     """Rows (path, node) from the roots of these runs and rows (node, sig), or from rows (node, sig, path) one level on."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -287,6 +289,7 @@ def _run(reps: DataFrame, runs: Sequence[int], similarity: float, recall: float,
 def _set_bytes(width: int) -> Callable:
     """Rows (text, k1, k2, comp, node, weight, blocks): the text's shingle hashes in its place, if its key is the wanted one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
@@ -326,6 +329,7 @@ def _exact(similarity: float) -> Callable:
     In a pair of blocks (one < two) only links across them count; `mine` is a set's own block. Repeated nodes are one.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, 3):
             group = _group_ids(table, 3)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .textarrays import Powers, blocks
 
 WINDOW = 8
@@ -91,6 +91,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     """`keep` columns and the counts of _STATS (long) for each whole text; a null text has none of anything."""
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{s} long" for s in _STATS)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:

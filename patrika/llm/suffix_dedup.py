@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import defined_id, groups_of, real_id, stored
+from .common import defined_id, groups_of, real_id, stored, tidy
 from .textarrays import Block, Powers, binary_parts, blocks, mixed
 
 KGRAM = 32
@@ -195,6 +195,7 @@ def _find_spans(width: int, buckets: int, hot: np.ndarray) -> Callable:
     """Rows of _SPANS: a batch's first of equal spans, `place` being where, how many windows, and whether one occurs again;
     and packed, by the document's bucket, those that go already."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
@@ -225,6 +226,7 @@ def _find_spans(width: int, buckets: int, hot: np.ndarray) -> Callable:
 def _hot_anchors(texts: DataFrame, width: int) -> np.ndarray:
     """Anchors found in OFTEN of a sample of the documents, the MOST_HOT most frequent of them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
@@ -243,6 +245,7 @@ def _compare(buckets: int) -> Callable:
     """Rows of _SPANS sorted by anchor, span and place: what goes already, and which spans need their bytes; both packed by
     the document's bucket."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_of(batches, 1):
             done = table.filter(pc.is_valid(table.column("data")))
@@ -276,6 +279,7 @@ _ASKED = (("anchor", "<i8"), *_GONE)
 def _pack_texts(buckets: int) -> Callable:
     """Texts by bucket of their document, compressed."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:

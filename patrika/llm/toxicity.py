@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, stored, with_measured
+from .common import named, stored, tidy, with_measured
 
 # Look-alikes of Latin letters, by letter.
 LOOK_ALIKES = {
@@ -125,6 +125,7 @@ def _counted(rows: DataFrame, make: Callable[[], Callable[[str | None], set[str]
     """Rows (term, clean, toxic): how many clean and toxic texts of `rows` have each term; and how many such texts there
     are. Terms are counted by text in each task and summed by Spark."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms_of, seen = make(), (Counter(), Counter())
 
@@ -177,6 +178,7 @@ def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: Sequence[s
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon, exceptions)
         for batch in batches:
