@@ -61,6 +61,10 @@ def normal(text: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFC", text))
 
 
+def is_normal(text: str) -> bool:
+    return unicodedata.is_normalized("NFC", text)
+
+
 def collapsed(text: str) -> str:
     return " ".join(text.split())
 
@@ -130,7 +134,7 @@ def arrow_function(step: Callable[[str], object], kind: DataType = StringType())
     return run
 
 
-_normal, _is_nfc = arrow_function(normal), arrow_function(lambda t: unicodedata.is_normalized("NFC", t), BooleanType())
+_normal, _is_nfc = arrow_function(normal), arrow_function(is_normal, BooleanType())
 _from_font, _misread = arrow_function(from_font), arrow_function(lambda t: replaced(t, MISREAD))
 _repaired, _repaired_forced, _recognised = arrow_function(repaired), arrow_function(lambda t: repaired(t, True)), arrow_function(recognised)
 

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from patrika.functions import names, registry
+from patrika.functions import names, registry, rewrite
 from patrika.functions.constants import CONFIGURATIONS, DIGITAL_PLACEHOLDER, EMPTIED, FAILED, RECOGNISED_PLACEHOLDER
 from patrika.functions.rewrite import is_nfc, normalize, repaired_digital
 from patrika.functions.script import issues, profile
@@ -229,6 +229,9 @@ def test_first_done(spark):
 
 
 def test_names_for_sql(spark):
+    # rewrite functions that have been used hold handles of the driver's; registering must not care, nor do it only once
+    spark.createDataFrame([("A1",)], "t string").select(rewrite.normalize("t"), rewrite.fix_misread("t"), rewrite.repair("t")).collect()
+    registry.register(spark)
     registry.register(spark)
     texts = ["ªÀ£ÀPÀAiÀÄ", "The é text", None, "ಕನ್ನಡ", "%%%%%ಕ", "abc...", "µÀ º dÄ"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").createOrReplaceTempView("sql_names")
@@ -237,3 +240,16 @@ def test_names_for_sql(spark):
         assert got == [step(t or "") for t in texts], name
     native = [r[0] for r in spark.table("sql_names").orderBy("i").select(issues("t", is_nfc("t"))).collect()]
     assert native == [r[0] for r in spark.sql("SELECT validate_kannada_output(t) FROM sql_names ORDER BY i").collect()]
+
+
+def test_native_names_for_sql_start_no_python(spark):
+    registry.register(spark)
+    texts = ["ªÀ£ÀPÀAiÀÄ", "it's \\ a \"quoted\" ನಮಸ್ಕಾರ1", None, "", "ಕನ್ನಡ ಕನ್ನಡ ಕನ್ನಡ ಕನ್ನಡ ªÀ £À", "%%%%%ಕ", "µÀ º dÄ", "ಕ\tab , c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df.createOrReplaceTempView("sql_native")
+    got = spark.sql("SELECT " + ", ".join(f"{name}(t) AS {name}" for name in registry.NATIVE) + " FROM sql_native")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert got.collect() == df.select(*[build(F.col("t")).alias(name) for name, build in registry.NATIVE.items()]).collect()
+    plan = spark.sql("SELECT validate_kannada_output(t) FROM sql_native")._jdf.queryExecution().executedPlan().toString()
+    assert "is_normal_form(" in plan and "kannada_issues(" not in plan and plan.count("ArrowEvalPython") == 1
