@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import defined_id, fresh_path, groups_of, real_id, salts_of, stored, tidy, with_group
 from .graph import components
-from .textarrays import Powers, blocks, mixed
+from .textarrays import blocks, mixed
 
 SLOTS, BINS, LEAF, BLOCK, SALTS = 64, 512, 1024, 128, 32
 #: Levels that split on two tokens; deeper ones take the second token of one bucket in DEEP.
@@ -129,9 +129,8 @@ def _sketch(width: int) -> Callable:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
-            for b in blocks(batch.column(2), powers=powers):
+            for b in blocks(batch.column(2)):
                 h, sizes = _sets(b, width)
                 full = np.flatnonzero(sizes)
                 start = (np.cumsum(sizes) - sizes)[full]
@@ -291,9 +290,8 @@ def _set_bytes(width: int) -> Callable:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
-            for b in blocks(batch.column(0), powers=powers):
+            for b in blocks(batch.column(0)):
                 h, sizes = _sets(b, width)
                 k1, k2 = _keys(h, sizes)
                 same = pa.array((batch.column(1).slice(b.first, b.n).to_numpy() == k1) & (batch.column(2).slice(b.first, b.n).to_numpy() == k2))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, tidy
-from .textarrays import Powers, blocks
+from .textarrays import blocks
 
 WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -93,9 +93,8 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
-            parts = [_block_stats(b) for b in blocks(batch.column(len(keep)), powers=powers)]
+            parts = [_block_stats(b) for b in blocks(batch.column(len(keep)))]
             cols = [np.concatenate([p[s] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for s in _STATS]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, cols)], [*keep, *_STATS])
 

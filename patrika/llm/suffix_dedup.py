@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import defined_id, groups_of, real_id, stored, tidy
-from .textarrays import Block, Powers, binary_parts, blocks, mixed
+from .textarrays import Block, binary_parts, blocks, mixed
 
 KGRAM = 32
 #: Windows in a span at most.
@@ -43,6 +43,8 @@ BUCKET_BYTES, PIECE = 16 << 20, 4 << 20
 #: One document in so many is looked at for anchors that very many share, and how often those are seen there.
 SAMPLE, OFTEN, MOST_HOT = 64, 24, 1 << 16
 _U = np.uint64
+
+
 def pack(cols: dict[str, np.ndarray]) -> bytes:
     """Columns of equal length as compressed bytes."""
     size = len(next(iter(cols.values())))
@@ -92,8 +94,7 @@ def spans_of(block, width: int) -> dict[str, np.ndarray]:
     if len(block.data) < width:
         return none
     k = min(KGRAM, width)
-    sums, (_, down) = block.sums(), block.powers.to(len(block.data) + 1)
-    grams = mixed((sums[k:] - sums[:-k]) * down[: len(sums) - k])
+    grams = block.grams(k)
     low = _sliding_min(grams, width - k + 1)
     lengths = np.diff(block.offsets)
     row = np.repeat(np.arange(block.n), lengths)[: len(low)]
@@ -110,12 +111,22 @@ def spans_of(block, width: int) -> dict[str, np.ndarray]:
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first, n = np.repeat(first, pieces) + nth * LONGEST, np.minimum(np.repeat(n, pieces) - nth * LONGEST, LONGEST)
     begin = starts[first]
-    span = mixed((sums[begin + n + width - 1] - sums[begin]) * down[begin] + n.astype(_U))
-    again = _repeating(grams, sums, down, width, v[first], begin, n)
+    span = n.astype(_U)
+    for at in range(0, LONGEST - 1 + width, width):  # windows that cover the span, the last ones overlapping
+        span = mixed(span * _U(0xD6E8FEB86659FD93) + _window_hashes(grams, begin + np.minimum(at, n - 1), width))
+    again = _repeating(grams, width, v[first], begin, n)
     return {"anchor": v[first], "span": span, "row": r[first] + block.first, "at": begin - block.offsets[r[first]], "n": n, "again": again}
 
 
-def _repeating(grams: np.ndarray, sums: np.ndarray, down: np.ndarray, width: int, anchor: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _window_hashes(grams: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` bytes at each place, from the hashes of grams that cover them."""
+    k, out = min(KGRAM, width), np.zeros(len(at), _U)
+    for step in range(0, width, k):
+        out = mixed(out * _U(0xD6E8FEB86659FD93) + grams[at + min(step, width - k)])
+    return out
+
+
+def _repeating(grams: np.ndarray, width: int, anchor: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Which spans hold a window more than once. Equal windows have their anchors in equal places, so only spans whose
     first and last anchors are two are looked into."""
     view = np.lib.stride_tricks.sliding_window_view(grams, width - min(KGRAM, width) + 1)
@@ -131,9 +142,9 @@ def _repeating(grams: np.ndarray, sums: np.ndarray, down: np.ndarray, width: int
         s = some[lo : lo + (1 << 12)]
         span = np.repeat(s, n[s])
         at = begin[span] + np.arange(len(span)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
-        poly = (sums[at + width] - sums[at]) * down[at]
-        order = np.lexsort((poly, span))
-        same = (poly[order][1:] == poly[order][:-1]) & (span[order][1:] == span[order][:-1])
+        window = _window_hashes(grams, at, width)
+        order = np.lexsort((window, span))
+        same = (window[order][1:] == window[order][:-1]) & (span[order][1:] == span[order][:-1])
         again[span[order][1:][same]] = True
     return again
 
@@ -147,9 +158,8 @@ def _windows_of(block, width: int, spans: dict[str, np.ndarray], hot: np.ndarray
     nth = np.arange(s["n"].sum()) - np.repeat(np.cumsum(s["n"]) - s["n"], s["n"])
     row, at = np.repeat(s["row"], s["n"]), np.repeat(s["at"], s["n"]) + nth
     begin = at + block.offsets[row - block.first]
-    sums, (_, down) = block.sums(), block.powers.to(len(block.data) + 1)
-    poly = (sums[begin + width] - sums[begin]) * down[begin]
-    alone = {"anchor": mixed(poly ^ _U(0xA5A5A5A5A5A5A5A5)), "span": mixed(poly + _U(1)), "row": row, "at": at, "n": np.ones(len(at), np.int64), "again": np.zeros(len(at), bool)}
+    window = _window_hashes(block.grams(min(KGRAM, width)), begin, width)
+    alone = {"anchor": mixed(window ^ _U(0xA5A5A5A5A5A5A5A5)), "span": mixed(window + _U(1)), "row": row, "at": at, "n": np.ones(len(at), np.int64), "again": np.zeros(len(at), bool)}
     rest = _taken(spans, np.flatnonzero(~split))
     return {k: np.concatenate([rest[k], alone[k]]) for k in spans}
 
@@ -165,7 +175,7 @@ def _found_in(block: Block, width: int, hot: np.ndarray) -> dict[str, np.ndarray
     parts = []
     for lo in range(0, len(block.data), PIECE):
         data = block.data[lo : lo + PIECE + width - 1]
-        piece = Block(data, np.array([0, len(data)]), block.first, block.powers)
+        piece = Block(data, np.array([0, len(data)]), block.first)
         found = _windows_of(piece, width, spans_of(piece, width), hot)
         parts.append(found | {"at": found["at"] + lo})
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -197,10 +207,9 @@ def _find_spans(width: int, buckets: int, hot: np.ndarray) -> Callable:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
             doc, tie = _placed(batch)
-            parts = [_found_in(b, width, hot) for b in blocks(batch.column(2), powers=powers)]
+            parts = [_found_in(b, width, hot) for b in blocks(batch.column(2))]
             if not parts:
                 continue
             s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -228,9 +237,8 @@ def _hot_anchors(texts: DataFrame, width: int) -> np.ndarray:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
-            for b in blocks(batch.column(2), powers=powers):
+            for b in blocks(batch.column(2)):
                 s = _found_in(b, width, np.zeros(0, _U))
                 seen = np.unique(np.stack([s["anchor"], s["row"].astype(_U)], 1), axis=0)[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64))], ["anchor"])

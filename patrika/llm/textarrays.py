@@ -1,17 +1,22 @@
-"""Whole batches of texts as numpy arrays: words, their hashes and windows of them, without a Python object per word."""
+"""Whole batches of texts as numpy arrays: words, their hashes and windows of them, without a Python object per word.
+
+Hashes take bytes eight at a time through a bijective mix that is applied after each eight, so no pattern in a text, such
+as a word and its complement, makes two hashes equal; what is left is chance, 1 in 2**64 for a pair.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Texts go through the arrays in blocks of about so many bytes; a longer text is a block of its own, hashed in pieces.
+#: Texts go through the arrays in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -23,31 +28,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as they were asked for."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number, zeros following the last; one more than bytes, without a copy of each."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, _U)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([np.ones(1, _U), np.full(n - 1, _BASE, _U)]).cumprod(dtype=_U)
-                self.down = np.concatenate([np.ones(1, _U), np.full(n - 1, _INVERSE, _U)]).cumprod(dtype=_U)
-        return self.up[:n], self.down[:n]
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range."""
+    size, eight = ends - starts, eights(data)
+    out = mixed(size.astype(_U) + _U(0x5851F42D4C957F2D))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(live):
+        left = size[live] - at
+        part = eight[starts[live] + at]
+        short = left < 8
+        part[short] &= (_U(1) << (left[short] * 8).astype(_U)) - _U(1)
+        out[live] = mixed((out[live] ^ part) + _U(0x9E3779B97F4A7C15))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Block:
     """Consecutive texts: `data` (bytes as uint8) and `offsets` (one more than texts), `first` being the first one's row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, powers: Powers):
-        self.data, self.offsets, self.first, self.powers = data, offsets, first, powers
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
+        self.data, self.offsets, self.first = data, offsets, first
         self.n = len(offsets) - 1
 
-    def words(self) -> None:
-        """Sets starts, ends and doc (the text's index in the block) for each word `[^\\x20\\x09-\\x0D]+`."""
+    def words(self, spaces: np.ndarray = _SPACES) -> None:
+        """Sets starts, ends and doc (the text's index in the block) for each word, `[^\\x20\\x09-\\x0D]+` or runs of other
+        bytes than `spaces` marks."""
         inside = np.zeros(len(self.data) + 2, bool)
-        np.logical_not(_SPACES[self.data], out=inside[1:-1])
+        np.logical_not(spaces[self.data], out=inside[1:-1])
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.offsets] = True
         here, before = inside[1:], inside[:-1]
@@ -57,30 +71,24 @@ class Block:
         self.n_words = np.bincount(self.doc, minlength=self.n)
         self.first_word = np.concatenate([[0], np.cumsum(self.n_words)])
 
-    def sums(self) -> np.ndarray:
-        """Prefix sums of the bytes' polynomial, from which the hash of any byte range follows."""
-        up, _ = self.powers.to(len(self.data) + 1)
-        out = np.zeros(len(self.data) + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * up[:-1], out=out[1:])
+    def grams(self, k: int) -> np.ndarray:
+        """A hash of the k bytes from each byte on, as far as k bytes of the block follow: those of eight bytes, joined to
+        twice as many again and again, the last ones overlapping."""
+        if len(self.data) < k:
+            return np.zeros(0, _U)
+        part = eights(self.data)[: len(self.data) - min(k, 8) + 1]
+        if k < 8:
+            part = part & _U((1 << 8 * k) - 1)
+        out, width = mixed(part + _U(0x9E3779B97F4A7C15)), min(k, 8)
+        while width < k:
+            step = min(width, k - width)
+            out = mixed(out[:-step] * _U(0xD6E8FEB86659FD93) + out[step:])
+            width += step
         return out
 
     def word_hashes(self) -> np.ndarray:
-        """A hash for each word, from the bytes in pieces of BLOCK, so that a long text needs no longer powers or sums."""
-        out = np.zeros(len(self.starts), _U)
-        for lo in range(0, len(self.data), BLOCK):
-            hi = min(lo + BLOCK, len(self.data))
-            up, down = self.powers.to(hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, _U)
-            np.cumsum((self.data[lo:hi].astype(_U) + _U(1)) * up[:-1], out=sums[1:])
-            a, b = np.searchsorted(self.ends, lo, "right"), np.searchsorted(self.starts, hi, "left")
-            if a == b:
-                continue
-            start = np.maximum(self.starts[a:b], lo) - lo
-            part = (sums[np.minimum(self.ends[a:b], hi) - lo] - sums[start]) * down[start]
-            if self.starts[a] < lo:  # begun in an earlier piece
-                part[:1] *= _U(pow(_BASE, int(lo - self.starts[a]), 1 << 64))
-            out[a:b] += part
-        return mixed(out)
+        """A hash for each word."""
+        return range_hashes(self.data, self.starts, self.ends)
 
     def windows(self, width: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of `width` words that lie in one text, and the index of each one's first word."""
@@ -105,12 +113,12 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, size: int = BLOCK, powers: Powers | None = None) -> Iterator[Block]:
+def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
     """The column in blocks of about `size` bytes."""
     data, offsets = binary_parts(column)
-    powers, at = powers or Powers(), 0
+    at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         end = min(end, len(column))
-        yield Block(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], at, powers)
+        yield Block(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], at)
         at = end

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from patrika.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, suffix_dedup, tokens, toxicity, urls, warc
+from patrika.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, suffix_dedup, textarrays, tokens, toxicity, urls, warc
 from patrika.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -620,6 +620,46 @@ def test_very_long_texts(spark):
     assert urls.digest(pages).count() == 2
 
 
+def _thue_morse(n):
+    """A word of a and b of 2**n letters and its complement: equal under every polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_patterned_texts(spark):
+    one, two = _thue_morse(10)
+    docs = frame(spark, [one, two])
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()} == {0: (0, 0), 1: (1, 0)}
+    own = [f"w{i}" for i in range(34)]
+    text = " ".join([*own[:8], one, *own[8:16], *own[:8], two, *own[16:]])
+    want = {w for w in range(8)} | {w for w in range(17, 25)}
+    assert quality.digest(frame(spark, [text])).first()["n_repeat_words"] == len(want)
+    rows = list(enumerate([one, two, one[:512], one + "x" + two]))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(frame(spark, [t for _, t in rows])).collect()}
+    assert got == _removed(rows, 100)
+    held = [" ".join(own[:20] + [x] * 20 + own[20:]) for x in (one, two)]
+    bench = spark.createDataFrame([(7, " ".join([one] * 20))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(frame(spark, held), bench).collect()} == {0}
+
+
+def test_hashes_of_words_and_grams():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 7, 8, 9, 16, 255, 256, 257, 300]))) for _ in range(400)]
+    b = next(iter(textarrays.blocks(pa.array([" ".join(words), words[0]], pa.large_string()))))
+    b.words()
+    seen = defaultdict(set)
+    for w, h in zip([*words, words[0]], b.word_hashes().tolist(), strict=True):
+        seen[w].add(h)
+    assert all(len(x) == 1 for x in seen.values()) and len({h for x in seen.values() for h in x}) == len(seen)
+    data = b.data.tobytes()
+    for k in (3, 8, 20, 32):
+        grams = b.grams(k).tolist()
+        assert len(grams) == len(data) - k + 1 and len(set(grams)) == len({data[i : i + k] for i in range(len(grams))})
+        assert len(set(zip(grams, (data[i : i + k] for i in range(len(grams))), strict=True))) == len(set(grams))
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     from patrika.llm import textarrays
 
