@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from patrika.llm import decontaminate, jaccard_join, line_dedup, mixing, quality, suffix_dedup, textarrays, tokens, toxicity, urls, warc
+from patrika.llm import decontaminate, jaccard_join, line_dedup, merkle, mixing, quality, suffix_dedup, textarrays, tokens, toxicity, urls, warc
 from patrika.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -694,6 +694,81 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert warc.digest(pages).count() == 6
 
 
+# -- 13 ---------------------------------------------------------------------------------------------------------------
+
+
+def _sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _tree(leaves):
+    """All levels of a tree."""
+    levels = [list(leaves)]
+    while len(levels[-1]) > 1:
+        levels.append([_sha(*levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+    return levels
+
+
+def _manifest(rows):
+    """By brute force, from rows (doc_id, source, lang, n_chars, text)."""
+    hashed = lambda row: _sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[2]].append((row, hashed(row)))
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for lang in langs:
+        groups[lang].sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+    trees = {lang: _tree(leaf for _, leaf in groups[lang]) for lang in langs}
+    top = _tree(trees[lang][-1][0] for lang in langs)
+    out = Counter()
+    for t, lang in enumerate(langs):
+        for i, (row, leaf) in enumerate(groups[lang]):
+            changed = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0 and row[3] is not None
+            now, siblings = hashed((*row[:3], row[3] + 1, row[4])) if changed else leaf, []
+            for levels, at in ((trees[lang], i), (top, t)):
+                for level in levels[:-1]:
+                    run = level[at - at % 2 : at - at % 2 + 2]
+                    siblings += [d for k, d in enumerate(run) if k != at % 2]
+                    now = _sha(*(now if k == at % 2 else d for k, d in enumerate(run)))
+                    at //= 2
+            out[row[0], leaf, trees[lang][-1][0], top[-1][0], _sha(*siblings), now, now == top[-1][0]] += 1
+    return out
+
+
+@pytest.mark.parametrize("part_bytes", [64 << 20, 160, 160 * 7])
+def test_merkle_manifest(spark, part_bytes):
+    rng = random.Random(part_bytes)
+    langs = [None, "", "en", "é", "日", "z", "en", "en"]
+    for n in (1, 2, 3, 40, 203):
+        rows = [(rng.choice([None, i, -i, 5]), rng.choice([None, "", "a:b"]), rng.choice(langs[: 1 + n % 8] if n < 203 else langs), rng.choice([None, 7, 2**63 - 1]), rng.choice([None, "", "é 1:2", "x" * 300])) for i in range(n)]
+        docs = spark.createDataFrame(rows + rows[: n // 3], "doc_id long, source string, lang string, n_chars long, text string").withColumns({c: F.lit("own") for c in ("leaf", "_part", "tree", "named")})
+        got = Counter(tuple(r) for r in merkle.manifest(docs.repartition(3), part_bytes).collect())
+        assert got == _manifest(rows + rows[: n // 3]), n
+    assert sum(v for k, v in got.items() if not k[-1]) > 5  # tampering shows
+
+
+def test_merkle_many_groups(spark):
+    rows = [(i, "s", f"l{i % 150}", 1, "t") for i in range(300)] + [(i, "s", "hot", 1, None) for i in range(150)]
+    got = Counter(tuple(r) for r in merkle.manifest(spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string"), 160 * 20).collect())
+    assert got == _manifest(rows)
+
+
+def test_merkle_fragments_merge_in_any_order():
+    rng, leaves = random.Random(4), {0: 13, 1: 1, 2: 8, 3: 5}
+    nodes = [((t, 0, i), _sha(f"{t} {i}").encode()) for t, n in leaves.items() for i in range(n)]
+    want = _tree(_tree(_sha(f"{t} {i}") for i in range(n))[-1][0] for t, n in leaves.items())[-1][0].encode()
+    for _ in range(20):
+        rng.shuffle(nodes)
+        parts = [dict(nodes[i::6]) for i in range(6)]
+        while len(parts) > 1:
+            a, b = parts.pop(rng.randrange(len(parts))), parts.pop(rng.randrange(len(parts)))
+            forest = merkle.Forest(leaves | {merkle.ROOT: len(leaves)})
+            for node, digest in [*a.items(), *b.items()]:
+                forest.add(node, digest)
+            parts.append(forest.open)
+        assert parts[0] == {(merkle.ROOT, 2, 0): want}
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
