@@ -50,6 +50,42 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which ranges of `data` hold the same bytes as those of `other`, one by one."""
+    size, a, b = ends - starts, eights(data), eights(other)
+    same = size == other_ends - other_starts
+    live, at = np.flatnonzero(same & (size > 0)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8)
+        mask = np.where(left < 8, (_U(1) << (np.minimum(left, 7) * 8).astype(_U)) - _U(1), ~_U(0))
+        same[live] = (a[starts[live] + at] & mask) == (b[other_starts[live] + at] & mask)
+        live, at = live[same[live] & (size[live] > at + 8)], at + 8
+    return same
+
+
+class Lookup:
+    """Finds hashes among sorted terms by a table of their leading bits; terms that share a slot follow each other."""
+
+    def __init__(self, terms: np.ndarray):
+        bits = max(12, (8 * len(terms)).bit_length())
+        self.terms, self.shift = terms, _U(64 - bits)
+        slot = (terms >> self.shift).astype(np.int64)
+        self.first, self.longest = np.full(1 << bits, -1, np.int32), int(np.bincount(slot).max(initial=0)) if len(terms) else 0
+        self.first[slot[::-1]] = np.arange(len(terms), dtype=np.int32)[::-1]
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the hashes that are terms, and which terms."""
+        term = self.first[(h >> self.shift).astype(np.int64)].astype(np.int64)
+        at = np.flatnonzero(term >= 0)
+        term = term[at]
+        hit = self.terms[term] == h[at] if len(at) else np.zeros(0, bool)
+        for _ in range(self.longest - 1):
+            miss = np.flatnonzero(~hit)
+            term[miss] = np.minimum(term[miss] + 1, len(self.terms) - 1)
+            hit[miss] = self.terms[term[miss]] == h[at[miss]]
+        return at[hit], term[hit]
+
+
 class Block:
     """Consecutive texts: `data` (bytes as uint8) and `offsets` (one more than texts), `first` being the first one's row."""
 

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with null, empty, repeated and clashing input."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from patrika.llm import decontaminate, jaccard_join, line_dedup, merkle, mixing, quality, suffix_dedup, textarrays, tokens, toxicity, urls, warc
+from patrika.llm import decontaminate, jaccard_join, lexical, line_dedup, merkle, mixing, quality, suffix_dedup, textarrays, tokens, toxicity, urls, warc
 from patrika.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -29,7 +30,7 @@ def frame(spark, texts, ids=None, extra=""):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got, want = queries()[name](spark, DATA), con.sql(oracle_sql()[name])
     order = sorted(want.columns)
@@ -694,6 +695,56 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert warc.digest(pages).count() == 6
 
 
+# -- 12 ---------------------------------------------------------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _best(texts, items, k=10):
+    """By brute force, from rows (id, text): the results of each item."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    terms = lambda t: TERM.findall((t or "").translate(lower))
+    docs = [(i, Counter(t)) for i, t in ((i, terms(t)) for i, t in texts) if t]
+    n, total = len(docs), sum(sum(c.values()) for _, c in docs)
+    df, out = Counter(t for _, c in docs for t in c), Counter()
+    for item, text in set(items):
+        scored = []
+        for i, c in docs:
+            m = 25 + 75 * sum(c.values()) * n // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms(text) if t in c)
+            scored += [(-score, i is not None, i or 0)] * (score > 0)
+        out += Counter((item, rank, i if known else None, -score) for rank, (score, known, i) in enumerate(sorted(scored)[:k], 1))
+    return out
+
+
+@pytest.mark.parametrize(("items_at_once", "entries"), [(1024, 1 << 14), (7, 40)])
+def test_lexical_search(spark, monkeypatch, items_at_once, entries):
+    monkeypatch.setattr(lexical, "MOST_ITEMS", items_at_once)
+    monkeypatch.setattr(lexical, "ENTRIES", entries)
+    monkeypatch.setattr(lexical, "GROUP", min(128, items_at_once // 2))
+    rng = random.Random(9)
+    words = ["a", "A", "é", "É", "x9", "日本", "the", "THE", "zz", *(f"w{i}" for i in range(60))]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "-", "\n", "_", "\x00", "."]) for _ in range(n))
+    texts = [(i, text(int(rng.expovariate(1 / 30)))) for i in range(400)] + [(i, "the same text w1 w2") for i in range(1000, 1150)]
+    texts += [(2000, None), (2001, ""), (2002, " .-"), (None, "w3 w4"), (None, "w3 w4"), (7, "w5 w5"), (7, "w5 w5"), (2003, "w7 " * 20_000)]
+    items = [(i, text(rng.randint(1, 30))) for i in range(20)] + [(1, "the same text"), (50, None), (51, ""), (52, "unknown"), (53, "w1 w1 w1 w2"), (53, "w1 w1 w1 w2"), (None, "w3 é"), (54, "W7 zz")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("n", "doc", "terms", "item", "rank")}).repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("own") for c in ("id", "_key", "item", "score")})
+    got = Counter((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in lexical.search(docs, bench).collect())
+    assert got == _best(texts, items)
+
+
+def test_lexical_bounds_hold():
+    rng = np.random.default_rng(2)
+    times, n = rng.integers(1, 50, 500), rng.integers(1, 3000, 500)
+    exact = lexical.impacts(times, n, 10_000, 3_000_000)
+    m = [25 + 75 * int(x) * 10_000 // 3_000_000 for x in n]
+    assert exact.tolist() == [10**9 * int(t) // (1000 * int(t) + 8 * x) for t, x in zip(times, m, strict=True)] and exact.max() < lexical.WHOLE
+    up = -(-exact // lexical.STEP)
+    assert (up * lexical.STEP >= exact).all() and ((up - 1) * lexical.STEP < exact).all() and up.max() < 256
+    assert lexical.impacts(np.array([3]), np.array([10**9]), 10**10, 10**13).tolist() == [3 * 10**9 // (3000 + 8 * (25 + 75 * 10**19 // 10**13))]
+
+
 # -- 13 ---------------------------------------------------------------------------------------------------------------
 
 
