@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, lexical, line_dedup, merkle, mixing, quality, suffix_dedup, tokens, toxicity, urls, warc
+from . import decontaminate, jaccard_join, lexical, line_dedup, merkle, mixing, neighbours, quality, suffix_dedup, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(_table(spark, sf_dir, "pages"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +66,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_warc, op2_token_counts, op3_mixing, op4_quality, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_line_dedup, op9_toxicity, op10_url_filters, op12_lexical_search, op13_merkle_manifest)
+    all_ = (op1_warc, op2_token_counts, op3_mixing, op4_quality, op5_suffix_dedup, op6_decontamination, op7_jaccard_join, op8_line_dedup, op9_toxicity, op10_url_filters, op11_neighbours, op12_lexical_search, op13_merkle_manifest)
     return {f.__name__: f for f in all_}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from patrika.llm import decontaminate, jaccard_join, lexical, line_dedup, merkle, mixing, quality, suffix_dedup, textarrays, tokens, toxicity, urls, warc
+from patrika.llm import decontaminate, jaccard_join, lexical, line_dedup, merkle, mixing, neighbours, quality, suffix_dedup, textarrays, tokens, toxicity, urls, warc
 from patrika.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -39,7 +39,7 @@ def test_same_as_sql(spark, name):
 
 
 def test_every_query_takes_empty_tables(spark, tmp_path):
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, query in queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
@@ -695,6 +695,90 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert warc.digest(pages).count() == 6
 
 
+# -- 11 ---------------------------------------------------------------------------------------------------------------
+
+
+def _fine(v):
+    return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+
+def _neighbours(rows, every, k):
+    """By brute force: for each query row its id and list of (cosine, id), nearest first."""
+    rows = [(i, np.array(v)) for i, v in rows if _fine(v)]
+    out = []
+    for at, (q, v) in enumerate(rows):
+        if q is not None and q % every == 0:
+            a = v / np.abs(v).max()
+            scored = [(float(a @ (w / np.abs(w).max()) / np.linalg.norm(a) / np.linalg.norm(w / np.abs(w).max())), i) for n, (i, w) in enumerate(rows) if n != at and len(w) == len(v)]
+            out.append((q, sorted(((-round(s, 9), i is not None, i) for s, i in scored), key=lambda x: (x[0], x[1], x[2] or 0))[:k]))
+    return out
+
+
+def test_neighbours_edges(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(120)]
+    rows += [(200 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(60)] + [(300, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]), (300, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]), (300, [-1.0, 0.0, 0.0, 0.0, 0.0, 1.0])]
+    rows += [(400, None), (410, []), (420, [0.0] * 6), (430, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (440, [math.nan] * 6), (450, [math.inf, 1.0, 1.0, 1.0, 1.0, 1.0]), (None, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]), (None, [3.0, -2.0, 1.0, 0.0, 0.0, 0.0])]
+    rows += [(460, [1e200, 2e200, 0.0, 0.0, 0.0, 1e200]), (470, [1e-200, 0.0, 0.0, 0.0, 0.0, 0.0]), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (510, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("own") for c in ("id", "node", "key", "ids", "score")}).repartition(3)
+    got = defaultdict(list)
+    for r in neighbours.search(df, 10, 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], -round(r["score"], 9), r["vec_id"] is not None, r["vec_id"]))
+    want = defaultdict(list)
+    for q, near in _neighbours(rows, 10, 5):
+        want[q] += [(rank, *x) for rank, x in enumerate(near, 1)]
+    assert {q: sorted(x, key=str) for q, x in got.items()} == {q: sorted(x, key=str) for q, x in want.items() if x}
+
+
+def _recall(got, vectors, every, k):
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    found, total = 0, 0
+    for q in range(0, len(vectors), every):
+        s = units @ units[q]
+        s[q] = -9
+        best = np.sort(s)[-k:]
+        scores = [s[i] for _, i, _ in got[q]]
+        assert len(got[q]) == k and [r for r, *_ in got[q]] == list(range(1, k + 1)) and np.allclose(scores, [x for *_, x in got[q]], atol=1e-12) and (np.diff(scores) <= 1e-12).all() and q not in [i for _, i, _ in got[q]]
+        found += sum(x >= best[0] - 1e-12 for x in scores)
+        total += k
+    return found / total
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_neighbours_recall(spark, monkeypatch, clusters):
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    monkeypatch.setattr(neighbours, "RESULTS", 900)
+    monkeypatch.setattr(neighbours, "SAMPLE", 2000)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((6000, 24)).astype(np.float32)
+    if clusters:
+        vectors = (vectors * 0.3 + rng.standard_normal((clusters, 24))[rng.integers(0, clusters, 6000)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(list)
+    for r in neighbours.search(df, 20, 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert _recall(got, vectors.astype(float), 20, 5) >= 0.9
+
+
+def test_neighbours_of_the_table(spark):
+    data = "/root/testdata/sf0.1"
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    got = defaultdict(list)
+    for r in queries()["op11_neighbours"](spark, data).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert _recall(got, np.array([vectors[i] for i in range(len(vectors))], float), 50, 5) >= 0.9
+
+
+def test_forest_queue_starts_with_own_leaves():
+    rng = np.random.default_rng(3)
+    x = neighbours._units(rng.standard_normal((3000, 12)))
+    forest = neighbours.fit(x[:1000], 4, 3)
+    leaf, queue = forest.leaf_of(x), forest.queue(x)
+    assert all(set(q[:3].tolist()) == set(own.tolist()) for q, own in zip(queue, leaf, strict=True))
+    assert forest.counts.sum(1).tolist() == [1000] * 3 and forest.counts.min() > 40
+
+
 # -- 12 ---------------------------------------------------------------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
