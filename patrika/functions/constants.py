@@ -96,6 +96,6 @@ QUALITY_NOTES = {
     "few": "Low artifact ratio", "many": "High artifact ratio: %.2f", "words": "Found %d Kannada words",
 }
 EXTRACTED = ("PyMuPDF extracted %d chars from %d pages", "pdfplumber extracted %d chars", "PyPDF2 extracted %d chars")
-ENCRYPTED, SCANNED_BY = "PDF is encrypted", "Scanner software detected: "
+ENCRYPTED, SCANNED_BY, FALLBACK = "PDF is encrypted", "Scanner software detected: ", "Used PyPDF2 fallback"
 #: Settings under which one image is recognised for comparison.
 CONFIGURATIONS = ["--oem 3 --psm 6", "--oem 3 --psm 6 -c tessedit_char_whitelist=ಅ-ೞ೦-೯", "--oem 3 --psm 3", "--oem 1 --psm 6"]

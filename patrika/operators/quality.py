@@ -67,6 +67,15 @@ def document_type(has_text: Column, score: Column, in_script: Column, pages_with
     )
 
 
+def sample_indices(total: int, most: int = SAMPLE_PAGES) -> list[int]:
+    """What sample_pages() says, for a task that has a file open."""
+    if total <= most:
+        return list(range(total))
+    picks = [0, total - 1, total // 2][:most]
+    left = most - len(picks)
+    return sorted({*picks, *(total // (left + 1) * i for i in range(1, left + 1))})
+
+
 def sample_pages(total: Column, most: int = SAMPLE_PAGES) -> Column:
     """Sorted indices of at most `most` pages: all, or the first, last and middle ones and some at even steps between."""
     picks = [F.lit(0), total - 1, F.floor(total / 2)][:most]

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, rewrite, script
-from .functions.constants import ANY, CORRUPTION, DAMAGE, DELETED, DIGIT, FONTS, ISSUES, LEGACY, LETTER, MARKERS, MARKS, MISREAD, NO_FILE, NOT_PDF, RULES, SCANNERS, SCRIPT, SPACE, VALID, VOWEL_SIGN, WORD, DIGITAL_PLACEHOLDER, EMPTIED, EXTRACTED, FAILED, FAILURE_NOTES, NO_COMPONENTS, NO_PERMISSION, NO_TEXT, NOT_VALID, PAGE_FAILED, PAGE_HEADING, PAGE_OF, RECOGNISED_PLACEHOLDER, SUMMARY, UNEXPECTED
+from .functions.constants import ANY, CORRUPTION, DAMAGE, DELETED, DIGIT, FONTS, ISSUES, LEGACY, LETTER, MARKERS, MARKS, MISREAD, NO_FILE, NOT_PDF, RULES, SCANNERS, SCRIPT, SPACE, VALID, VOWEL_SIGN, WORD, DIGITAL_PLACEHOLDER, EMPTIED, EXTRACTED, FAILED, FAILURE_NOTES, FALLBACK, NO_COMPONENTS, NO_PERMISSION, NO_TEXT, NOT_VALID, PAGE_FAILED, PAGE_HEADING, PAGE_OF, RECOGNISED_PLACEHOLDER, SUMMARY, UNEXPECTED
 from .operators import pages as pg
 from .operators import quality as ql
 from .plans import flows
-from .plans.analyze import analyze
+from .plans.analyze import analyze, analyze_pages
 from .sources.files import spread
 
 _JOIN = "␞"
@@ -133,8 +133,12 @@ def _runs(x: str) -> str:
 _BOTH = f"(SELECT doc_id, 0 AS variant, coalesce(text, '') AS text FROM documents UNION ALL SELECT doc_id, 1, {_replaced(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', MISREAD)} FROM documents)"
 _D = "(SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)"
 _P = "(SELECT conv_id AS doc_id, turn + 1 AS page_num, CASE WHEN turn % 3 = 1 THEN ' ' ELSE text END AS page_text FROM conversations)"
-_QUALITY = f"""
-n1 AS (SELECT doc_id, variant, {_normal('text')} AS t FROM {_BOTH}),
+
+
+def _quality(source: str) -> str:
+    """The quality of the texts of (doc_id, variant, text) as a table `quality`."""
+    return f"""
+n1 AS (SELECT doc_id, variant, {_normal('text')} AS t FROM {source}),
 n2 AS (SELECT *, length({_strip('t')}) AS n, {_matches('t', ANY + '+')} AS words, {_script('t')} AS script,
   {_count('t', '^ಀ-೿ -~ -ÿ' + SP)} + {_runs('t')} + {_matches('t', f'^[^{WORD}{SP}]*$')} + {_matches('t', '[A-Za-z]{20,}')} AS artifacts FROM n1),
 n3 AS (SELECT *, artifacts::DOUBLE / greatest(n, 1) AS ratio, {_blank('t')} AS blank FROM n2),
@@ -144,6 +148,9 @@ quality AS (SELECT doc_id, variant, t, script, blank, CASE WHEN blank THEN 0.0::
     CASE WHEN n > 100 THEN format('Substantial text length: {{}} chars', n) END, CASE WHEN ratio < 0.1 THEN 'Low artifact ratio' ELSE printf('High artifact ratio: %.2f', ratio) END,
     CASE WHEN words > 10 THEN format('Found {{}} Kannada words', words) END], lambda x: x IS NOT NULL), '{_JOIN}') END AS notes FROM n3)"""
 
+
+_QUALITY = _quality(_BOTH)
+
 Made = tuple[Callable[[SparkSession, str], DataFrame], str]
 _ALL: dict[str, Made] = {}
 
@@ -338,6 +345,51 @@ def s10_file_notes(spark, d):
     return _docs(spark, d).select("doc_id", pg.has_legacy_font(fonts).alias("legacy_fonts"), F.array_join(pg.file_notes(i % 4 == 0, creator, producer), _JOIN).alias("notes"))
 
 
+# pages of files as three extractors see them: a conversation is a file, its turns are the pages
+_E = f"""
+raw AS (SELECT conv_id AS doc_id, turn AS page_index, role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS total, conv_id % 11 = 0 AS fallback FROM conversations),
+picked AS (SELECT *, list_contains(CASE WHEN fallback THEN [0] WHEN total <= 5 THEN range(0, total) ELSE [0, total - 1, total // 2, total // 3, 2 * (total // 3)] END, page_index) AS sampled FROM raw),
+seen AS (SELECT doc_id, page_index, total, fallback, CASE doc_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN role WHEN 2 THEN text ELSE {_replaced('text', MISREAD)} END AS t1,
+  CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN role ELSE text END AS t2, CASE WHEN page_index % 2 = 0 THEN text ELSE ' ' END AS t3 FROM picked WHERE sampled),
+files AS (SELECT doc_id, max(total)::INT AS total, bool_or(fallback) AS fallback, {', '.join(f"coalesce(string_agg(t{e} || chr(10) || chr(10), '' ORDER BY page_index) FILTER (WHERE NOT ({_blank(f't{e}')})), '') AS x{e}, count(*) FILTER (WHERE NOT ({_blank(f't{e}')}))::INT AS p{e}" for e in (1, 2, 3))},
+  doc_id % 13 = 5 AS broken, doc_id % 17 = 3 AS forced, doc_id % 6 = 0 AS encrypted, CASE doc_id % 3 WHEN 0 THEN 'camscanner 5' WHEN 1 THEN '' ELSE 'writer' END AS c, CASE doc_id % 5 WHEN 0 THEN 'acrobat x' ELSE 'lib' END AS p FROM seen GROUP BY doc_id),
+c2 AS (SELECT *, length(x1) < 100 AND x2 <> '' AS u2, CASE WHEN length(x1) < 100 AND x2 <> '' THEN x1 || chr(10) || x2 ELSE x1 END AS a2 FROM files),
+c3 AS (SELECT *, length(a2) < 50 AND x3 <> '' AS u3, CASE WHEN length(a2) < 50 AND x3 <> '' THEN a2 || chr(10) || x3 ELSE a2 END AS a3 FROM c2),
+whole AS (SELECT *, greatest(p1, CASE WHEN u2 THEN p2 ELSE 0 END, CASE WHEN u3 THEN p3 ELSE 0 END) AS found, list_concat(CASE WHEN fallback THEN [{q(FALLBACK)}] ELSE
+    [CASE WHEN encrypted THEN 'PDF is encrypted' END, CASE WHEN {_any('c', SCANNERS)} OR {_any('p', SCANNERS)} THEN 'Scanner software detected: ' || CASE WHEN c <> '' THEN c ELSE p END END] END,
+  [CASE WHEN x1 <> '' THEN format('PyMuPDF extracted {{}} chars from {{}} pages', length(x1), p1) END, CASE WHEN u2 THEN format('pdfplumber extracted {{}} chars', length(x2)) END, CASE WHEN u3 THEN format('PyPDF2 extracted {{}} chars', length(x3)) END]) AS own FROM c3),
+{_quality('(SELECT doc_id, 0 AS variant, a3 AS text FROM whole)')},
+judged AS (SELECT w.*, k.blank, k.script, k.score, k.t, k.notes, found::DOUBLE / greatest(total, 1) < 0.3 AS sparse, forced OR broken AS fixed FROM whole w JOIN quality k USING (doc_id))"""
+
+
+@_query(
+    f"WITH {_E} SELECT doc_id, CASE WHEN forced THEN 'forced_ocr' WHEN broken THEN 'unknown' WHEN blank THEN 'scanned' WHEN score >= 0.3 AND script THEN 'digital' WHEN score >= 0.3 THEN 'hybrid' WHEN sparse THEN 'scanned' ELSE 'hybrid' END AS pdf_type, "
+    "NOT fixed AND NOT blank AS has_text_layer, CASE WHEN fixed THEN 0.0::DOUBLE ELSE score END AS score, CASE WHEN broken AND NOT forced THEN 1 ELSE total END AS total_pages, CASE WHEN fixed THEN 0 ELSE found END AS pages_with_text, "
+    "CASE WHEN fixed OR blank THEN '' ELSE substr(t, 1, 200) END AS sample_text, CASE WHEN NOT fixed AND NOT blank AND script THEN 'kannada' ELSE '' END AS languages, fixed OR blank OR NOT (score >= 0.3 AND script) AS needs_ocr, "
+    "CASE WHEN forced THEN 1.0::DOUBLE WHEN broken THEN 0.5::DOUBLE WHEN blank THEN 0.9::DOUBLE WHEN score >= 0.3 AND script THEN score WHEN score >= 0.3 THEN 0.6::DOUBLE WHEN sparse THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS confidence, "
+    f"CASE WHEN forced THEN 'Force OCR mode enabled by user' WHEN broken THEN 'Analysis failed: broken{_JOIN}Defaulting to OCR for safety' ELSE array_to_string(list_filter(own || [notes], lambda x: x IS NOT NULL), '{_JOIN}') END AS notes FROM judged"
+)
+def q4_files(spark, d):
+    i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), "role", t.alias("text"))
+    c = c.withColumn("total_pages", F.count("*").over(Window.partitionBy("doc_id")).cast("int")).withColumn("misread", rewrite.fix_misread("text"))
+    first = F.when(i % 4 == 0, " ").when(i % 4 == 1, F.col("role")).when(i % 4 == 2, F.col("text")).otherwise(F.col("misread"))
+    second = F.when(i % 3 == 0, "").when(i % 3 == 1, F.col("role")).otherwise(F.col("text"))
+    third = F.when(F.col("page_index") % 2 == 0, F.col("text")).otherwise(" ")
+    seen = F.inline(F.array(*[F.struct(F.lit(e).alias("extractor"), x.alias("page_text")) for e, x in enumerate((first, second, third), 1)]))
+    told = {
+        "encrypted": i % 6 == 0, "creator": F.when(i % 3 == 0, "CamScanner 5").when(i % 3 == 2, "Writer"), "producer": F.when(i % 5 == 0, "Acrobat X").otherwise("Lib"),
+        "fallback": i % 11 == 0, "error": F.when(i % 13 == 5, "broken"),
+    }
+    pages = c.select("doc_id", "page_index", "total_pages", seen).withColumns(told)
+    a = analyze_pages(pages, "doc_id", forced=i % 17 == 3)
+    r = "analysis."
+    return a.select(
+        "doc_id", r + "pdf_type", r + "has_text_layer", F.col(r + "text_quality_score").alias("score"), r + "total_pages", r + "pages_with_text", r + "sample_text", F.array_join(r + "detected_languages", ",").alias("languages"),
+        r + "needs_ocr", r + "confidence", F.array_join(r + "analysis_notes", _JOIN).alias("notes"),
+    )
+
+
 def _status(x: str) -> str:
     return f"CASE WHEN {_blank(x)} THEN 'blank' WHEN {_encoded(x)} THEN 'legacy' WHEN NOT {_script(x)} THEN 'no_script' ELSE 'success' END"
 
