@@ -8,6 +8,8 @@ the source: files are left out when the read is planned, and pages and extractor
 extracted. `sampled` marks the few pages from which a file is judged, `needed` whether the extractors before found too
 little there, so the filter above reads a file as lazily as a loop over it would.
 
+Spark keeps with a loaded table what was pushed down to it last, so load() it once for each query.
+
 Partitions are planned from the files' lengths alone: small files go together, and a large one is dealt by ranges of its
 pages, unless only sampled pages are asked for.
 """

@@ -72,27 +72,27 @@ def test_sample_indices_are_those_of_the_column(spark):
 
 def test_only_what_is_asked_for_is_extracted(spark, folder):
     path, log, told = folder
-    read = spark.read.format("stub_pages").option("max_bytes", "100000").load(path)
+    load = lambda: spark.read.format("stub_pages").option("max_bytes", "100000").load(path)
     names = F.regexp_extract("path", r"(\w+)\.pdf", 1)
-    got = read.filter("sampled AND extractor = 1").select(names.alias("n"), "page_index").collect()
+    got = load().filter("sampled AND extractor = 1").select(names.alias("n"), "page_index").collect()
     assert sorted(r["page_index"] for r in got if r["n"] == "long") == [0, 13, 20, 26, 39]
     assert touched(log, "long") == [(1, p) for p in (0, 13, 20, 26, 39)] and touched(log, "blank") == [(1, p) for p in (0, 2, 3, 4, 5)]
     for name in told:
         touched(log, name)
-    assert read.filter("page_index BETWEEN 3 AND 4 AND extractor IN (2, 3) AND path LIKE '%' ").filter(F.col("path").startswith(path.removeprefix("file:") + "/long")).count() == 4
+    assert load().filter("page_index BETWEEN 3 AND 4 AND extractor IN (2, 3) AND path LIKE '%' ").filter(F.col("path").startswith(path.removeprefix("file:") + "/long")).count() == 4
     # whether an extractor is needed is told from the sampled pages of those before
     assert [x for x in touched(log, "long") if x[0] > 1] == [(2, 3), (2, 4), (3, 3), (3, 4)] and not any(touched(log, n) for n in told)
-    plan = read.filter("sampled AND page_index > 2")._jdf.queryExecution().executedPlan().toString()
+    plan = load().filter("sampled AND page_index > 2")._jdf.queryExecution().executedPlan().toString()
     assert "Filter" not in plan.split("BatchScan")[0]
-    assert read.filter("page_index = 39").select("path").distinct().count() == 1
-    assert {r["n"] for r in read.select(names.alias("n")).distinct().collect()} == {*told, ""} - {"none"}
+    assert load().filter("page_index = 39").select("path").distinct().count() == 1
+    assert {r["n"] for r in load().select(names.alias("n")).distinct().collect()} == {*told, ""} - {"none"}
 
 
 def test_large_files_are_dealt_by_ranges_of_pages(spark, folder):
     path, log, told = folder
-    read = spark.read.format("stub_pages").option("max_bytes", "100000").option("range_bytes", "2000").option("partition_bytes", "2000").load(path)
-    assert read.rdd.getNumPartitions() > len(told) > read.filter("sampled").rdd.getNumPartitions() / 2
-    rows = read.filter("extractor = 1").groupBy("path").agg(F.count("*").alias("n"), F.max("total_pages").alias("t"), F.count_distinct("page_index").alias("d")).collect()
+    load = lambda: spark.read.format("stub_pages").options(max_bytes="100000", range_bytes="2000", partition_bytes="2000").load(path)
+    assert load().rdd.getNumPartitions() > len(told) > load().filter("sampled").rdd.getNumPartitions() / 2
+    rows = load().filter("extractor = 1").groupBy("path").agg(F.count("*").alias("n"), F.max("total_pages").alias("t"), F.count_distinct("page_index").alias("d")).collect()
     assert len(rows) == 7 and all(r["n"] == r["t"] == r["d"] for r in rows)
 
 
