@@ -96,10 +96,14 @@ def _block(kind: str, text: Column, image: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), text.alias("text"), (F.lit(None) if image is None else image).cast("binary").alias("image"))
 
 
+def _by_number(a: Column, b: Column) -> Column:
+    return F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)
+
+
 def _gathered(pages: DataFrame, doc: str, page: str, blocks: Column) -> DataFrame:
     """Arrays of blocks of a document's pages, one after the other in order of page numbers."""
     rows = pages.select(F.col(doc).alias(doc), F.struct(F.col(page).alias("n"), blocks.alias("b")).alias("_row"))
-    return rows.groupBy(doc).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_row"), lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0)), lambda r: r["b"])).alias("blocks"))
+    return rows.groupBy(doc).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_row"), _by_number), lambda r: r["b"])).alias("blocks"))
 
 
 def recognised_blocks(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "page_text", image: str | None = None, error: str | None = None) -> DataFrame:
@@ -107,17 +111,16 @@ def recognised_blocks(pages: DataFrame, doc: str = "doc_id", page: str = "page_n
 
     For each page a heading, its image if there is one, and its text or a line that says that there is none; for a page
     with an error one line with that. A break follows all but the last page, and a summary of pages with text the end."""
-    w = Window.partitionBy(doc)
     ok, said = ~is_blank(text), F.col(error) if error else F.lit(None).cast("string")
     n, none = F.col(page), F.array().cast(f"array<struct<{BLOCK.replace(' string', ':string').replace(' binary', ':binary')}>>")
     shown = F.when(F.col(image).isNotNull(), F.array(_block("image", F.lit(None).cast("string"), F.col(image)))).otherwise(none) if image else none
     whole = F.concat(F.array(_block("heading", F.format_string(PAGE_HEADING, n))), shown, F.array(F.when(ok, _block("text", F.col(text))).otherwise(_block("italic", F.lit(NO_TEXT)))))
     failed = F.array(_block("italic", F.format_string(PAGE_FAILED, n, said)))
-    rows = pages.withColumn("_total", F.count("*").over(w))
-    body = F.concat(F.when(said.isNotNull(), failed).otherwise(whole), F.when(n < F.col("_total"), F.array(_block("break", F.lit(None).cast("string")))).otherwise(none))
-    counts = pages.groupBy(F.col(doc).alias("_doc")).agg(F.count("*").alias("_all"), F.count_if(ok & said.isNull()).alias("_some"))
-    out = _gathered(rows, doc, page, body).join(counts, F.col(doc).eqNullSafe(F.col("_doc")))
-    return out.select(doc, F.concat("blocks", F.array(_block("bold", F.format_string(SUMMARY, F.col("_some"), F.col("_all"))))).alias("blocks"))
+    row = F.struct(n.alias("n"), F.when(said.isNotNull(), failed).otherwise(whole).alias("b"))
+    docs = pages.groupBy(doc).agg(F.array_sort(F.collect_list(row), _by_number).alias("_rows"), F.count_if(ok & said.isNull()).alias("_some"))
+    all_, stop = F.size("_rows"), F.array(_block("break", F.lit(None).cast("string")))
+    body = F.flatten(F.transform("_rows", lambda r: F.when(r["n"] < all_, F.concat(r["b"], stop)).otherwise(r["b"])))
+    return docs.select(doc, F.concat(body, F.array(_block("bold", F.format_string(SUMMARY, F.col("_some"), all_)))).alias("blocks"))
 
 
 def simple_blocks(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "page_text") -> DataFrame:

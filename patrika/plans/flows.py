@@ -11,15 +11,19 @@ from ..functions.script import is_blank
 from ..operators.pages import assemble, conversion_status, final_text, summary
 
 
-def digital(pages: DataFrame, fonts: Column | None = None, error: Column | None = None) -> DataFrame:
-    """Pages (doc_id, page_num, page_text) to a row per document: text, total_pages, pages_with_text, status.
+def digital(pages: DataFrame, fonts: Column | None = None, error: Column | None = None, kinds: bool = False) -> DataFrame:
+    """Pages (doc_id, page_num, page_text) to a row per document: text, total_pages, pages_with_text, status, and with
+    `kinds` the `kind` of its paragraph: text, bold where there was none, italic where the repair left none.
 
     A document without text, one of whose text the repair leaves nothing, and one with an `error` on any page each get a
     text that says so. A null id is a document of its own."""
     told = (fonts if fonts is not None else F.lit(False), error if error is not None else F.lit(None).cast("string"))
     docs = assemble(pages.withColumns({"_fonts": told[0], "_error": told[1]}), more={"_fonts": F.bool_or("_fonts"), "_error": F.max("_error")})
     docs = docs.withColumn("_done", repair_digital("text", F.col("_fonts")))
-    text = F.when(F.col("_error").isNotNull(), F.concat(F.lit(FAILED), F.col("_error"))).when(is_blank("text"), DIGITAL_PLACEHOLDER).when(is_blank("_done"), EMPTIED).otherwise(F.col("_done"))
+    pick = lambda failed, none, emptied, done: F.when(F.col("_error").isNotNull(), failed).when(is_blank("text"), none).when(is_blank("_done"), emptied).otherwise(done)
+    if kinds:
+        docs = docs.withColumn("kind", pick(F.lit("text"), F.lit("bold"), F.lit("italic"), F.lit("text")))
+    text = pick(F.concat(F.lit(FAILED), F.col("_error")), F.lit(DIGITAL_PLACEHOLDER), F.lit(EMPTIED), F.col("_done"))
     return docs.withColumn("text", text).withColumn("status", conversion_status(F.col("text"), False)).drop("_fonts", "_error", "_done")
 
 
