@@ -14,6 +14,7 @@ from .operators import pages as pg
 from .operators import quality as ql
 from .plans import flows
 from .plans.analyze import analyze, analyze_pages
+from .sources import docsink
 from .sources.files import spread
 
 _JOIN = "␞"
@@ -465,18 +466,31 @@ def r6_scanned(spark, d):
     return flows.scanned(_filed(spark, d))
 
 
-@_query(
+_DIGITAL = (
     f"WITH p AS ({_FILED}, t AS page_text FROM (SELECT 2 * doc_id + variant AS doc_id, t FROM {_RAW})), a AS (SELECT doc_id, {_ASSEMBLED} AS text, count(*) AS total_pages, count(*) FILTER (WHERE NOT ({_blank('page_text')})) AS pages_with_text, bool_or(page_num = 1 AND doc_id % 3 = 0) AS fonts, max(CASE WHEN page_num = 2 AND doc_id % 11 = 5 THEN 'bad page' END) AS error FROM p GROUP BY doc_id), "
     f"d AS MATERIALIZED (SELECT *, {_blank('text')} AS blank, {_script('text')} AS script, {_encoded('text')} AS enc FROM a), light AS MATERIALIZED (SELECT doc_id, {_collapse(_normal('text'))} AS t FROM d), "
     f"heavy AS MATERIALIZED (SELECT d.doc_id, {_rules(_replaced('text', LEGACY))} AS t FROM d WHERE NOT blank AND NOT (script AND NOT fonts) AND (fonts OR enc)), "
     f"again AS MATERIALIZED (SELECT doc_id, {_rules(_replaced('light.t', LEGACY))} AS t FROM d JOIN light USING (doc_id) WHERE NOT blank AND NOT script AND NOT fonts AND NOT enc AND NOT {_script('light.t')} AND length(light.t) > 20), "
     f"src AS (SELECT * FROM heavy UNION ALL SELECT * FROM again), {_steps('src', True)}, "
-    f"o AS (SELECT d.doc_id, total_pages, pages_with_text, CASE WHEN error IS NOT NULL THEN {q(FAILED)} || error WHEN d.blank THEN {q(DIGITAL_PLACEHOLDER)} WHEN {_blank('coalesce(r.t, light.t)')} THEN {q(EMPTIED)} ELSE coalesce(r.t, light.t) END AS text FROM d JOIN light USING (doc_id) LEFT JOIN repaired r USING (doc_id)) "
-    f"SELECT doc_id, text, total_pages, pages_with_text, {_status('text')} AS status FROM o"
+    f"o AS (SELECT d.doc_id, total_pages, pages_with_text, CASE WHEN error IS NOT NULL THEN {q(FAILED)} || error WHEN d.blank THEN {q(DIGITAL_PLACEHOLDER)} WHEN {_blank('coalesce(r.t, light.t)')} THEN {q(EMPTIED)} ELSE coalesce(r.t, light.t) END AS text, CASE WHEN error IS NOT NULL THEN 'text' WHEN d.blank THEN 'bold' WHEN {_blank('coalesce(r.t, light.t)')} THEN 'italic' ELSE 'text' END AS kind FROM d JOIN light USING (doc_id) LEFT JOIN repaired r USING (doc_id)) "
 )
-def r6_digital(spark, d):
+
+
+def _digital(spark, d, kinds=False):
     i, n = F.col("doc_id"), F.col("page_num")
-    return flows.digital(_filed(spark, d), (n == 1) & (i % 3 == 0), F.when((n == 2) & (i % 11 == 5), "bad page"))
+    return flows.digital(_filed(spark, d), (n == 1) & (i % 3 == 0), F.when((n == 2) & (i % 11 == 5), "bad page"), kinds)
+
+
+@_query(
+    _DIGITAL + f"SELECT doc_id, text, total_pages, pages_with_text, {_status('text')} AS status FROM o"
+)
+def r6_digital(spark, d):
+    return _digital(spark, d)
+
+
+@_query(_DIGITAL + "SELECT doc_id || '.docx' AS file, 1 AS side, 0 AS seq, kind, text FROM o")
+def k2_digital_document(spark, d):
+    return docsink.digital_rows(_digital(spark, d, kinds=True)).select("file", "side", "seq", "kind", "text")
 
 
 @_query("SELECT doc_id, page_num, CASE WHEN " + _blank("a") + " THEN b ELSE a END AS page_text FROM (SELECT conv_id AS doc_id, turn + 1 AS page_num, CASE WHEN turn % 3 = 1 THEN ' ' ELSE text END AS a, CASE WHEN turn % 2 = 1 THEN role ELSE '' END AS b FROM conversations)")
@@ -511,6 +525,19 @@ _LINES = (
 )
 
 
+_ROW = "FROM (SELECT doc_id || '.docx' AS file, page_num, (page_num > 1)::INT AS after, page_num = 3 AS bad, page_text, " + _blank("page_text") + f" AS empty FROM {_P})"
+
+
+@_query(
+    f"SELECT file, page_num AS page, 0 AS seq, 'break' AS kind, NULL AS text {_ROW} WHERE page_num > 1 UNION ALL SELECT file, page_num, after, 'italic', printf({q(PAGE_FAILED)}, page_num, 'x') {_ROW} WHERE bad "
+    f"UNION ALL SELECT file, page_num, after, 'heading', printf({q(PAGE_HEADING)}, page_num) {_ROW} WHERE NOT bad UNION ALL SELECT file, page_num, after + 1, CASE WHEN empty THEN 'italic' ELSE 'text' END, CASE WHEN empty THEN {q(NO_TEXT)} ELSE page_text END {_ROW} WHERE NOT bad "
+    f"UNION ALL SELECT file, 2147483647, 0, 'bold', printf({q(SUMMARY)}, count(*) FILTER (WHERE NOT bad AND NOT empty), count(*)) {_ROW} GROUP BY file"
+)
+def k3_streamed_document(spark, d):
+    p = _pages(spark, d).withColumn("error", F.when(F.col("page_num") == 3, "x"))
+    return docsink.recognised_rows(p, error="error").select("file", "page", "seq", "kind", "text")
+
+
 @_query(
     f"WITH p AS (SELECT *, CASE WHEN page_num = 3 THEN 'x' END AS error FROM {_P}), l AS (SELECT doc_id, page_num, page_text, error, {_LINES} AS line FROM p) "
     f"SELECT doc_id, string_agg(line, '{_JOIN}' ORDER BY page_num) || '{_JOIN}bold|' || {_sql_format(SUMMARY, f'count(*) FILTER (WHERE error IS NULL AND NOT ({_blank(chr(112) + "age_text")}))', 'count(*)')} AS blocks FROM l GROUP BY doc_id"
