@@ -18,8 +18,9 @@ from .common import LOWER, UPPER, salts_of, stored, with_lookup
 #: Rules of the contract: (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 VERDICTS = ("block", "allow")
-#: Tokens of a labelled URL that FP-growth sees at most.
-MOST_TOKENS, SALTS = 12, 32
+#: Tokens of a rule at most. A URL of more frequent tokens than WHOLE is shown to FP-growth in pieces of LONGEST groups of
+#: tokens, so that any LONGEST of its tokens are in some piece.
+LONGEST, WHOLE, SALTS = 4, 12, 32
 
 
 def host_of(url: Column) -> Column:
@@ -59,39 +60,45 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isNotNull() & ~x.endswith("="))))
 
 
-def _baskets(rows: DataFrame, min_support: float) -> DataFrame:
-    """tokens, basket for each distinct `tokens` of (tokens, verdict, n): of its tokens that reach the support, the
-    MOST_TOKENS that tell most about the verdict, by how far its share among them is from that among all; ties by text."""
-    total, blocked = rows.agg(F.sum("n"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0))).first()
-    total, blocked = total or 0, blocked or 0
-    each = rows.select(F.explode("tokens").alias("_token"), "verdict", "n").groupBy("_token").agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("_b"))
-    told = F.round(F.abs(F.col("_b") - F.col("_n") * (blocked / max(1, total))), 6)
-    frequent = stored(each.filter(F.col("_n") >= min_support * total).select("_token", told.alias("_told")), "url-tokens")
+def _baskets(rows: DataFrame, min_support: float, longest: int) -> DataFrame:
+    """tokens, basket for the distinct `tokens` of (tokens, verdict, n): those of them that reach the support, whole up to
+    WHOLE of them, else a row for each choice of `longest` of their groups."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    each = rows.select(F.explode("tokens").alias("_token"), "n").groupBy("_token").agg(F.sum("n").alias("_n"))
+    frequent = stored(each.filter(F.col("_n") >= min_support * total).select("_token"), "url-tokens")
     held = with_lookup(rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("_token")), frequent, "_token", ["tokens"])
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_told")).alias("r"), F.col("_token").alias("t")))), 1, MOST_TOKENS)
-    return held.groupBy("tokens").agg(F.transform(best, lambda x: x["t"]).alias("basket"))
+    held = stored(held.groupBy("tokens").agg(F.array_sort(F.collect_list("_token")).alias("basket")), "url-baskets")
+    size = max(1, WHOLE // longest)
+    parts = held.filter(F.size("basket") > WHOLE).withColumn("_groups", F.ceil(F.size("basket") / size).cast("int"))
+    for i in range(longest):
+        first = F.col(f"_g{i - 1}") + 1 if i else F.lit(0)
+        parts = parts.withColumn(f"_g{i}", F.explode(F.sequence(first, F.col("_groups") - (longest - i))))
+    chosen = F.filter("basket", lambda x, at: F.floor(at / size).cast("int").isin(*[F.col(f"_g{i}") for i in range(longest)]))
+    return held.filter(F.size("basket") <= WHOLE).unionByName(parts.select("tokens", chosen.alias("basket")))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.8) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.8, longest: int = LONGEST) -> DataFrame:
     """Rules from (tokens, verdict, _salt): tokens (sorted), verdict, confidence, support.
 
-    FP-growth sees of each URL at most MOST_TOKENS of its frequent tokens, so that combinations stay few; which ones hold
-    is then counted over the whole URLs. A rule goes if leaving out one of its tokens gives a rule for the same verdict
-    with at least its confidence. Rows with a null verdict or no tokens teach nothing; without rows there are no rules.
+    FP-growth finds the combinations of up to `longest` tokens that occur often enough with a verdict; how often they
+    hold is then counted over the whole URLs. No token of a URL is left out, however many it has: with very many, it is
+    shown in overlapping pieces, which can only bring more combinations to be counted. A rule goes if leaving out one of
+    its tokens gives a rule for the same verdict with at least its confidence. Rows with a null verdict or no tokens teach
+    nothing; without rows there are no rules.
     """
     rows = stored(labelled.filter(F.col("verdict").isin(*VERDICTS) & (F.size("tokens") > 0)), "url-labelled")
     seen = stored(rows.groupBy("tokens", "verdict").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_held")), "url-seen")
     held = seen.groupBy("tokens").agg(F.bit_or("_held").alias("_held"))
-    baskets = _baskets(seen, min_support).join(held, "tokens").select("tokens", "basket", salts_of("_held", SALTS).alias("_salt"))
+    baskets = _baskets(seen, min_support, longest).join(held, "tokens").select("tokens", "basket", salts_of("_held", SALTS).alias("_salt"))
     items = stored(rows.join(baskets, ["tokens", "_salt"]).select(F.concat("basket", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items")), "url-items")
-    # confidence is counted again below; a URL with more frequent tokens than it shows may have cost some here
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence / 2).fit(items)
-    is_verdict = lambda x: x.startswith("verdict=")
-    found = model.associationRules.filter(is_verdict(F.element_at("consequent", 1)) & ~F.exists("antecedent", is_verdict))
-    found = stored(found.select(F.array_sort("antecedent").alias("tokens"), F.expr("substr(element_at(consequent, 1), 9)").alias("verdict")), "url-found")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    met = contained(seen.groupBy("tokens").agg(F.sum("n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("verdict", "n"))).alias("_by")), found.select("tokens").distinct())
-    sums = met.groupBy("rule").agg(F.sum("_all").alias("_all"), *[F.sum(F.coalesce(F.try_element_at("_by", F.lit(v)), F.lit(0))).alias(v) for v in VERDICTS])
+    total, shown = seen.agg(F.sum("n")).first()[0] or 0, items.count()
+    # as many occurrences among all pieces as the support asks for among URLs
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (min_support * total - 1e-6) / max(1, shown))).fit(items)
+    said = F.filter("items", lambda x: x.startswith("verdict="))
+    found = model.freqItemsets.filter(F.size("items").between(2, longest + 1)).withColumn("_said", said).filter(F.size("_said") == 1)
+    found = stored(found.select(F.array_sort(F.array_except("items", "_said")).alias("tokens"), F.expr("substr(_said[0], 9)").alias("verdict")), "url-found")
+    met = contained(seen.groupBy("tokens").agg(F.sum("n").alias("_all"), *[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in VERDICTS]), found.select("tokens").distinct())
+    sums = met.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("_all", *VERDICTS)])
     counted = found.join(sums.withColumnRenamed("rule", "tokens"), "tokens")
     right = F.when(F.col("verdict") == VERDICTS[0], F.col(VERDICTS[0])).otherwise(F.col(VERDICTS[1]))
     rules = counted.select("tokens", "verdict", (right / F.col("_all")).alias("confidence"), (right / F.lit(float(max(1, total)))).alias("support"))
