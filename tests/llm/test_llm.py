@@ -583,8 +583,8 @@ def test_urls_mining_against_plain_counting(spark):
         total = count[combo, "block"] + count[combo, "allow"]
         if n >= 0.05 * len(rows) and n >= 0.8 * total:
             rules[combo, verdict] = (round(n / total, 9), round(n / len(rows), 9))
-    want = {(c, v): x for (c, v), x in rules.items() if not any(rules.get((tuple(t for t in c if t != o), v), (-1,))[0] >= x[0] for o in c)}
-    assert max(map(len, toks.values())) <= urls.MOST_TOKENS and got == want and len(want) > 3
+    want = {(c, v): x for (c, v), x in rules.items() if len(c) <= urls.LONGEST and not any(rules.get((tuple(t for t in c if t != o), v), (-1,))[0] >= x[0] for o in c)}
+    assert got == want and len(want) > 3
     # the best rule for each page
     judged = {r["page_id"]: r for r in urls.judge(pages.select("page_id", "url"), pages.select("page_id", "verdict"), (), 0.05, 0.8).collect()}
     for i, t in toks.items():
@@ -592,6 +592,30 @@ def test_urls_mining_against_plain_counting(spark):
         assert judged[i]["verdict"] == (max(fits)[-1] if fits else "allow") and judged[i]["rule_tokens"] == (max(fits)[4] if fits else None)
 
 
+@pytest.mark.parametrize("whole", [12, 4])
+def test_urls_of_many_tokens(spark, monkeypatch, whole):
+    monkeypatch.setattr(urls, "WHOLE", whole)
+    rng = random.Random(3)
+    rows = []
+    for i in range(1200):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        path = ["a" if a else "x", "b" if b else "y", *(f"always{k}" for k in range(10)), rng.choice(["m", "n"]), *(f"t{k}" for k in range(14 if i == 7 else 3))]
+        rng.shuffle(path)
+        rows.append((i, "http://host/" + "/".join(path), "block" if a == b else "allow"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    judged = urls.judge(pages.select("page_id", "url"), pages.select("page_id", "verdict"), (), 0.15, 0.9).collect()
+    assert {r["page_id"]: r["verdict"] for r in judged} == {i: v for i, _, v in rows}
+    assert all(set(r["rule_tokens"]) <= {f"path={x}" for x in "abxy"} for r in judged)
+
+
+def test_urls_longest_rules_and_ties(spark):
+    rules = (("a.org/x/", "block"), ("b.org/y/", "allow"), ("org/x/yy", "allow"), ("org/x/zz", "block"))
+    pages = spark.createDataFrame([(1, "http://a.org/x/yy"), (2, "http://b.org/x/yy"), (3, "http://a.org/x/zz"), (4, "http://c.org/x/zz/yy"), (5, "http://b.org/y/"), (6, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules=rules).collect()}
+    # equally long rules: the later by text
+    assert got == {1: ("org/x/yy", "allow"), 2: ("org/x/yy", "allow"), 3: ("org/x/zz", "block"), 4: ("org/x/zz", "block"), 5: ("b.org/y/", "allow"), 6: (None, "allow")}
+
+
 # -- all --------------------------------------------------------------------------------------------------------------
 
 
