@@ -11,10 +11,12 @@ distance, is tied to the pivot.
 
 Brute force looks at the tokens first. Where these agree often enough, a second sketch decides, the least shingle in
 each of BINS bins, which for sets of few shingles is nearly all of them: a pair goes on unless the bins rule `similarity`
-out. Sets linked directly or through others in this way form a candidate group, and all pairs of a group are compared
-exactly, large groups in blocks. So similarities are exact, groups hold little but links, and what can be missed is a
-share 1 - RECALL of the pairs at just the wanted similarity, and less of more similar ones: a third each by tokens that
-agree too seldom, by never meeting, and by bins.
+out. Sets linked directly or through others in this way form a candidate group. In a group of more than BLOCK sets, pairs
+are looked at once more, with FINE bins made anew from the texts, which tell sets of a template from near copies; what
+this leaves connected are the groups of which all pairs are compared exactly, large ones in blocks of bounded bytes. So
+similarities are exact, groups hold little but links, and what can be missed is a share 1 - RECALL of the pairs at just
+the wanted similarity, and less of more similar ones: a fourth each by tokens that agree too seldom, by never meeting,
+and by bins and fine bins.
 
 Two sets whose tokens agree in a share m meet in a run of depth d with probability q(d) = 1 - (1 - m q(d - 1))**2 or,
 where one token is taken, m q(d - 1). Runs are added until the recall is reached for the depth that they reach, over the
@@ -37,6 +39,10 @@ from .graph import components
 from .textarrays import blocks, mixed
 
 SLOTS, BINS, LEAF, BLOCK, SALTS = 64, 512, 1024, 128, 32
+#: Bins of the second look at large groups, and sets of a block there.
+FINE, FINE_BLOCK = 4096, 512
+#: Bytes of a block's sets that are compared exactly, about.
+BLOCK_BYTES = 16 << 20
 #: Levels that split on two tokens; deeper ones take the second token of one bucket in DEEP.
 TWO_TOKENS, DEEP = 4, 4
 #: Buckets of so many times LEAF are compared in blocks of a fourth of it.
@@ -56,13 +62,13 @@ def _agreeing(similarity: float) -> np.ndarray:
 
 
 def likely_share(similarity: float, recall: float) -> float:
-    """Share of equal tokens that makes a candidate; a third of what may be missed lies under it."""
+    """Share of equal tokens that makes a candidate; a fourth of what may be missed lies under it."""
     below = np.cumsum(_agreeing(similarity))
-    return int(np.searchsorted(below, (1 - recall) / 3, "right")) / SLOTS
+    return int(np.searchsorted(below, (1 - recall) / 4, "right")) / SLOTS
 
 
 def runs_needed(similarity: float, recall: float, depth: int) -> int:
-    """Runs of so many levels until at most a third of what may be missed is a candidate that never meets."""
+    """Runs of so many levels until at most a fourth of what may be missed is a candidate that never meets."""
     least = round(likely_share(similarity, recall) * SLOTS)
     share, chance = np.arange(least, SLOTS + 1) / SLOTS, _agreeing(similarity)[least:]
     meet = np.ones(len(share))
@@ -70,15 +76,15 @@ def runs_needed(similarity: float, recall: float, depth: int) -> int:
         two = 1 - (1 - share * meet) ** 2
         meet = two if level < TWO_TOKENS else share * meet * (1 - 1 / DEEP) + two / DEEP
     runs = 1
-    while (chance * (1 - meet) ** runs).sum() > (1 - recall) / 3:
+    while (chance * (1 - meet) ** runs).sum() > (1 - recall) / 4:
         runs += 1
     return runs
 
 
-def bins_of(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def bins_of(h: np.ndarray, sizes: np.ndarray, bins: int = BINS) -> np.ndarray:
     """For each set, from its sorted hashes: 8 bits of the least hash in each bin, 0 where it has none."""
-    out = np.zeros((len(sizes), BINS), np.uint8)
-    owner, where = np.repeat(np.arange(len(sizes)), sizes), (h >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
+    out = np.zeros((len(sizes), bins), np.uint8)
+    owner, where = np.repeat(np.arange(len(sizes)), sizes), (h >> _U(64 - bins.bit_length() + 1)).astype(np.int64)
     if len(h):
         first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (owner[1:] != owner[:-1])]))
         out[owner[first], where[first]] = 1 + ((h[first] >> _U(20)) % _U(255)).astype(np.uint8)
@@ -96,7 +102,7 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     agree, any_ = _in_bins(a, b)
     union = (size_a + size_b) / (1 + similarity)
     hidden = np.maximum(union - any_, 0)
-    z = -NormalDist().inv_cdf((1 - recall) / 3) + 0.6  # the tail is a little heavier than the normal one's
+    z = -NormalDist().inv_cdf((1 - recall) / 4) + 0.6  # the tail is a little heavier than the normal one's
     deviation = np.sqrt(hidden * similarity * (1 - similarity) * np.maximum(0, 1 - hidden / np.maximum(union, 1)))
     return agree >= similarity * union - np.minimum(hidden, hidden * similarity + z * deviation + 1) - 1e-9
 
@@ -285,6 +291,65 @@ def _run(reps: DataFrame, runs: Sequence[int], similarity: float, recall: float,
         rows = judged.filter(~(F.col("_copies") & close)).select("node", "sig", "path").mapInArrow(_split((), level), "path long, node long")
 
 
+def _fine_bins(width: int) -> Callable:
+    """Rows (text, k1, k2, comp, node, size, blocks): the text's FINE bins in its place, if its key is the wanted one."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(0)):
+                h, sizes = _sets(b, width)
+                k1, k2 = _keys(h, sizes)
+                same = pa.array((batch.column(1).slice(b.first, b.n).to_numpy() == k1) & (batch.column(2).slice(b.first, b.n).to_numpy() == k2))
+                yield pa.RecordBatch.from_arrays([*(c.slice(b.first, b.n) for c in batch.columns[3:]), pa.array([s.tobytes() for s in bins_of(h, sizes, FINE)], pa.binary())], ["comp", "node", "size", "blocks", "bins"]).filter(same)
+
+    return run
+
+
+def _look_again(similarity: float, recall: float) -> Callable:
+    """Rows (comp, one, two, node, size, mine, bins) sorted by the first four: a star of edges for each group of sets that
+    fine bins leave connected, in each pair of blocks. Sets that are connected already aren't compared again."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, 3):
+            group, node, size = _group_ids(table, 3), table.column("node").to_numpy(), table.column("size").to_numpy().astype(float)
+            within, mine = table.column("one").to_numpy() == table.column("two").to_numpy(), table.column("mine").to_numpy()
+            bins, end = _signatures(table.column("bins").combine_chunks(), np.uint8, FINE), np.cumsum(np.bincount(group))
+            label = np.arange(len(node))
+            for i in range(len(node)):
+                j = np.arange(i + 1, end[group[i]])
+                j = j[(label[j] != label[i]) & (within[i] | (mine[j] != mine[i]))]
+                for lo in range(0, len(j), 256):
+                    part = j[lo : lo + 256]
+                    ok = may_link(np.broadcast_to(bins[i], (len(part), FINE)), bins[part], np.full(len(part), size[i]), size[part], similarity, recall)
+                    label = _merged(label, np.full(ok.sum(), i), part[ok])
+            at = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["a", "b"])
+
+    return run
+
+
+def _in_blocks(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (comp, one, two, node, mine, ...) for each pair of its component's blocks that a member takes part in."""
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("comp", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "node", "mine", *columns)
+    return dealt.repartition("comp", "one", "two").sortWithinPartitions("comp", "one", "two", "node")
+
+
+def _tightened(groups: DataFrame, reps: DataFrame, source: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
+    """node, comp: the groups as they are up to BLOCK sets, larger ones as far as fine bins leave them connected."""
+    counted = stored(with_group(groups, ["comp"], [F.count("*").alias("_m")], ["node"]), "jaccard-groups")
+    large = counted.filter(F.col("_m") > BLOCK).withColumn("blocks", F.ceil(F.col("_m") / FINE_BLOCK).cast("int"))
+    if large.isEmpty():
+        return groups
+    texts = large.join(reps.select("node", "size", "k1", "k2", "id", "tie"), "node").join(source, ["id", "tie"]).select("text", "k1", "k2", "comp", "node", "size", "blocks")
+    fine = _in_blocks(texts.mapInArrow(_fine_bins(width), "comp long, node long, size long, blocks int, bins binary"), ["size", "bins"])
+    order = ["comp", "one", "two", "node", "size", "mine", "bins"]
+    edges = stored(fine.select(order).mapInArrow(_look_again(similarity, recall), "a long, b long"), "jaccard-fine")
+    return counted.filter(F.col("_m") <= BLOCK).select("node", "comp").unionByName(components(edges).select("node", "comp"))
+
+
 def _set_bytes(width: int) -> Callable:
     """Rows (text, k1, k2, comp, node, weight, blocks): the text's shingle hashes in its place, if its key is the wanted one."""
 
@@ -364,14 +429,13 @@ def _classes(docs: DataFrame, width: int, similarity: float, id_col: str, text_c
     # a number of its own for each set, as ids may have several; what is written keeps it
     reps = stored(reps.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "_f.*", "weight", "_held"), "jaccard-reps")
     groups = components(candidates(reps.select("node", "size", "sig", "bins"), similarity, recall))
-    counted = with_group(groups, ["comp"], [F.count("*").alias("_m")], ["node"])
-    members = counted.join(reps.select("node", "weight", "k1", "k2", "id", "tie"), "node").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int"))
+    sized = _tightened(groups, reps, source, width, similarity, recall).join(reps.select("node", "size", "weight", "k1", "k2", "id", "tie"), "node")
+    counted = with_group(sized, ["comp"], [F.count("*").alias("_m"), F.sum("size").alias("_s")], ["node"])
+    members = counted.withColumn("blocks", F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_s") * 8 / BLOCK_BYTES)).cast("int"))
     texts = members.select("id", "tie", "k1", "k2", "comp", "node", "weight", "blocks").join(source, ["id", "tie"])
     hashed = texts.select("text", "k1", "k2", "comp", "node", "weight", "blocks").mapInArrow(_set_bytes(width), "comp long, node long, weight long, blocks int, hashes binary")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = hashed.withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("comp", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "node", "weight", "mine", "hashes")
-    found = stored(dealt.repartition("comp", "one", "two").sortWithinPartitions("comp", "one", "two", "node").mapInArrow(_exact(similarity), "a long, b long, links long"), "jaccard-links")
+    dealt = _in_blocks(hashed, ["weight", "hashes"]).select("comp", "one", "two", "node", "weight", "mine", "hashes")
+    found = stored(dealt.mapInArrow(_exact(similarity), "a long, b long, links long"), "jaccard-links")
     classes = components(found.filter("a <> b").select("a", "b"))
     named = with_group(classes.join(reps.select("node", "id", "tie"), "node"), ["comp"], [F.min(F.struct("id", "tie")).alias("_first")], ["node"]).select("node", "_first")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
@@ -415,3 +479,25 @@ def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col:
 def digest(docs: DataFrame) -> DataFrame:
     """join() of the documents with five-word shingles and a similarity of 0.8."""
     return join(docs)
+
+
+#: DuckDB SQL for digest(): all pairs that share a shingle, and the components of the links.
+SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes m ON m.doc_id = p.a JOIN sizes k ON k.doc_id = p.b WHERE 5 * p.both >= 4 * (m.n + k.n - p.both)
+), reached AS (
+  SELECT doc_id, doc_id AS class_id FROM documents
+  UNION
+  SELECT l.b, r.class_id FROM reached r JOIN links l ON l.a = r.doc_id WHERE r.class_id < l.b
+)
+SELECT d.doc_id, c.class_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM documents d JOIN (SELECT doc_id, min(class_id) AS class_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = d.doc_id
+"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op8_line_dedup": line_dedup.SQL, "op12_lexical_search": lexical.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op1_warc": warc.SQL, "op7_jaccard_join": jaccard_join.SQL, "op8_line_dedup": line_dedup.SQL, "op12_lexical_search": lexical.SQL, "op13_merkle_manifest": merkle.SQL}

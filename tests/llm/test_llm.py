@@ -470,6 +470,24 @@ def test_jaccard_join_of_a_template(spark):
     assert jaccard_join.candidates(reps.withColumnRenamed("id", "node").select("node", "size", "sig", "bins")).distinct().count() < 50
 
 
+def test_jaccard_join_of_a_long_template(spark, monkeypatch):
+    """Long texts of one template, 0.756 alike: fine bins part them, so only the copies among them are compared exactly."""
+    template, compared, in_blocks = [f"t{i}" for i in range(3000)], {}, jaccard_join._in_blocks
+
+    def noted(members, columns):
+        compared[columns[-1]] = members.count()
+        return in_blocks(members, columns)
+
+    monkeypatch.setattr(jaccard_join, "_in_blocks", noted)
+    monkeypatch.setattr(jaccard_join, "FINE_BLOCK", 200)
+    own = lambda d, n: [f"u{d}x{i}" for i in range(n)]
+    texts = [" ".join(template[:1292] + own(d, 417) + template[1709:]) for d in range(300)]
+    texts += [" ".join(template[:1292] + own(d, 417) + template[1709:2990]) for d in range(150)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(frame(spark, texts)).collect()}
+    assert got == {d: (d % 300, int(d % 300 < 150)) for d in range(450)}
+    assert compared == {"bins": 450, "hashes": 300}
+
+
 def test_bins_rule_out_no_link():
     rng = np.random.default_rng(2)
     for size in (20, 300, 3000):
@@ -479,7 +497,8 @@ def test_bins_rule_out_no_link():
                 h = np.unique(rng.integers(0, 2**64, 2 * size, dtype=np.uint64))
                 both = [np.sort(np.concatenate([h[::2][: shared], h[1::2][k : k + size - shared]])) for k in (0, size - shared)] if size > shared else [np.sort(h[:size])] * 2
                 both = [x if len(x) == size else np.sort(h[:size]) for x in both]
-                bins = [jaccard_join.bins_of(x, np.array([len(x)])) for x in both]
+                many = [jaccard_join.BINS, jaccard_join.FINE][_ % 2]
+                bins = [jaccard_join.bins_of(x, np.array([len(x)]), many) for x in both]
                 n = len(np.intersect1d(*both))
                 if n >= similarity * (2 * size - n):
                     assert jaccard_join.may_link(*bins, np.array([size]), np.array([size]), similarity, jaccard_join.RECALL)[0]
