@@ -38,8 +38,9 @@ from .textarrays import Block, binary_parts, blocks, mixed
 KGRAM = 32
 #: Windows in a span at most.
 LONGEST = 128
-#: Bytes of text for a bucket, about; and of a long text for a piece, whose windows are found by themselves.
-BUCKET_BYTES, PIECE = 16 << 20, 4 << 20
+#: Bytes of text for a bucket, about, and for a partition, which works its buckets off one by one; and of a long text for a
+#: piece, whose windows are found by themselves.
+BUCKET_BYTES, PART_BYTES, PIECE = 16 << 20, 128 << 20, 4 << 20
 #: One document in so many is looked at for anchors that very many share, and how often those are seen there.
 SAMPLE, OFTEN, MOST_HOT = 64, 24, 1 << 16
 _U = np.uint64
@@ -284,8 +285,18 @@ _GONE = (("doc", "<i8"), ("tie", "<i8"), ("at", "<i8"), ("n", "<u2"))
 _ASKED = (("anchor", "<i8"), *_GONE)
 
 
+def _distinct(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each place, in order, and how many rows it has."""
+    order = np.lexsort((tie, doc))
+    d, t = doc[order], tie[order]
+    start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])) if len(d) else np.zeros(0, np.int64)
+    first, many = order[start], np.diff(np.concatenate([start, [len(d)]]))
+    by_row = np.argsort(first)
+    return first[by_row], many[by_row]
+
+
 def _pack_texts(buckets: int) -> Callable:
-    """Texts by bucket of their document, compressed."""
+    """Texts by bucket of their document, compressed; those of a batch that are equal in id and text as one."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,21 +305,23 @@ def _pack_texts(buckets: int) -> Callable:
             doc, tie = _placed(batch)
             data, offsets = binary_parts(batch.column(2))
             out = []
-            for b, x in _dealt({"doc": doc, "tie": tie, "row": np.arange(len(doc))}, _bucket_of(doc, tie, buckets)):
+            row, many = _distinct(doc, tie)
+            for b, x in _dealt({"doc": doc[row], "tie": tie[row], "row": row, "rows": many}, _bucket_of(doc[row], tie[row], buckets)):
                 text = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in x["row"])
-                out.append((b, pack({"doc": x["doc"], "tie": x["tie"], "size": np.diff(offsets)[x["row"]].astype(np.int64)}), squeeze.compress(text)))
+                out.append((b, pack({"doc": x["doc"], "tie": x["tie"], "size": np.diff(offsets)[x["row"]].astype(np.int64), "rows": x["rows"].astype(np.int64)}), squeeze.compress(text)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "places", "texts"])
 
     return run
 
 
-def _unpacked_texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+def _unpacked_texts(table: pa.Table) -> Iterator[tuple[int, int, int, bytes]]:
+    """doc, tie, for how many rows it stands, and the text."""
     for places, texts in zip(table.column("places").to_pylist(), table.column("texts").to_pylist(), strict=True):
-        p = unpack(places, (("doc", "<i8"), ("tie", "<i8"), ("size", "<i8")))
+        p = unpack(places, (("doc", "<i8"), ("tie", "<i8"), ("size", "<i8"), ("rows", "<i8")))
         data = zstandard.ZstdDecompressor().decompress(texts) if texts else b""
         ends = np.cumsum(p["size"])
-        for doc, tie, size, end in zip(p["doc"].tolist(), p["tie"].tolist(), p["size"].tolist(), ends.tolist(), strict=True):
-            yield doc, tie, data[end - size : end]
+        for doc, tie, size, rows, end in zip(*(p[c].tolist() for c in ("doc", "tie", "size", "rows")), ends.tolist(), strict=True):
+            yield doc, tie, rows, data[end - size : end]
 
 
 def _by_text(c: dict[str, np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
@@ -325,7 +338,7 @@ def _cut(width: int, buckets: int) -> Callable:
     def run(asked: pa.Table, texts: pa.Table) -> pa.Table:
         c = _joined(asked.column("data").to_pylist(), _ASKED)
         where, pieces, done = _by_text(c), [b""] * len(c["at"]), np.zeros(len(c["at"]), bool)
-        for doc, tie, text in _unpacked_texts(texts):
+        for doc, tie, _, text in _unpacked_texts(texts):
             for i in where.pop((doc, tie), ()):
                 pieces[i], done[i] = text[c["at"][i] : c["at"][i] + c["n"][i] + width - 1], True
         squeeze, out = zstandard.ZstdCompressor(level=1), []
@@ -443,10 +456,10 @@ def _removed(width: int, keep_text: bool) -> Callable:
     def run(gone: pa.Table, texts: pa.Table) -> pa.Table:
         c = _joined(gone.column("data").to_pylist(), _GONE)
         where, rows = _by_text(c), []
-        for doc, tie, text in _unpacked_texts(texts):
+        for doc, tie, many, text in _unpacked_texts(texts):
             i = where.get((doc, tie))
             if i is None:
-                rows.append((doc, tie, len(text), 0, 0, hashlib.sha256(text).hexdigest(), text if keep_text else None))
+                rows.append((doc, many, len(text), 0, 0, hashlib.sha256(text).hexdigest(), text if keep_text else None))
                 continue
             depth = np.zeros(len(text) + 1, np.int32)
             np.add.at(depth, c["at"][i], 1)
@@ -454,10 +467,10 @@ def _removed(width: int, keep_text: bool) -> Callable:
             off = np.cumsum(depth[:-1], dtype=np.int32, out=depth[:-1]) > 0
             kept = np.frombuffer(text, np.uint8)[~off].tobytes()
             spans = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
-            rows.append((doc, tie, len(text), int(off.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            rows.append((doc, many, len(text), int(off.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 7
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        names = ("doc", "tie", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+        names = ("doc", "rows", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
         out = {n: pa.array(list(v), k) for n, v, k in zip(names, cols, kinds, strict=True)}
         return pa.table(out if keep_text else {k: v for k, v in out.items() if k != "kept"})
 
@@ -476,18 +489,19 @@ def dedup_passages(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     size = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
     buckets = max(8, -(-size // BUCKET_BYTES))
     hot = _hot_anchors(texts, width)
-    # as many partitions as buckets, so that a task's share stays the same as the corpus grows
-    dealt = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
-    by_anchor = texts.mapInArrow(_find_spans(width, buckets, hot), _SPANS).repartition(buckets, "anchor").sortWithinPartitions("anchor", "span", "doc", "tie", "place")
+    parts = max(8, -(-size // PART_BYTES))
+    dealt = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
+    by_anchor = texts.mapInArrow(_find_spans(width, buckets, hot), _SPANS).repartition(parts, "anchor").sortWithinPartitions("anchor", "span", "doc", "tie", "place")
     compared = stored(by_anchor.mapInArrow(_compare(buckets), "bucket long, asked boolean, data binary"), "suffix-compared")
     packed = texts.mapInArrow(_pack_texts(buckets), "bucket long, places binary, texts binary")
     asked = compared.filter("asked").select("bucket", "data")
     pieces = dealt(asked).cogroup(dealt(packed)).applyInArrow(_cut(width, buckets), "bucket long, places binary, pieces binary")
     found = dealt(pieces).applyInArrow(_suffix_step(width, buckets), "bucket long, data binary")
     gone = compared.filter("not asked").select("bucket", "data").unionByName(found)
-    schema = "doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = "doc long, rows long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     out = dealt(gone).cogroup(dealt(packed)).applyInArrow(_removed(width, keep_text), schema)
-    return out.select(real_id("doc").alias(id_col), *out.columns[2:])
+    out = out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return out.select(real_id("doc").alias(id_col), *out.columns[2:-1])
 
 
 def digest(docs: DataFrame) -> DataFrame:
