@@ -11,9 +11,9 @@ distance, is tied to the pivot.
 
 Brute force looks at the tokens first. Where these agree often enough, a second sketch decides, the least shingle in
 each of BINS bins, which for sets of few shingles is nearly all of them: a pair goes on unless the bins rule `similarity`
-out. Sets linked directly or through others in this way form a candidate group. In a group of more than BLOCK sets, pairs
-are looked at once more, with FINE bins made anew from the texts, which tell sets of a template from near copies; what
-this leaves connected are the groups of which all pairs are compared exactly, large ones in blocks of bounded bytes. So
+out. Sets linked directly or through others in this way form a candidate group. In a group of more than BLOCK sets that
+have many times as many shingles as bins, pairs are looked at once more, with FINE bins, which tell sets of a template from
+near copies; what this leaves connected are the groups of which all pairs are compared exactly, large ones in blocks of bounded bytes. So
 similarities are exact, groups hold little but links, and what can be missed is a share 1 - RECALL of the pairs at just
 the wanted similarity, and less of more similar ones: a fourth each by tokens that agree too seldom, by never meeting,
 and by bins and fine bins.
@@ -39,8 +39,9 @@ from .graph import components
 from .textarrays import blocks, mixed
 
 SLOTS, BINS, LEAF, BLOCK, SALTS = 64, 512, 1024, 128, 32
-#: Bins of the second look at large groups, and sets of a block there.
-FINE, FINE_BLOCK = 4096, 512
+#: Bins of the second look at large groups, sets of a block there, and how many shingles a set has at least to have them:
+#: fewer are seen well by BINS, and more have texts that are longer than FINE bytes.
+FINE, FINE_BLOCK, FINE_FROM = 4096, 512, 1024
 #: Bytes of a block's sets that are compared exactly, about.
 BLOCK_BYTES = 16 << 20
 #: Levels that split on two tokens; deeper ones take the second token of one bucket in DEEP.
@@ -131,7 +132,8 @@ def _sets(block, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(width: int) -> Callable:
-    """Rows (id, tie, k1, k2, size, sig, bins) for each text: the set's key of two hashes, its size and its sketches."""
+    """Rows (id, tie, k1, k2, size, sig, bins, fine) for each text: the set's key of two hashes, its size and its sketches;
+    `fine` is null for short sets."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +150,15 @@ def _sketch(width: int) -> Callable:
                     x >>= _U(32)
                     sig[full, j] = np.minimum.reduceat(x, start)
                 k1, k2 = _keys(h, sizes)
+                end = np.cumsum(sizes)
+                fine = [bins_of(h[e - n : e], np.array([n]), FINE)[0].tobytes() if n > FINE_FROM else None for e, n in zip(end.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(b.first, b.n) for c in batch.columns[:2]), pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([s.tobytes() for s in bins_of(h, sizes)], pa.binary())],
-                    ["id", "tie", "k1", "k2", "size", "sig", "bins"],
-                )
+                    [
+                        *(c.slice(b.first, b.n) for c in batch.columns[:2]), pa.array(k1), pa.array(k2), pa.array(sizes.astype(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()),
+                        pa.array([s.tobytes() for s in bins_of(h, sizes)], pa.binary()), pa.array(fine, pa.binary()),
+                    ],
+                    ["id", "tie", "k1", "k2", "size", "sig", "bins", "fine"],
+                )
 
     return run
 
@@ -291,23 +298,8 @@ def _run(reps: DataFrame, runs: Sequence[int], similarity: float, recall: float,
         rows = judged.filter(~(F.col("_copies") & close)).select("node", "sig", "path").mapInArrow(_split((), level), "path long, node long")
 
 
-def _fine_bins(width: int) -> Callable:
-    """Rows (text, k1, k2, comp, node, size, blocks): the text's FINE bins in its place, if its key is the wanted one."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in blocks(batch.column(0)):
-                h, sizes = _sets(b, width)
-                k1, k2 = _keys(h, sizes)
-                same = pa.array((batch.column(1).slice(b.first, b.n).to_numpy() == k1) & (batch.column(2).slice(b.first, b.n).to_numpy() == k2))
-                yield pa.RecordBatch.from_arrays([*(c.slice(b.first, b.n) for c in batch.columns[3:]), pa.array([s.tobytes() for s in bins_of(h, sizes, FINE)], pa.binary())], ["comp", "node", "size", "blocks", "bins"]).filter(same)
-
-    return run
-
-
 def _look_again(similarity: float, recall: float) -> Callable:
-    """Rows (comp, one, two, node, size, mine, bins) sorted by the first four: a star of edges for each group of sets that
+    """Rows (comp, one, two, node, size, mine, fine) sorted by the first four: a star of edges for each group of sets that
     fine bins leave connected, in each pair of blocks. Sets that are connected already aren't compared again."""
 
     @tidy
@@ -315,7 +307,7 @@ def _look_again(similarity: float, recall: float) -> Callable:
         for table in groups_of(batches, 3):
             group, node, size = _group_ids(table, 3), table.column("node").to_numpy(), table.column("size").to_numpy().astype(float)
             within, mine = table.column("one").to_numpy() == table.column("two").to_numpy(), table.column("mine").to_numpy()
-            bins, end = _signatures(table.column("bins").combine_chunks(), np.uint8, FINE), np.cumsum(np.bincount(group))
+            bins, end = _signatures(table.column("fine").combine_chunks(), np.uint8, FINE), np.cumsum(np.bincount(group))
             label = np.arange(len(node))
             for i in range(len(node)):
                 j = np.arange(i + 1, end[group[i]])
@@ -337,17 +329,19 @@ def _in_blocks(members: DataFrame, columns: list[str]) -> DataFrame:
     return dealt.repartition("comp", "one", "two").sortWithinPartitions("comp", "one", "two", "node")
 
 
-def _tightened(groups: DataFrame, reps: DataFrame, source: DataFrame, width: int, similarity: float, recall: float) -> DataFrame:
-    """node, comp: the groups as they are up to BLOCK sets, larger ones as far as fine bins leave them connected."""
-    counted = stored(with_group(groups, ["comp"], [F.count("*").alias("_m")], ["node"]), "jaccard-groups")
-    large = counted.filter(F.col("_m") > BLOCK).withColumn("blocks", F.ceil(F.col("_m") / FINE_BLOCK).cast("int"))
+def _tightened(groups: DataFrame, reps: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """node, comp: the groups as they are up to BLOCK sets and where sets are short, others as far as fine bins leave them
+    connected."""
+    sized = groups.join(reps.select("node", "size"), "node")
+    counted = stored(with_group(sized, ["comp"], [F.count("*").alias("_m"), F.min("size").alias("_least")], ["node"]), "jaccard-groups")
+    loose = (F.col("_m") > BLOCK) & (F.col("_least") > FINE_FROM)
+    large = counted.filter(loose)
     if large.isEmpty():
         return groups
-    texts = large.join(reps.select("node", "size", "k1", "k2", "id", "tie"), "node").join(source, ["id", "tie"]).select("text", "k1", "k2", "comp", "node", "size", "blocks")
-    fine = _in_blocks(texts.mapInArrow(_fine_bins(width), "comp long, node long, size long, blocks int, bins binary"), ["size", "bins"])
-    order = ["comp", "one", "two", "node", "size", "mine", "bins"]
-    edges = stored(fine.select(order).mapInArrow(_look_again(similarity, recall), "a long, b long"), "jaccard-fine")
-    return counted.filter(F.col("_m") <= BLOCK).select("node", "comp").unionByName(components(edges).select("node", "comp"))
+    fine = large.withColumn("blocks", F.ceil(F.col("_m") / FINE_BLOCK).cast("int")).join(reps.select("node", "fine"), "node")
+    order = ["comp", "one", "two", "node", "size", "mine", "fine"]
+    edges = stored(_in_blocks(fine, ["size", "fine"]).select(order).mapInArrow(_look_again(similarity, recall), "a long, b long"), "jaccard-fine")
+    return counted.filter(~loose).select("node", "comp").unionByName(components(edges).select("node", "comp"))
 
 
 def _set_bytes(width: int) -> Callable:
@@ -423,13 +417,13 @@ def _classes(docs: DataFrame, width: int, similarity: float, id_col: str, text_c
     smallest of the class), blank (whether the text has no words)."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = docs.select(defined_id(id_col).alias("id"), F.xxhash64(raw).alias("tie"), raw.alias("text"))
-    sets = stored(source.mapInArrow(_sketch(width), "id long, tie long, k1 long, k2 long, size long, sig binary, bins binary"), "jaccard-sets")
+    sets = stored(source.mapInArrow(_sketch(width), "id long, tie long, k1 long, k2 long, size long, sig binary, bins binary, fine binary"), "jaccard-sets")
     salted = sets.filter("size > 0").withColumn("_salt", F.pmod(F.xxhash64("id", "tie"), F.lit(SALTS)).cast("int"))
-    reps = salted.groupBy("k1", "k2").agg(F.min(F.struct("id", "tie", "size", "sig", "bins")).alias("_f"), F.count("*").alias("weight"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_held"))
+    reps = salted.groupBy("k1", "k2").agg(F.min(F.struct("id", "tie", "size", "sig", "bins", "fine")).alias("_f"), F.count("*").alias("weight"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_held"))
     # a number of its own for each set, as ids may have several; what is written keeps it
     reps = stored(reps.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "_f.*", "weight", "_held"), "jaccard-reps")
     groups = components(candidates(reps.select("node", "size", "sig", "bins"), similarity, recall))
-    sized = _tightened(groups, reps, source, width, similarity, recall).join(reps.select("node", "size", "weight", "k1", "k2", "id", "tie"), "node")
+    sized = _tightened(groups, reps, similarity, recall).join(reps.select("node", "size", "weight", "k1", "k2", "id", "tie"), "node")
     counted = with_group(sized, ["comp"], [F.count("*").alias("_m"), F.sum("size").alias("_s")], ["node"])
     members = counted.withColumn("blocks", F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_s") * 8 / BLOCK_BYTES)).cast("int"))
     texts = members.select("id", "tie", "k1", "k2", "comp", "node", "weight", "blocks").join(source, ["id", "tie"])

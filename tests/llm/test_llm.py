@@ -465,7 +465,7 @@ def test_jaccard_join_of_a_template(spark):
     texts += [t.replace("x3", "y") for t in texts[:5]]  # five near copies among them
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(frame(spark, texts)).collect()}
     assert got == {d: (d % 3000 if d >= 3000 or d < 5 else d, int(d >= 3000 or d < 5)) for d in range(3005)}
-    reps = frame(spark, texts).select("doc_id", F.lit(0).cast("long"), F.col("text").cast("binary")).mapInArrow(jaccard_join._sketch(5), "id long, tie long, k1 long, k2 long, size long, sig binary, bins binary")
+    reps = frame(spark, texts).select("doc_id", F.lit(0).cast("long"), F.col("text").cast("binary")).mapInArrow(jaccard_join._sketch(5), "id long, tie long, k1 long, k2 long, size long, sig binary, bins binary, fine binary")
     # no loose group is tied together, so nothing but the copies is compared exactly
     assert jaccard_join.candidates(reps.withColumnRenamed("id", "node").select("node", "size", "sig", "bins")).distinct().count() < 50
 
@@ -485,7 +485,7 @@ def test_jaccard_join_of_a_long_template(spark, monkeypatch):
     texts += [" ".join(template[:1292] + own(d, 417) + template[1709:2990]) for d in range(150)]
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.join(frame(spark, texts)).collect()}
     assert got == {d: (d % 300, int(d % 300 < 150)) for d in range(450)}
-    assert compared == {"bins": 450, "hashes": 300}
+    assert compared == {"fine": 450, "hashes": 300}
 
 
 def test_bins_rule_out_no_link():
