@@ -40,7 +40,7 @@ KGRAM = 32
 LONGEST = 128
 #: Bytes of text for a bucket, about, and for a partition, which works its buckets off one by one; and of a long text for a
 #: piece, whose windows are found by themselves.
-BUCKET_BYTES, PART_BYTES, PIECE = 16 << 20, 128 << 20, 4 << 20
+BUCKET_BYTES, PART_BYTES, PIECE = 16 << 20, 64 << 20, 4 << 20
 #: One document in so many is looked at for anchors that very many share, and how often those are seen there.
 SAMPLE, OFTEN, MOST_HOT = 64, 24, 1 << 16
 _U = np.uint64
