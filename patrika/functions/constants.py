@@ -98,4 +98,7 @@ QUALITY_NOTES = {
 EXTRACTED = ("PyMuPDF extracted %d chars from %d pages", "pdfplumber extracted %d chars", "PyPDF2 extracted %d chars")
 ENCRYPTED, SCANNED_BY, FALLBACK = "PDF is encrypted", "Scanner software detected: ", "Used PyPDF2 fallback"
 #: Settings under which one image is recognised for comparison.
+SCRIPT_ONLY = "--oem 3 --psm 6 -c tessedit_char_whitelist=ಅ-ೞ೦-೯ -c preserve_interword_spaces=1"
+ANY_CHARACTER = "--oem 3 --psm 6 -c preserve_interword_spaces=1"
+OTHER_LAYOUTS, OTHER_SECONDS = [f"--oem 3 --psm {layout} -c preserve_interword_spaces=1" for layout in (3, 4, 8)], 15
 CONFIGURATIONS = ["--oem 3 --psm 6", "--oem 3 --psm 6 -c tessedit_char_whitelist=ಅ-ೞ೦-೯", "--oem 3 --psm 3", "--oem 1 --psm 6"]

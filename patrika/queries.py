@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions import names, rewrite, script
 from .functions.constants import ANY, CORRUPTION, DAMAGE, DELETED, DIGIT, FONTS, ISSUES, LEGACY, LETTER, MARKERS, MARKS, MISREAD, NO_FILE, NOT_PDF, RULES, SCANNERS, SCRIPT, SPACE, VALID, VOWEL_SIGN, WORD, DIGITAL_PLACEHOLDER, EMPTIED, EXTRACTED, FAILED, FAILURE_NOTES, FALLBACK, NO_COMPONENTS, NO_PERMISSION, NO_TEXT, NOT_VALID, PAGE_FAILED, PAGE_HEADING, PAGE_OF, RECOGNISED_PLACEHOLDER, SUMMARY, UNEXPECTED
+from .operators import joins, runs, sketches
 from .operators import pages as pg
 from .operators import quality as ql
 from .plans import flows
 from .plans.analyze import analyze, analyze_pages
 from .sources import docsink
 from .sources.files import spread
+from .streaming import windows
 
 _JOIN = "␞"
 
@@ -573,6 +575,80 @@ def k12_messages(spark, d):
     return docs.select("doc_id", names.error_message(F.concat(kind, F.lit(": "), "source", F.lit(": "), "lang")).alias("message"))
 
 
+# -- extensions: joins by time, windows, sketches, runs ---------------------------------------------------------------
+
+_EVENTS = "(SELECT event_id, epoch_us(ts) AS t, ts, user_id, event_type, value FROM events)"
+
+
+def _events(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").withColumn("t", F.unix_micros("ts"))
+
+
+@_query(
+    f"SELECT a.event_id, b.event_id AS signup_id, b.value AS signup_value FROM (SELECT * FROM {_EVENTS} WHERE event_type = 'purchase') a "
+    f"ASOF LEFT JOIN (SELECT user_id, t, arg_max(event_id, (value, event_id)) AS event_id, max(value) AS value FROM {_EVENTS} WHERE event_type = 'signup' GROUP BY user_id, t) b ON a.user_id = b.user_id AND a.t >= b.t"
+)
+def x_asof_join(spark, d):
+    e = _events(spark, d)
+    right = e.filter("event_type = 'signup'").select("user_id", F.col("t").alias("at"), F.col("value").alias("signup_value"), F.col("event_id").alias("signup_id"))
+    left = e.filter("event_type = 'purchase'").select("event_id", "user_id", "t")
+    return joins.asof_join(left, right, ["user_id"], "t", "at", ["signup_value", "signup_id"]).select("event_id", "signup_id", "signup_value")
+
+
+_SPANS = f"(SELECT event_id, user_id, event_type, t // 1000000 AS s, t // 1000000 + (value * value)::BIGINT + CASE WHEN event_id % 97 = 0 THEN 2000000 ELSE 0 END AS e FROM {_EVENTS})"
+
+
+@_query(f"SELECT a.event_id, b.event_id AS other_id, least(a.e, b.e) - greatest(a.s, b.s) AS seconds FROM {_SPANS} a JOIN {_SPANS} b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e WHERE a.event_type = 'error' AND b.event_type = 'view' AND a.s < a.e AND b.s < b.e")
+def x_interval_join(spark, d):
+    e = _events(spark, d).withColumn("s", F.floor(F.col("t") / 1_000_000).cast("long"))
+    end = F.col("s") + F.round(F.col("value") * F.col("value")).cast("long") + F.when(F.col("event_id") % 97 == 0, 2_000_000).otherwise(0)
+    e = e.withColumn("e", end)
+    a = e.filter("event_type = 'error'").select(F.col("s").alias("start"), F.col("e").alias("end"), "user_id", "event_id")
+    b = e.filter("event_type = 'view'").select(F.col("s").alias("r_start"), F.col("e").alias("r_end"), "user_id", F.col("event_id").alias("other_id"))
+    return joins.interval_join(a, b, ["user_id"]).select("event_id", "other_id", (F.least("end", "r_end") - F.greatest("start", "r_start")).alias("seconds"))
+
+
+_SUMS = "count(*) AS n, sum(round(value * 1000000)::BIGINT)::BIGINT AS total, max(value) AS largest"
+
+
+@_query(f"SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')) AS start, event_type, {_SUMS} FROM {_EVENTS} GROUP BY 1, 2")
+def x_tumbling_windows(spark, d):
+    return windows.summed(_events(spark, d), windows.tumbling("ts", "1 hour"), ["event_type"]).select(F.unix_micros("start").alias("start"), "event_type", "n", "total", "largest")
+
+
+@_query(f"SELECT (t // 1800000000 - k) * 1800000000 AS start, event_type, {_SUMS} FROM {_EVENTS}, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
+def x_sliding_windows(spark, d):
+    return windows.summed(_events(spark, d), windows.sliding("ts", "1 hour", "30 minutes"), ["event_type"]).select(F.unix_micros("start").alias("start"), "event_type", "n", "total", "largest")
+
+
+@_query(
+    f"WITH g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM (SELECT *, (coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id), 7200000000) >= 7200000000)::INT AS fresh FROM {_EVENTS})) "
+    f"SELECT min(t) AS start, max(t) + 7200000000 AS end_, user_id, {_SUMS} FROM g GROUP BY user_id, run"
+)
+def x_session_windows(spark, d):
+    return windows.summed(_events(spark, d), windows.session("ts", "2 hours"), ["user_id"]).select(F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end_"), "user_id", "n", "total", "largest")
+
+
+@_query(f"SELECT day, event_type, grouping(day, event_type) AS g, count(*) AS n, sum(round(value * 1000000)::BIGINT)::BIGINT AS total FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM {_EVENTS}) GROUP BY ROLLUP (day, event_type)")
+def x_sketches(spark, d):
+    e = _events(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    daily = sketches.sketched(e, ["day", "event_type"])
+    r = sketches.rolled_up(daily, ["day", "event_type"])
+    return r.select("day", "event_type", F.expr("shiftleft(1, level) - 1").cast("long").alias("g"), "n", "total")
+
+
+@_query(
+    f"WITH p AS (SELECT doc_id, page_num, page_num % 3 <> 0 AND NOT (doc_id % 2 = 0) AS odd, page_text FROM {_P} WHERE (doc_id + page_num) % 5 <> 0), n AS (SELECT *, (page_num - coalesce(lag(page_num) OVER w, -9) > 1 OR odd IS DISTINCT FROM lag(odd) OVER w)::INT AS fresh FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)), "
+    "r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY page_num)::BIGINT AS run FROM n) SELECT doc_id, run, min(page_num) AS first_page, max(page_num) AS last_page, bool_or(odd) AS odd, count(*) AS n FROM r GROUP BY doc_id, run"
+)
+def x_page_runs(spark, d):
+    p = _pages(spark, d).filter((F.col("doc_id") + F.col("page_num")) % 5 != 0).withColumn("odd", (F.col("page_num") % 3 != 0) & (F.col("doc_id") % 2 != 0))
+    r = runs.with_runs(p, F.col("odd"))
+    return r.groupBy("doc_id", "run").agg(F.min("page_num").alias("first_page"), F.max("page_num").alias("last_page"), F.bool_or("odd").alias("odd"), F.count("*").alias("n"))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _ALL.items()}
 

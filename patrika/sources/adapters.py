@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import CONFIGURATIONS
+from ..functions.constants import ANY_CHARACTER, CONFIGURATIONS, OTHER_LAYOUTS, OTHER_SECONDS, SCRIPT_ONLY
 
 PAGES = "path string, page_num int, page_text string, image binary, error string"
 Reader = Callable[[bytes], Sequence[tuple[str | None, bytes | None]]]
@@ -79,6 +79,48 @@ def recognise_pages(pages: DataFrame, make_engines: Callable[[], Sequence[tuple[
     return pages.select("path", "page_num", "page_text", "image", "error").mapInPandas(run, PAGES)
 
 
+#: An engine's run: image, language, options, seconds.
+Run = Callable[[bytes, str, str, float], str]
+
+
+def in_turn(run: Run, language: str = "kan", failure: type[Exception] = RuntimeError) -> Recogniser:
+    """A recogniser that tries an engine's options in turn until a text is nonblank: the script's characters only; all, in
+    half the time; then other page layouts, 15 seconds each. What the later ones raise is passed over. Of the first one, a
+    `failure` that speaks of a timeout becomes a TimeoutError, which recognise_within_limit() acts on, and any other error
+    an empty text."""
+
+    def recognise(image: bytes, seconds: float) -> str:
+        try:
+            text = run(image, language, SCRIPT_ONLY, seconds)
+        except Exception as e:
+            if isinstance(e, failure) and "timeout" in str(e).lower():
+                raise TimeoutError(f"Tesseract OCR timed out after {seconds:g} seconds") from e
+            return ""
+        for options, limit in ((ANY_CHARACTER, seconds // 2), *((o, OTHER_SECONDS) for o in OTHER_LAYOUTS)):
+            if text.strip():
+                break
+            try:
+                text = run(image, language, options, limit)
+            except Exception:
+                continue
+        return text
+
+    return recognise
+
+
+def simple(run: Run, languages: Callable[[], Sequence[str]]) -> Recogniser:
+    """A recogniser without fallbacks: the script's language with English where the engine has it, else English alone."""
+    try:
+        language = "kan+eng" if "kan" in languages() else "eng"
+    except Exception:
+        language = "eng"
+
+    def recognise(image: bytes, seconds: float) -> str:
+        return run(image, language, CONFIGURATIONS[0], seconds)
+
+    return recognise
+
+
 def _told(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
@@ -128,6 +170,14 @@ def recognise_within_limit(
     return pages.select("path", "page_num", "page_text", "image", "error").mapInPandas(run, PAGES)
 
 
+def configured_text(recognise: Callable[[bytes, str], str], image: bytes, options: str) -> str:
+    """The text of an image under these options, or the error that came instead."""
+    try:
+        return recognise(bytes(image), options)
+    except Exception as e:
+        return f"Error: {e}"
+
+
 def compare_configurations(pages: DataFrame, make_recogniser: Callable[[], Callable[[bytes, str], str]], configurations: Sequence[str] = tuple(CONFIGURATIONS)) -> DataFrame:
     """A row (path, page_num, config, text) for each page's image under each configuration, named config_0 and so on; an
     error is the text of its row. files.write_by_configuration writes them."""
@@ -137,16 +187,31 @@ def compare_configurations(pages: DataFrame, make_recogniser: Callable[[], Calla
         recognise = make_recogniser()
         for b in batches:
             texts = []
-            for image, options in zip(b["image"], b["_options"], strict=True):
-                try:
-                    texts.append(recognise(bytes(image), options))
-                except Exception as e:
-                    texts.append(f"Error: {e}")
+            texts += [configured_text(recognise, image, options) for image, options in zip(b["image"], b["_options"], strict=True)]
             yield pd.DataFrame({"path": b["path"], "page_num": b["page_num"], "config": "config_" + b["_pos"].astype(str), "text": texts})
 
     return rows.mapInPandas(run, "path string, page_num int, config string, text string")
 
 
+def image_rows(reader: Callable, path: str, content: bytes, pages: Sequence[int] | None = None) -> list[tuple]:
+    """The rows of IMAGES of one file."""
+    rows = []
+    try:
+        all_ = reader(content)
+        for i in range(len(all_)) if pages is None else [i for i in pages if i < len(all_)]:
+            render, inside = all_[i]
+            rows.append((path, i + 1, *render[:2], "page_render", render[2], None))
+            for k, one in enumerate(inside):
+                try:
+                    width, height, image = one()
+                except Exception:
+                    continue
+                rows.append((path, i + 1, width, height, f"embedded_{k}", image, None))
+    except Exception as e:
+        rows = [(path, 0, None, None, None, None, _told(e))]
+    return rows
+
+
 def read_images(files: DataFrame, make_reader: Callable[[], ImageReader], pages: Sequence[int] | None = None) -> DataFrame:
     """Rows of the images of `files` (path, content): for each page (or those of the indices `pages`, from 0, that there
     are) its render with source 'page_render', then the images in it as 'embedded_0' and so on; one that fails is left
@@ -156,20 +221,7 @@ def read_images(files: DataFrame, make_reader: Callable[[], ImageReader], pages:
         reader = make_reader()
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                rows = []
-                try:
-                    all_ = reader(bytes(content))
-                    for i in range(len(all_)) if pages is None else [i for i in pages if i < len(all_)]:
-                        render, inside = all_[i]
-                        rows.append((path, i + 1, *render[:2], "page_render", render[2], None))
-                        for k, one in enumerate(inside):
-                            try:
-                                width, height, image = one()
-                            except Exception:
-                                continue
-                            rows.append((path, i + 1, width, height, f"embedded_{k}", image, None))
-                except Exception as e:
-                    rows = [(path, 0, None, None, None, None, _told(e))]
+                rows = image_rows(reader, path, bytes(content), pages)
                 yield pd.DataFrame(rows, columns=["path", "page_number", "width", "height", "source", "image", "error"]).astype({"width": "Int32", "height": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, IMAGES)

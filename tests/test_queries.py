@@ -7,7 +7,7 @@ import __spark_entry__
 from patrika.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "conversations", "labels", "benchmark")
+TABLES = ("documents", "pages", "conversations", "labels", "benchmark", "events")
 
 
 @pytest.fixture(scope="module")
