@@ -53,14 +53,15 @@ def test_windows_of_a_stream_are_those_of_its_table(spark, tmp_path, kind):
     late = [(5.0, "a", 1.0), (50.0, "b", 1.0)]  # more than 20 minutes behind
     second = [(rng.uniform(190, 260), rng.choice("ab"), None if i % 9 == 0 else rng.random()) for i in range(80)] + [(1000.0, "a", 0.0)]
     df = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", at(F.col("minute"))).coalesce(1)
-    for rows in (first, late + second, [(1001.0, "b", 0.0)]):
+    between = [(201.0, "a", 1.0)]  # rows are late by the watermark of the batch before
+    for rows in (first, between, late + second, [(1001.0, "b", 0.0)], [(1002.0, "b", 0.0)]):
         df(rows).write.mode("append").parquet(inbox)
     stream = spark.readStream.schema(df(first).schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     # one file after the other, in the order in which they were written
     query = w.summed(stream, window, ["k"], late="20 minutes").writeStream.format("memory").queryName(f"windows_{kind}").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = sorted(map(tuple, spark.table(f"windows_{kind}").collect()))
-    whole = w.summed(df(first + second), window, ["k"])
+    whole = w.summed(df(first + between + second), window, ["k"])
     want = sorted(map(tuple, whole.filter(F.col("end") < at(F.lit(900.0))).collect()))
     assert got == want and len(want) > 10
     assert w.late_rows(query) == (4 if kind == "sliding" else 2)
