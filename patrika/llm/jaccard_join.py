@@ -448,7 +448,7 @@ def join(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str =
     this one's. class_id: the smallest id among the documents that links connect with this one, itself included. A text
     of fewer than `width` words has one shingle, all its words; null and empty texts, and those of white space, have
     none and link to nothing. Rows with equal ids are documents of their own, each counted and classed by its text. A
-    null id is the smallest. Links are found with probability `recall` or more.
+    null id is the smallest. Very long texts are sets of all their shingles. Links are found with probability `recall` or more.
     """
     out = _classes(docs, width, similarity, id_col, text_col, recall)
     return out.select(real_id("id").alias(id_col), real_id("class_id").alias("class_id"), "n_links")

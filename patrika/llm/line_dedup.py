@@ -31,7 +31,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes if its key has at least `min_chars` code points and occurs in at least `min_docs` distinct ids,
     unless this document has the largest id of those. A null or empty text is one empty line and stays empty
     (null becomes ''). Rows with equal ids count as one document, each row being cleaned alike; a null id is one
-    document with the smallest id. Other columns pass through; an input column named like an added one is replaced.
+    document with the smallest id. Very long texts are taken
+    apart and joined in time linear in their lines. Other columns pass through; an input column named like an added one
+    is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # rows of one id with different texts have lines of their own

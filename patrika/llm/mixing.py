@@ -101,7 +101,7 @@ def _round_group(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size).
 
-    Size is the number of words (null text: 0). Equal inputs give equal results, however they are partitioned: the
+    Size is the number of words (null text: 0), of very long texts as of others. Equal inputs give equal results, however they are partitioned: the
     coins and the groups of the tree depend on ids and sizes only. Documents without words take the whole part of
     their source's copies. Which of rows with equal id, source and size takes a copy makes no difference. An empty table
     gives an empty result. Sources may be null; ids too. Columns other than doc_id, source and text are not looked at.

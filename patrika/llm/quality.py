@@ -170,8 +170,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row per document: doc_id, the statistics, base_failed, quality (posterior of good), kept.
 
     Columns other than doc_id and text are not looked at. base_failed: fewer than 20 words, or over 30% of the words in repeated 8-word windows. kept: false if base_failed,
-    else whether the posterior is `threshold` or more. Null and empty texts fail; repeated rows are judged alike; an
-    empty table gives an empty result. EM sees the counts of vote
+    else whether the posterior is `threshold` or more. Null and empty texts fail; very long texts are counted whole, a
+    block of their own; repeated rows are judged alike; an empty table gives an empty result. EM sees the counts of vote
     patterns of all documents that base_failed leaves open.
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

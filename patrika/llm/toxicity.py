@@ -198,7 +198,7 @@ def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: Sequence[s
 def score(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size: int = 2000, out_col: str = "toxicity") -> DataFrame:
     """docs with the column `out_col` (0 to 1), which replaces one of that name. Learns from at most `bound` labelled rows whose id's remainder is not
     0: the lexicon and its exceptions from remainders 1 to 3, the curve from 4. Scores every whole text, and from it
-    alone; a null text scores like an empty one, repeated rows alike. Without labels of both kinds the lexicon is empty
+    alone; a null text scores like an empty one, repeated rows alike; of a very long text every word is looked at. Without labels of both kinds the lexicon is empty
     and scores are near 0."""
     rows = stored(training_rows(docs, labels, bound), "toxicity-rows")
     learn, rest = rows.filter("rest < 4"), rows.filter("rest = 4")

@@ -111,7 +111,8 @@ def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float
 
 def contained(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """profiles with `rule`, a row for each of `rules` (distinct `tokens`) whose tokens a profile's `tokens` all hold, by an
-    inverted index: a rule stands under that of its tokens that the fewest profiles have, so common tokens bring few."""
+    inverted index: a rule stands under that of its tokens that the fewest profiles have, so common tokens bring few. Null
+    or empty `tokens` hold no rule, and rules of none are held by nothing."""
     probes = profiles.select("tokens", F.explode("tokens").alias("_token"))
     often = probes.groupBy("_token").agg(F.count("*").alias("_often"))
     each = rules.select(F.col("tokens").alias("rule"), F.explode("tokens").alias("_token")).join(often, "_token", "left")
@@ -123,7 +124,8 @@ def contained(profiles: DataFrame, rules: DataFrame) -> DataFrame:
 def match(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """For distinct `tokens`, the best rule that they contain: tokens, rule_tokens, verdict, confidence.
 
-    Best is the highest confidence, then support, then more tokens, then block before allow, then by text.
+    Best is the highest confidence, then support, then more tokens, then block before allow, then by text. Null or empty
+    `tokens` have no best rule.
     """
     met = contained(profiles.select("tokens"), rules.select("tokens").distinct()).withColumnRenamed("rule", "_rule")
     named = rules.select(F.col("tokens").alias("_rule"), "verdict", "confidence", "support")
@@ -137,8 +139,8 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tup
 
     `rules` decide first. Labels teach the rest: (page_id, verdict) rows if given, else the verdicts of `rules` on the
     pages they fit. A URL that no mined rule matches is allowed. Null urls have an empty host and path and no tokens;
-    repeated rows and equal ids are judged alike, each by its url; an empty table gives an empty result. Columns other
-    than page_id and url are not looked at. Verdicts of labels other than block and allow teach nothing.
+    repeated rows and equal ids are judged alike, each by its url; an empty table gives an empty result. Very long urls have
+    all their tokens. Columns other than page_id and url are not looked at. Verdicts of labels other than block and allow teach nothing.
     """
     url = F.col("url").cast("string")
     parts = pages.select("page_id", url.alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})

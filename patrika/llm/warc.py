@@ -381,7 +381,8 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
 def digest(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the pages to WARC files, reads those back, and returns the contract's row per page. For responses,
-    length and digest are those of the payload read back; for revisits, those that their headers give."""
+    length and digest are those of the payload read back; for revisits, those that their headers give. A null html is an
+    empty payload, a null url no target, a null id the smallest; a payload of any length is one record."""
     spark = pages.sparkSession
     register(spark)
     path = path or fresh_path(spark, "warc")
