@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ANY, QUALITY_NOTES, SPACE, WORD
-from ..functions.script import count_of, is_blank, is_script, strip, text_of
+from ..functions.script import count_of, is_blank, is_script, runs_of, strip, text_of
 
 MIN_QUALITY, SAMPLE_PAGES = 0.3, 5
 
@@ -21,7 +21,7 @@ def artifact_count(c: Column | str) -> Column:
 
 
 def _measures(t: Column) -> dict[str, Column]:
-    return {"_length": F.length(strip(t)), "_words": F.regexp_count(t, F.lit(f"{ANY}+")), "_script": is_script(t), "_artifacts": artifact_count(t), "_blank": is_blank(t)}
+    return {"_length": F.length(strip(t)), "_words": runs_of(t, ANY[1:-1]), "_script": is_script(t), "_artifacts": artifact_count(t), "_blank": is_blank(t)}
 
 
 def with_quality(docs: DataFrame, normal: Column | str, out: str = "quality") -> DataFrame:

@@ -61,3 +61,14 @@ def test_profile_and_flags(spark):
     assert tuple(p[0]) == (4, 2, 50.0, 2, 50.0, "ಕಕab") and tuple(p[1]) == (0, 0, 0.0, 0, 0.0, "No text")
     assert column(spark, ["xರರರ", "a"], sc.looks_corrupt("x")) == [True, False]
     assert column(spark, ["abcdefghijk"], sc.is_over_cleaned("x", F.lit("a"))) == [True]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    texts = spark.createDataFrame([("MAಜ|o1 zsಾ ಚzs ¼½",), ("e\u0301q\u0301",), ("plain",), (None,)], "x string")
+    plan = lambda *c: texts.select(*c)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan(rw.fix_misread("x"))
+    made = [rw.normalize("x"), rw.is_nfc("x"), rw.convert_font("x"), rw.repair("x"), rw.repair_digital("x"), rw.repair_recognised("x")]
+    assert "BatchEvalPython" in plan(*made) and "ArrowEvalPython" not in plan(*made)
+    rows = texts.select("x", rw.fix_misread("x"), rw.normalize("x"), rw.is_nfc("x")).collect()
+    for x, misread, normal, nfc in rows:
+        assert (misread, normal, nfc) == (rw.replaced(x or "", MISREAD), rw.normal(x or ""), rw.is_normal(x or ""))
