@@ -253,3 +253,19 @@ def test_native_names_for_sql_start_no_python(spark):
     assert got.collect() == df.select(*[build(F.col("t")).alias(name) for name, build in registry.NATIVE.items()]).collect()
     plan = spark.sql("SELECT validate_kannada_output(t) FROM sql_native")._jdf.queryExecution().executedPlan().toString()
     assert "is_normal_form(" in plan and "kannada_issues(" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(4000).withColumn("text", F.lit("x" * 100)).coalesce(1).write.parquet(str(tmp_path / "t"))
+    whole = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert whole.rdd.getNumPartitions() >= cores
+        assert whole.select(F.spark_partition_id()).distinct().count() == 1
+        assert files.spread(whole).select(F.spark_partition_id()).distinct().count() >= cores
+        assert files.spread(whole).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
