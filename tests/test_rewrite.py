@@ -72,3 +72,24 @@ def test_texts_go_to_python_in_small_batches(spark):
     rows = texts.select("x", rw.fix_misread("x"), rw.normalize("x"), rw.is_nfc("x")).collect()
     for x, misread, normal, nfc in rows:
         assert (misread, normal, nfc) == (rw.replaced(x or "", MISREAD), rw.normal(x or ""), rw.is_normal(x or ""))
+
+
+def test_counts_match_character_by_character(spark):
+    """Counts by length agree with counts of each character, runs and negated classes included, and make no large negated class."""
+    import re
+
+    script = sc
+    from patrika.functions.constants import ANY, DELETED, SCRIPT
+
+    texts = ["", "plain", "ಕನ್ನಡ \u200c ಪದ ★★ x", "ÿ" * 30, "ÁÁß QX ZZ ★ é", "\x00\x7f\x85\u3000 ★ Жж", "ಕ" * 9 + "ÿ" * 40, "ÿÿ ಕಾ ÿÿÿÿ ÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿÿ"]
+    for t in texts:
+        counted = re.sub(r"[\s.,!?;:()\-]", "", t)
+        assert rw.in_script(t) == (bool(counted) and len(re.findall(f"[{SCRIPT}]", counted)) / len(counted) > 0.2)
+        total = len("".join(t.split()))
+        if total > 20 and not rw.in_script(t):
+            assert rw.font_encoded(t) == (sum(c > "\x7f" for c in t) / total > 0.7 and len(re.findall(ANY, t)) / total < 0.2)
+        assert not set(rw.cleaned(t)) & set(DELETED)
+    col = script.count_of(F.col("text"), r"^\x00-\x7F")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", col.alias("n")).collect()
+    assert [r["n"] for r in rows] == [sum(c > "\x7f" for c in r["text"]) for r in rows]
+    assert "[^" not in str(col)
