@@ -110,15 +110,12 @@ def remainder(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """text, toxic and remainder of at most `bound` labelled documents outside the held-out fifth, chosen by a hash of
-    the id. Labels that are null don't count; of several for an id the largest does. The ids are few enough to send."""
-    rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    rows = rows.withColumn("_rest", remainder()).filter("_rest <> 0").withColumn("_order", F.xxhash64(F.lit(9), "doc_id"))
-    share = min(1.0, 1.2 * bound / max(1, rows.count()))
-    some = rows.filter(F.col("_order") <= F.lit(int(-(2**63) + share * (2**64 - 1))) if share < 1 else F.lit(True))
-    some = some.orderBy("_order", "doc_id").limit(bound).select("doc_id", "_toxic", "_rest")
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("_toxic").alias("toxic"), F.col("_rest").alias("rest"))
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic and remainder of all labelled documents outside the held-out fifth. Labels that are null don't count; of
+    several for an id the largest does."""
+    rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = rows.withColumn("rest", remainder()).filter("rest <> 0")
+    return docs.select("doc_id", "text").join(rows, "doc_id").select("text", "toxic", "rest")
 
 
 def _counted(rows: DataFrame, make: Callable[[], Callable[[str | None], set[str]]]) -> tuple[DataFrame, int, int]:
@@ -195,12 +192,12 @@ def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: Sequence[s
         data.unpersist()
 
 
-def score(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexicon_size: int = 2000, out_col: str = "toxicity") -> DataFrame:
-    """docs with the column `out_col` (0 to 1), which replaces one of that name. Learns from at most `bound` labelled rows whose id's remainder is not
+def score(docs: DataFrame, labels: DataFrame, lexicon_size: int = 2000, out_col: str = "toxicity") -> DataFrame:
+    """docs with the column `out_col` (0 to 1), which replaces one of that name. Learns from all labelled rows whose id's remainder is not
     0: the lexicon and its exceptions from remainders 1 to 3, the curve from 4. Scores every whole text, and from it
     alone; a null text scores like an empty one, repeated rows alike; of a very long text every word is looked at. Without labels of both kinds the lexicon is empty
     and scores are near 0."""
-    rows = stored(training_rows(docs, labels, bound), "toxicity-rows")
+    rows = stored(training_rows(docs, labels), "toxicity-rows")
     learn, rest = rows.filter("rest < 4"), rows.filter("rest = 4")
     lexicon = learn_lexicon(learn, lexicon_size)
     exceptions = learn_exceptions(learn, lexicon) if lexicon else []

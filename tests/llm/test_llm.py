@@ -746,6 +746,15 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert warc.digest(pages).count() == 6
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """A term of one labelled row in six thousand is learned from, of however many rows."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 6000 < 2, "rareword here").otherwise("plain text").alias("text"))
+    labels = docs.select("doc_id", (F.col("text") != "plain text").cast("int").alias("toxic"))
+    rows = toxicity.training_rows(docs, labels)
+    assert rows.count() == docs.filter(toxicity.remainder() != 0).count() > 20_000
+    assert rows.filter("toxic = 1").count() == docs.filter((toxicity.remainder() != 0) & (F.col("text") != "plain text")).count() > 0
+
+
 # -- 11 ---------------------------------------------------------------------------------------------------------------
 
 
