@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages, windows of two segments of words. A randomised SVD of the TF-IDF rows of a bounded sample
-of passages, and of the items, which weigh as much as the sample, gives a latent space: each task multiplies its rows with
-a narrow matrix, Spark adds the products by term. Document frequencies are counted over all passages.
+Texts are cut into passages, windows of two segments of words. A randomised SVD of TF-IDF rows, of all passages and of the
+items, which weigh twice as much, gives a latent space: each task adds every passage with a random sign to a row of a narrow
+sketch, Spark adds the sketches up. Terms and document frequencies are counted over all passages.
 
 Every passage of every text is searched. Whoever holds `subsequence` of an item's words holds some of the item's rarest
 ones, so an inverted index from those to items leaves out the passages that can't be one of an item, and loses none; it
@@ -12,7 +12,7 @@ item's least telling words would reach among average words, so items of light wo
 if the longest common subsequence of words holds enough of the item, and enough of its answer. Word order, inserted and
 exchanged words are thus tolerated as far as the thresholds go.
 
-The corpus is read four times, twice of it on the JVM only, for items of up to MOST_WORDS words altogether; more items
+The corpus is read four times for items of up to MOST_WORDS words altogether; more items
 are taken in blocks of so many words, each of which counts and searches once more.
 """
 
@@ -23,16 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, defined_id, real_id, stored, tidy
+from .common import WORD, defined_id, real_id, tidy
 from .textarrays import Block, Lookup, blocks, mixed
 
 SEGMENT = 16
-#: Dimensions of the space at most (and at most as many as items), passages in the sample about, its terms at most, and as
-#: many of the items' terms.
-DIMENSIONS, SAMPLE, TERMS = 128, 20_000, 1 << 14
+#: Dimensions of the space at most (and at most as many as items), rows of the sketch of all passages, rows of items beside
+#: it at most, the texts' most frequent terms at most, and as many of the items' terms.
+DIMENSIONS, SKETCH, ITEM_ROWS, TERMS = 128, 256, 1024, 1 << 14
 #: Chance with which a passage of average words may come through an item's gate.
 GATE = 0.5
 #: Words of the items that go to the tasks at a time.
@@ -105,17 +105,11 @@ def _some_passages(share: float) -> Callable:
 
 
 def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the sampled passages, and each word's passage."""
+    """Word hashes of the passages, and each word's passage."""
     rows = [np.frombuffer(r, _U) for r in batch.column(0).to_pylist()]
     return np.concatenate([*rows, np.zeros(0, _U)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
-def _item_passages(spark: SparkSession, items: Items) -> DataFrame:
-    """The items as rows of passages, each as often as makes them as many as there are passages in a full sample."""
-    often = max(1, SAMPLE // max(1, len(items.words)))
-    return spark.createDataFrame(pa.table({"words": pa.array([w.tobytes() for w in items.words if len(w)] * often, pa.binary())}))
-
-
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, n = np.unique(_passages(batch)[0], return_counts=True)
@@ -141,72 +135,74 @@ def _count(terms: np.ndarray) -> Callable:
     return run
 
 
-def _product(terms: np.ndarray, weight: np.ndarray, right: np.ndarray) -> Callable:
-    """Rows (term, sums): the task's share of A'A times `right`, A being the TF-IDF rows of the sampled passages."""
+def _sketch(terms: np.ndarray) -> Callable:
+    """Rows (row, sums): the task's share of a sketch of the passages' counts of terms. Each passage is added, with a sign
+    of its own, to one of SKETCH rows, so the products of such rows' columns are on average those of all passages'."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, total = Lookup(terms), np.zeros(right.shape, np.float32)
+        look, total, seen = Lookup(terms), np.zeros(SKETCH * len(terms), np.float32), 0
         for batch in batches:
             h, passage = _passages(batch)
+            if not len(h):
+                continue
+            # by its words and its place in the task: equal passages must not go together
+            start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+            key = np.zeros(batch.num_rows, _U)
+            key[passage[start]] = mixed(mixed(np.add.reduceat(mixed(h), start)) + (passage[start] + seen).astype(_U))
             at, term = look(h)
-            for lo in range(0, batch.num_rows, 256):
-                i, j = np.searchsorted(passage[at], [lo, lo + 256])
-                if i == j:
-                    continue
-                used, column = np.unique(term[i:j], return_inverse=True)
-                x = np.zeros((256, len(used)), np.float32)
-                np.add.at(x, (passage[at[i:j]] - lo, column), weight[term[i:j]])
-                total[used] += x.T @ (x @ right[used])
-        some = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in total[some]], pa.binary())], ["term", "sums"])
+            own = key[passage[at]]
+            np.add.at(total, (own >> _U(1)).astype(np.int64) % SKETCH * len(terms) + term, (own & _U(1)).astype(np.float32) * 2 - 1)
+            seen += batch.num_rows
+        rows = total.reshape(SKETCH, len(terms))
+        for i in np.flatnonzero(rows.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([rows[i].tobytes()], pa.binary())], ["row", "sums"])
 
     return run
 
 
-def _added(width: int) -> Callable:
-    """Adds the rows of equal terms of a partition up."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, sums = np.zeros(0, np.int64), np.zeros((0, width), np.float32)
-        for batch in batches:
-            new = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
-            term, row = np.unique(np.concatenate([term, batch.column(0).to_numpy()]), return_inverse=True)
-            both = np.concatenate([sums, new])
-            sums = np.zeros((len(term), width), np.float32)
-            np.add.at(sums, row, both)
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array([r.tobytes() for r in sums], pa.binary())], ["term", "sums"])
-
-    return run
+@tidy
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the rows of equal numbers of a partition up."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row, new in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            new = np.frombuffer(new.as_buffer(), np.float32)
+            sums[row] = sums[row] + new if row in sums else new.copy()
+    for row, v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["row", "sums"])
+
+
+def _sketched(passages: DataFrame, terms: np.ndarray, more: int = 0) -> np.ndarray:
+    """The sketch of all passages, summed by Spark: SKETCH rows of TERMS numbers, and as many for the items' terms, at most.
+    `more` null rows follow."""
+    out = np.zeros((SKETCH + more, len(terms)), np.float32)
+    if len(terms):
+        schema = "row long, sums binary"
+        rows = passages.mapInArrow(_sketch(terms), schema).repartition("row").mapInArrow(_added, schema).toArrow()
+        for row, v in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            out[row] = np.frombuffer(v.as_buffer(), np.float32)
+    return out
 
 
-def _times(sample: DataFrame, terms: np.ndarray, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A'A times `right`, worked out by Spark: TERMS rows of DIMENSIONS + 16 numbers at most come back."""
-    # a bounded sample: two tasks, as each gives a row for every term
-    parts = sample.coalesce(2).mapInArrow(_product(terms, weight, right.astype(np.float32)), "term long, sums binary")
-    rows = parts.repartition("term").mapInArrow(_added(right.shape[1]), "term long, sums binary").toArrow()
-    out = np.zeros(right.shape, np.float32)
-    if rows.num_rows:
-        out[rows.column(0).to_numpy()] = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float32).reshape(-1, right.shape[1])
-    return out
+def _add_items(out: np.ndarray, items: Items, terms: np.ndarray, passages: float) -> None:
+    """Adds the items' counts of terms to null rows, so weighed that they are twice as much as all passages. Where there are
+    fewer rows than items several share one, each with a sign of its own."""
+    look = Lookup(terms)
+    signs = mixed(np.arange(len(items.words)).astype(_U)) & _U(1)
+    for i, w in enumerate(items.words):
+        np.add.at(out[i % len(out)], look(w)[1], 1 if len(items.words) <= len(out) or signs[i] else -1)
+    out *= np.float32(np.sqrt(max(1.0, 2 * passages / max(1, len(items.words)))))
 
 
-def singular_vectors(times: Callable[[np.ndarray], np.ndarray], n: int, k: int) -> np.ndarray:
-    """The k leading right singular vectors (n x k) of A from products with A'A: a random range finder, one power
-    iteration, and the eigenvectors within the range."""
-    wide = min(n, k + 16)
-    if not wide:
-        return np.zeros((n, 0), np.float32)
-    q = times(np.random.default_rng(29).standard_normal((n, wide), np.float32))  # in place of each other, as they are large
-    q = np.linalg.qr(q)[0]
-    q = times(q)
-    q = np.linalg.qr(q)[0]
-    core = (q.T @ times(q)).astype(float)
-    value, vector = np.linalg.eigh((core + core.T) / 2)
+def singular_vectors(a: np.ndarray, k: int) -> np.ndarray:
+    """The k leading right singular vectors (n x k) of a matrix of few rows, from the eigenvectors of its rows' products."""
+    if not a.size:
+        return np.zeros((a.shape[1], 0), np.float32)
+    value, vector = np.linalg.eigh((a @ a.T).astype(float))
     good = np.argsort(-value)[:k]
-    good = good[value[good] > value.max() * 1e-9]
-    return q @ vector[:, good].astype(np.float32)
+    good = good[value[good] > max(0.0, value.max()) * 1e-6]
+    return a.T @ (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
 
 
 @dataclass
@@ -230,15 +226,18 @@ class Space:
         return out
 
 
-def _space(sample: DataFrame, known: np.ndarray, terms: np.ndarray, df: np.ndarray, total: int, words: int, k: int) -> Space:
-    """The space over the sample's terms `known`; terms, df: all terms and in how many of `total` segments each occurs."""
+def _space(passages: DataFrame, known: np.ndarray, terms: np.ndarray, df: np.ndarray, total: int, words: int, k: int, items: Items | None = None) -> Space:
+    """The space over the terms `known`; terms, df: all terms and in how many of `total` segments each occurs."""
     row = np.full(len(terms), -1, np.int32)
     row[np.searchsorted(terms, known)] = np.arange(len(known), dtype=np.int32)
     own = df[row >= 0]
     weights = np.log((1 + total) / (1 + df)) + 1
     weight = weights[row >= 0].astype(np.float32)
-    latent = singular_vectors(lambda right: _times(sample, known, weight, right), len(known), k)
-    vectors = weight[:, None] * latent
+    rows = _sketched(passages, known, min(ITEM_ROWS, len(items.words)) if items is not None else 0)
+    if items is not None:
+        _add_items(rows[SKETCH:], items, known, total / 2)
+    rows *= weight
+    vectors = weight[:, None] * singular_vectors(rows, k)
     squares = weights**2
     return Space(terms, row, vectors, own @ vectors.astype(np.float64) / max(1, words), squares, float(df @ squares / max(1.0, df.sum())))
 
@@ -489,13 +488,8 @@ def _searched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     texts = docs.select(defined_id(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     n_items, n_words = source.agg(F.count("*"), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     n_blocks = -(-int(n_words or 0) // MOST_WORDS)
-    # an average word has some six bytes
-    passages = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // (12 * SEGMENT) + 1
-    share = min(1.0, SAMPLE / passages)
-    in_texts = min(1.0, 16 * share)
-    some = texts.filter(F.pmod(F.xxhash64(F.lit(3), "doc", "text"), F.lit(1 << 30)) < F.lit(int(in_texts * (1 << 30)))) if in_texts < 1 else texts
-    sample = stored(some.select("text").mapInArrow(_some_passages(share / in_texts), "words binary"), "latent-sample")
-    common = sample.mapInArrow(_terms_of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1")
+    passages = texts.select("text").mapInArrow(_some_passages(1.0), "words binary")
+    common = passages.mapInArrow(_terms_of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1")
     known = np.sort(common.orderBy(F.desc("n"), "term").limit(TERMS).select("term").toArrow().column(0).to_numpy().view(_U))  # TERMS rows at most
     out = spark.createDataFrame([], schema)
     for block in range(n_blocks):
@@ -508,7 +502,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         n = dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True))
         df = np.zeros(len(terms))
         df[[t for t in n if t >= 0]] = [n[t] for t in n if t >= 0]
-        space = _space(sample.unionByName(_item_passages(sample.sparkSession, items)), told, terms, df, n.get(-1, 0), n.get(-2, 0), min(DIMENSIONS, max(1, n_items)))
+        space = _space(passages, told, terms, df, n.get(-1, 0), n.get(-2, 0), min(DIMENSIONS, max(1, n_items)), items)
         out = out.unionByName(texts.mapInArrow(_search(items, space, df, n.get(-2, 0), cosine, subsequence, answer, checks), schema))
     return out
 

@@ -755,6 +755,19 @@ def test_toxicity_learns_from_every_label(spark):
     assert rows.filter("toxic = 1").count() == docs.filter((toxicity.remainder() != 0) & (F.col("text") != "plain text")).count() > 0
 
 
+def test_the_latent_space_is_fitted_on_every_passage(spark):
+    """However many passages there are, each is in the sketch, with one count in one row."""
+    texts = [f"w{i} " * 32 for i in range(300)]
+    df = frame(spark, texts).repartition(3)
+    passages = df.select(F.col("text").cast("binary")).mapInArrow(decontaminate._some_passages(1.0), "words binary")
+    hashes = np.array([decontaminate._plain(b).word_hashes()[0] for t in texts for b in _blocks(t)])
+    order = np.argsort(hashes)
+    rows = decontaminate._sketched(passages, hashes[order])
+    assert rows.shape == (decontaminate.SKETCH, 300) and (np.abs(rows).sum(0) == 32).all() and (np.count_nonzero(rows, 0) == 1).all()
+    assert np.count_nonzero(rows.any(1)) > 100 and 0 < (rows > 0).sum() < 300
+    assert not hasattr(decontaminate, "SAMPLE")
+
+
 # -- 11 ---------------------------------------------------------------------------------------------------------------
 
 
