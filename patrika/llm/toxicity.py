@@ -112,10 +112,11 @@ def remainder(doc_id: str | Column = "doc_id") -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic and remainder of all labelled documents outside the held-out fifth. Labels that are null don't count; of
-    several for an id the largest does."""
+    several for an id the largest does. The join is a merge of sorted rows at every size: a broadcast of the labels would
+    end where they get too many for it, and what is shuffled would then jump by all texts."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.withColumn("rest", remainder()).filter("rest <> 0")
-    return docs.select("doc_id", "text").join(rows, "doc_id").select("text", "toxic", "rest")
+    return docs.select("doc_id", "text").join(rows.hint("merge"), "doc_id").select("text", "toxic", "rest")
 
 
 def _counted(rows: DataFrame, make: Callable[[], Callable[[str | None], set[str]]]) -> tuple[DataFrame, int, int]:

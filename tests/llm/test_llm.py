@@ -755,6 +755,15 @@ def test_toxicity_learns_from_every_label(spark):
     assert rows.filter("toxic = 1").count() == docs.filter((toxicity.remainder() != 0) & (F.col("text") != "plain text")).count() > 0
 
 
+def test_toxicity_joins_labels_alike_at_every_size(spark):
+    """Few labels are not broadcast, so that what is shuffled grows with the input and not by a leap."""
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    rows = toxicity.training_rows(docs, docs.select("doc_id", F.lit(1).alias("toxic")))
+    assert rows.count() == docs.filter(toxicity.remainder() != 0).count()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_the_latent_space_is_fitted_on_every_passage(spark):
     """However many passages there are, each is in the sketch, with one count in one row."""
     texts = [f"w{i} " * 32 for i in range(300)]
