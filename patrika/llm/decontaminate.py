@@ -12,7 +12,7 @@ item's least telling words would reach among average words, so items of light wo
 if the longest common subsequence of words holds enough of the item, and enough of its answer. Word order, inserted and
 exchanged words are thus tolerated as far as the thresholds go.
 
-The corpus is read four times for items of up to MOST_WORDS words altogether; more items
+The corpus is read three times for items of up to MOST_WORDS words altogether; more items
 are taken in blocks of so many words, each of which counts and searches once more.
 """
 
@@ -37,6 +37,8 @@ DIMENSIONS, SKETCH, ITEM_ROWS, TERMS = 128, 256, 1024, 1 << 14
 GATE = 0.5
 #: Words of the items that go to the tasks at a time.
 MOST_WORDS = 1 << 22
+#: Terms that a task counts before it hands the counts on, and counts of segments that travel in a row.
+MOST_TERMS, CHUNK = 1 << 20, 1 << 16
 #: By how much more often than on average a text may use the words of an item, by its topic or language.
 TYPICAL = 4
 COSINE, SUBSEQUENCE, ANSWER = 0.7, 0.6, 0.5
@@ -74,16 +76,20 @@ def _items(rows: pa.Table) -> Items:
     return Items(rows.column("id").to_pylist(), words[0], [np.isin(w, a) if np.isin(w, a).any() else None for w, a in zip(*words, strict=True)])
 
 
-def _segments(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's first segment (and one past the last), and each word's segment."""
-    count = -(-b.n_words // SEGMENT)
-    first = np.concatenate([[0], np.cumsum(count)])
-    return first, first[b.doc] + (np.arange(len(b.doc)) - b.first_word[b.doc]) // SEGMENT
+def _segments(b: Block, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's first segment of `size` words (and one past the last), and each word's segment."""
+    first = np.concatenate([[0], np.cumsum(-(-b.n_words // size))])
+    return first, first[b.doc] + (np.arange(len(b.doc)) - b.first_word[b.doc]) // size
 
 
 # -- the latent space -------------------------------------------------------------------------------------------------
 
 
+def _starts(group: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+
+
 def _some_passages(share: float) -> Callable:
     """Rows (words: the hashes of a passage) for about this share of the texts' passages, chosen by their words."""
 
@@ -92,10 +98,10 @@ def _some_passages(share: float) -> Callable:
         for batch in batches:
             for b in map(_plain, blocks(batch.column(0))):
                 h = b.word_hashes()
-                passage = _segments(b)[1] // 2
+                passage = _segments(b, 2 * SEGMENT)[1]
                 if not len(h):
                     continue
-                start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+                start = _starts(passage)
                 key = mixed(np.add.reduceat(mixed(h + np.arange(len(h)).astype(_U) % _U(97)), start)) >> _U(11)
                 end = np.append(start[1:], len(h))
                 pick = np.flatnonzero(key < _U(int(share * 2**53)))
@@ -110,29 +116,43 @@ def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*rows, np.zeros(0, _U)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
-def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@tidy
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (term, n): how often each word occurs in the texts of a task, or in MOST_TERMS of them."""
+    terms, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+
+    def summed() -> tuple[list[np.ndarray], list[np.ndarray]]:
+        term, n = np.concatenate(terms), np.concatenate(counts)
+        order = np.argsort(term)
+        start = _starts(term[order]) if len(term) else np.zeros(0, np.int64)
+        return [term[order][start]], [np.add.reduceat(n[order], start) if len(start) else n]
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(terms[0].view(np.int64)), pa.array(counts[0])], ["term", "n"])
+
     for batch in batches:
-        h, n = np.unique(_passages(batch)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["term", "n"])
+        for b in map(_plain, blocks(batch.column(0))):
+            h, n = np.unique(b.word_hashes(), return_counts=True)
+            terms.append(h)
+            counts.append(n)
+            if sum(map(len, terms)) > MOST_TERMS:
+                terms, counts = summed()
+                if len(terms[0]) > MOST_TERMS // 2:
+                    yield rows()
+                    terms, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    terms, counts = summed()
+    yield rows()
 
 
-def _count(terms: np.ndarray) -> Callable:
-    """Rows (term, n): in how many segments each term occurs; -1 counts the segments and -2 the words."""
+def _add_signed(total: np.ndarray, key: np.ndarray, term: np.ndarray) -> None:
+    """Adds terms to a sketch (SKETCH rows of numbers, one after the other), in the row and with the sign that the hashes of their passages say."""
+    np.add.at(total, (key >> _U(1)).astype(np.int64) % SKETCH * (len(total) // SKETCH) + term, (key & _U(1)).astype(np.float32) * 2 - 1)
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, total, n, words, size = Lookup(terms), np.zeros(len(terms), np.int64), 0, 0, max(1, len(terms))
-        for batch in batches:
-            for b in map(_plain, blocks(batch.column(1))):
-                first, segment = _segments(b)
-                at, term = look(b.word_hashes())
-                seen = np.unique(segment[at] * size + term)
-                np.add.at(total, seen % size, 1)
-                n, words = n + int(first[-1]), words + len(segment)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], some])), pa.array(np.concatenate([[n, words], total[some]]))], ["term", "n"])
 
-    return run
+def _rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows = total.reshape(SKETCH, -1)
+    for i in np.flatnonzero(rows.any(1)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([rows[i].tobytes()], pa.binary())], ["row", "sums"])
 
 
 def _sketch(terms: np.ndarray) -> Callable:
@@ -147,42 +167,79 @@ def _sketch(terms: np.ndarray) -> Callable:
             if not len(h):
                 continue
             # by its words and its place in the task: equal passages must not go together
-            start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+            start = _starts(passage)
             key = np.zeros(batch.num_rows, _U)
             key[passage[start]] = mixed(mixed(np.add.reduceat(mixed(h), start)) + (passage[start] + seen).astype(_U))
             at, term = look(h)
-            own = key[passage[at]]
-            np.add.at(total, (own >> _U(1)).astype(np.int64) % SKETCH * len(terms) + term, (own & _U(1)).astype(np.float32) * 2 - 1)
+            _add_signed(total, key[passage[at]], term)
             seen += batch.num_rows
-        rows = total.reshape(SKETCH, len(terms))
-        for i in np.flatnonzero(rows.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([rows[i].tobytes()], pa.binary())], ["row", "sums"])
+        yield from _rows(total)
+
+    return run
+
+
+def _count(terms: np.ndarray, row: np.ndarray, n_rows: int) -> Callable:
+    """Rows (row, sums) of all that the space is made of, in one reading of (doc, text): the task's share of the sketch of
+    the terms that `row` gives a place among n_rows (-1: none), and under -1 and less, CHUNK at a time, in how many segments
+    each term occurs, followed by the numbers of segments and words."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, total, size = Lookup(terms), np.zeros(SKETCH * n_rows, np.float32), max(1, len(terms))
+        df = np.zeros(len(terms) + 2, np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
+            for b in map(_plain, blocks(batch.column(1))):
+                h = b.word_hashes()
+                if not len(h):
+                    continue
+                first, segment = _segments(b)
+                at, term = look(h)
+                np.add.at(df, np.unique(segment[at] * size + term) % size, 1)
+                df[-2:] += int(first[-1]), len(h)
+                # by its words and its place in a document: equal passages must not go together, wherever the rows are
+                first, passage = _segments(b, 2 * SEGMENT)
+                doc = np.repeat(np.arange(b.n), np.diff(first))
+                own = mixed(np.add.reduceat(mixed(h), _starts(passage))) + mixed(ids[b.first + doc]) + (np.arange(len(doc)) - first[doc]).astype(_U)
+                use = row[term] >= 0
+                _add_signed(total, mixed(own)[passage[at[use]]], row[term[use]])
+        if n_rows:
+            yield from _rows(total)
+        for i, at in enumerate(range(0, len(df), CHUNK)):
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - i], pa.int64()), pa.array([df[at : at + CHUNK].tobytes()], pa.binary())], ["row", "sums"])
 
     return run
 
 
 @tidy
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the rows of equal numbers of a partition up."""
+    """Adds the rows of equal numbers of a partition up: of the sketch, or (negative ones) of counts."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for row, new in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            new = np.frombuffer(new.as_buffer(), np.float32)
+            new = np.frombuffer(new.as_buffer(), np.float32 if row >= 0 else np.int64)
             sums[row] = sums[row] + new if row in sums else new.copy()
     for row, v in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["row", "sums"])
 
 
 def _sketched(passages: DataFrame, terms: np.ndarray, more: int = 0) -> np.ndarray:
-    """The sketch of all passages, summed by Spark: SKETCH rows of TERMS numbers, and as many for the items' terms, at most.
-    `more` null rows follow."""
-    out = np.zeros((SKETCH + more, len(terms)), np.float32)
-    if len(terms):
-        schema = "row long, sums binary"
-        rows = passages.mapInArrow(_sketch(terms), schema).repartition("row").mapInArrow(_added, schema).toArrow()
-        for row, v in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+    """The sketch of all passages, summed by Spark. `more` null rows follow."""
+    return _summed(passages, _sketch(terms), len(terms), more)[0] if len(terms) else np.zeros((SKETCH + more, 0), np.float32)
+
+
+def _summed(rows: DataFrame, make: Callable, n_rows: int, more: int, n_counts: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """What `make` makes of the rows, summed by Spark: a sketch of SKETCH rows of TERMS numbers, and as many for the items'
+    terms, at most, which `more` null rows follow; and the counts."""
+    out, counts, schema = np.zeros((SKETCH + more, n_rows), np.float32), np.zeros(n_counts, np.int64), "row long, sums binary"
+    sums = rows.mapInArrow(make, schema).repartition("row").mapInArrow(_added, schema).toArrow()
+    for row, v in zip(sums.column(0).to_pylist(), sums.column(1), strict=True):
+        if row >= 0:
             out[row] = np.frombuffer(v.as_buffer(), np.float32)
-    return out
+        else:
+            at = (-1 - row) * CHUNK
+            counts[at : at + CHUNK] = np.frombuffer(v.as_buffer(), np.int64)
+    return out, counts
 
 
 def _add_items(out: np.ndarray, items: Items, terms: np.ndarray, passages: float) -> None:
@@ -226,14 +283,21 @@ class Space:
         return out
 
 
-def _space(passages: DataFrame, known: np.ndarray, terms: np.ndarray, df: np.ndarray, total: int, words: int, k: int, items: Items | None = None) -> Space:
-    """The space over the terms `known`; terms, df: all terms and in how many of `total` segments each occurs."""
+def _places(known: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The place of each of the terms among `known`, or -1."""
     row = np.full(len(terms), -1, np.int32)
     row[np.searchsorted(terms, known)] = np.arange(len(known), dtype=np.int32)
+    return row
+
+
+def _space(passages: DataFrame | np.ndarray, known: np.ndarray, terms: np.ndarray, df: np.ndarray, total: int, words: int, k: int, items: Items | None = None) -> Space:
+    """The space over the terms `known`, of passages or of their sketch with null rows for the items; terms, df: all terms
+    and in how many of `total` segments each occurs."""
+    row = _places(known, terms)
     own = df[row >= 0]
     weights = np.log((1 + total) / (1 + df)) + 1
     weight = weights[row >= 0].astype(np.float32)
-    rows = _sketched(passages, known, min(ITEM_ROWS, len(items.words)) if items is not None else 0)
+    rows = passages if isinstance(passages, np.ndarray) else _sketched(passages, known, min(ITEM_ROWS, len(items.words)) if items is not None else 0)
     if items is not None:
         _add_items(rows[SKETCH:], items, known, total / 2)
     rows *= weight
@@ -378,8 +442,16 @@ def _search(items: Items, space: Space, df: np.ndarray, words: int, cosine: floa
         sums = np.zeros((len(some), space.vectors.shape[1]), np.float32)
         if len(word):
             where = row[segment[at[word]]]
-            edge = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-            sums[where[edge]] = np.add.reduceat(space.vectors[space.row[term[word]]], edge)
+            edge = _starts(where)
+            many = np.diff(np.append(edge, len(word)))
+            # the first words of all segments, then the second ones, and so on; those with most words come first
+            order = np.argsort(-many, kind="stable")
+            edge, many, vector = edge[order], many[order], space.row[term[word]]
+            own = space.vectors[vector[edge]]
+            for j in range(1, int(many[0])):
+                more = int(np.searchsorted(-many, -j, "left"))
+                own[:more] += space.vectors[vector[edge[:more] + j]]
+            sums[where[edge]] = own
         passage = sums[row[place]] + np.where(follows[:, None], sums[row[np.minimum(place + 1, n - 1)]], 0)
         norm = norms[row[place]] + np.where(follows, norms[row[np.minimum(place + 1, n - 1)]], 0)
         close = np.einsum("ij,ij->i", passage, query[item]) / np.sqrt(np.maximum(norm, 1e-9))
@@ -488,8 +560,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     texts = docs.select(defined_id(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     n_items, n_words = source.agg(F.count("*"), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     n_blocks = -(-int(n_words or 0) // MOST_WORDS)
-    passages = texts.select("text").mapInArrow(_some_passages(1.0), "words binary")
-    common = passages.mapInArrow(_terms_of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1")
+    common = texts.select("text").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1")
     known = np.sort(common.orderBy(F.desc("n"), "term").limit(TERMS).select("term").toArrow().column(0).to_numpy().view(_U))  # TERMS rows at most
     out = spark.createDataFrame([], schema)
     for block in range(n_blocks):
@@ -498,12 +569,10 @@ def _searched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         own, times = np.unique(np.concatenate([*items.words, np.zeros(0, _U)]), return_counts=True)
         told = np.union1d(known, own[np.argsort(-times, kind="stable")[:TERMS]])
         terms = np.union1d(own, known)
-        counts = texts.mapInArrow(_count(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term at most
-        n = dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True))
-        df = np.zeros(len(terms))
-        df[[t for t in n if t >= 0]] = [n[t] for t in n if t >= 0]
-        space = _space(passages, told, terms, df, n.get(-1, 0), n.get(-2, 0), min(DIMENSIONS, max(1, n_items)), items)
-        out = out.unionByName(texts.mapInArrow(_search(items, space, df, n.get(-2, 0), cosine, subsequence, answer, checks), schema))
+        sketch, counts = _summed(texts, _count(terms, _places(told, terms), len(told)), len(told), min(ITEM_ROWS, len(items.words)), len(terms) + 2)
+        df, total, words = counts[:-2].astype(float), int(counts[-2]), int(counts[-1])
+        space = _space(sketch, told, terms, df, total, words, min(DIMENSIONS, max(1, n_items)), items)
+        out = out.unionByName(texts.mapInArrow(_search(items, space, df, words, cosine, subsequence, answer, checks), schema))
     return out
 
 

@@ -777,6 +777,23 @@ def test_the_latent_space_is_fitted_on_every_passage(spark):
     assert not hasattr(decontaminate, "SAMPLE")
 
 
+def test_the_latent_space_does_not_depend_on_partitions(spark):
+    """Passages end with their text, and their signs follow from the document, so that cosines agree however rows are dealt."""
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(300)]
+    items = [rng.choices(pool, k=20) for _ in range(5)]
+    df = frame(spark, [" ".join(rng.choices(pool, k=rng.randrange(1, 120)) + (items[i % 5] if i % 3 == 0 else [])) for i in range(60)])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = [sorted((r["doc_id"], r["item_id"], round(r["cosine"], 4)) for r in decontaminate.leaks(df.repartition(n), bench).collect()) for n in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) >= 20
+
+
+def test_words_are_counted_once_a_task():
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"a b a", b"", b"c"])], ["text"])] * 3
+    rows = [r for b in decontaminate._terms(iter(batches)) for r in b.to_pylist()]
+    assert len({r["term"] for r in rows}) == len(rows) == 3 and sorted(r["n"] for r in rows) == [3, 3, 6]
+
+
 # -- 11 ---------------------------------------------------------------------------------------------------------------
 
 
