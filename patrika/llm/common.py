@@ -47,9 +47,11 @@ def clear(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here and lost executors cost nothing."""
+    """df written as Parquet in the shared folder and read again: lineage ends here and lost executors cost nothing. What
+    the driver's Python no longer needs goes back to the machine before."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    released()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,6 +71,15 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def released() -> None:
+    """Gives the memory that Python has used and no longer needs back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which gives the memory that it has used back to the machine at its end: Spark keeps Python workers for the next
     tasks, and what each of them has once used would add up beside the executor's own memory."""
@@ -77,11 +88,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-            if trim is not None:
-                trim(0)
+            released()
 
     return whole
 

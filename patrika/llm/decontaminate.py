@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, defined_id, real_id, tidy
+from .common import WORD, defined_id, real_id, released, tidy
 from .textarrays import Block, Lookup, blocks, mixed
 
 SEGMENT = 16
@@ -572,6 +572,9 @@ def _searched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         sketch, counts = _summed(texts, _count(terms, _places(told, terms), len(told)), len(told), min(ITEM_ROWS, len(items.words)), len(terms) + 2)
         df, total, words = counts[:-2].astype(float), int(counts[-2]), int(counts[-1])
         space = _space(sketch, told, terms, df, total, words, min(DIMENSIONS, max(1, n_items)), items)
+        # the driver needs the space alone from here on, which goes to the tasks
+        del sketch, counts
+        released()
         out = out.unionByName(texts.mapInArrow(_search(items, space, df, words, cosine, subsequence, answer, checks), schema))
     return out
 

@@ -29,6 +29,8 @@ LOOK_ALIKES = {
 STEMS = (5, 6, 7)
 #: Terms that a task counts before it hands the counts on.
 MAX_FEATURES = 60_000
+#: Texts whose measures make a partition of what the curve is fitted on, where there are so many.
+CURVE_ROWS = 1 << 20
 
 
 class _Folding(dict):
@@ -172,7 +174,9 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], size: int = 100
 
 
 def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: Sequence[str] = ()) -> tuple[list[float], float]:
-    """Coefficients and intercept of the logistic curve over the measures, by Spark's logistic regression."""
+    """Coefficients and intercept of the logistic curve over the measures, by Spark's logistic regression. A text's measures
+    are four numbers, so they go to as few partitions as the cores need: each step of the fit runs a task for each, and
+    the driver keeps books of all tasks."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -183,7 +187,9 @@ def fit_curve(rows: DataFrame, lexicon: dict[str, float], exceptions: Sequence[s
             x = [_measures(*matcher.weigh(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.float64())], ["x", "label"])
 
-    data = rows.select("text", "toxic").mapInArrow(measure, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").cache()
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // CURVE_ROWS))
+    data = rows.select("text", "toxic").mapInArrow(measure, "x array<double>, label double").repartition(parts)
+    data = data.select(array_to_vector("x").alias("features"), "label").cache()
     try:
         if data.select("label").distinct().count() < 2:
             return [0.0, 1.0, 0.0], -5.0

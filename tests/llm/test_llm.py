@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -1077,3 +1078,30 @@ def test_pipeline_against_plain_versions(spark):
                 mine = [r for r in after if of[r["doc_id"]] == source]
                 assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) and all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
         docs = spark.createDataFrame([tuple(r.values()) for r in after], stage(spark, docs, DATA).schema) if name != corpus_pipeline.STAGES[-1][0] else docs
+
+
+def test_curve_is_fitted_in_few_partitions(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    parts, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, data: parts.append(data.rdd.getNumPartitions()) or fit(self, data))
+    rows = spark.createDataFrame([(f"clean words {i} " + "vile " * (i % 3), int(i % 3 > 0)) for i in range(300)], "text string, toxic int")
+    many = spark.sparkContext.defaultParallelism * 5
+    slope, _ = toxicity.fit_curve(rows.repartition(many), {" vile ": 3.0})
+    assert parts == [spark.sparkContext.defaultParallelism] and slope[0] > 0
+
+
+def test_driver_drops_the_sketch_before_the_search(spark, monkeypatch):
+    held, alive, summed, search = [], [], decontaminate._summed, decontaminate._search
+
+    def watched(*args):
+        out = summed(*args)
+        held.append(weakref.ref(out[0]))
+        return out
+
+    monkeypatch.setattr(decontaminate, "_summed", watched)
+    monkeypatch.setattr(decontaminate, "_search", lambda *args: alive.extend(r() is not None for r in held) or search(*args))
+    text = " ".join(f"w{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    assert decontaminate.leaks(frame(spark, [text, "other words", text]), bench).count() == 2
+    assert alive == [False]
